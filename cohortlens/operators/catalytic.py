@@ -1,8 +1,9 @@
 """Seroconversion (lambda) and seroreversion (rho) by age: the reversible catalytic model.
 
 Persons are reduced once to counts per (group, age).  The posterior of (lambda, rho) is computed
-on a grid for all groups together: every group row is expanded to its grid cells, so the work is
-spread by group and grid row, and no person is read again.
+on a grid for all groups together: every group row is expanded to its grid lines, so the work is
+spread by group and line, and no person is read again.  The cells of one line live only inside an
+Arrow batch; a task sends back one number per line.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,53 +139,77 @@ def log_likelihood(counts: DataFrame, lam: float, rho: float, ages=AGES) -> Data
 # ---- posterior on a grid ------------------------------------------------------------------------
 
 
+def _line_log_weights(own, is_lam, lo, hi, n, k, ages, cells):
+    """Log of likelihood times cell area along the grid lines of a batch, shape (lines, cells)."""
+    other = np.exp(lo[:, None] + (np.arange(cells) + 0.5) * ((hi - lo) / cells)[:, None])
+    own = own[:, None]
+    lam, rho = np.where(is_lam[:, None], own, other), np.where(is_lam[:, None], other, own)
+    total = lam + rho
+    out = (k.sum(1)[:, None] + 1) * np.log(lam) + np.log(rho) - n.sum(1)[:, None] * np.log(total)
+    for i, age in enumerate(ages):
+        decay = np.expm1(-total * age)
+        out += k[:, i, None] * np.log(-decay)
+        out += (n[:, i, None] - k[:, i, None]) * np.log(rho + lam * (1 + decay))
+    return out
+
+
+def _line_masses(ages, cells: int):
+    """Arrow function: log of the total weight of each grid line."""
+
+    def masses(
+        own: pd.Series, is_lam: pd.Series, lo: pd.Series, hi: pd.Series, n: pd.Series, k: pd.Series
+    ) -> pd.Series:
+        parts = []
+        for at in range(0, len(own), 512):
+            cut = slice(at, at + 512)
+            w = _line_log_weights(
+                own[cut].to_numpy(), is_lam[cut].to_numpy(dtype=bool), lo[cut].to_numpy(),
+                hi[cut].to_numpy(), np.vstack(n[cut]).astype(float),
+                np.vstack(k[cut]).astype(float), ages, cells,
+            )
+            top = w.max(axis=1)
+            parts.append(top + np.log(np.exp(w - top[:, None]).sum(axis=1)))
+        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+
+    return F.pandas_udf(masses, "double")
+
+
 def _axis(axis: str, index: Column, cells: int) -> Column:
     """Value at a (fractional) grid index of a log-spaced axis."""
     lo, hi = F.col(f"{axis}_lo"), F.col(f"{axis}_hi")
     return F.exp(lo + index * (hi - lo) / F.lit(float(cells)))
 
 
-def _cells(boxed: DataFrame, cells: int, ages) -> DataFrame:
-    """Grid cells of every group with the log of likelihood times cell area."""
-    spark = boxed.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    index = F.sequence(F.lit(0), F.lit(cells - 1))
-    rows = boxed.withColumn("i", F.explode(index)).withColumn(
-        "lam", _axis("lam", F.col("i") + 0.5, cells)
-    )
-    # rho comes out of the generator, so it is computed once per cell and not inlined per age
-    rho = F.transform(index, lambda j: F.struct(j.alias("j"), _axis("rho", j + 0.5, cells).alias("rho")))
-    grid = rows.repartition(tasks, *GROUP, "i").withColumn("c", F.explode(rho))
-    grid = grid.withColumn("j", F.col("c.j")).withColumn("rho", F.col("c.rho")).drop("c")
-    return grid.withColumn(
-        "logw", _log_lik(F.col("lam"), F.col("rho"), ages) + F.ln("lam") + F.ln("rho")
-    )
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
 def _marginals(boxed: DataFrame, cells: int, ages) -> DataFrame:
     """Normalised marginal masses of both rates with running totals, ``cells`` rows per axis."""
-    top = _cells(boxed, cells, ages).groupBy(*GROUP).agg(F.max("logw").alias("top"))
-    scaled = _cells(null_safe(boxed, stage(top), GROUP, "inner"), cells, ages)
-    box = ["lam_lo", "lam_hi", "rho_lo", "rho_hi"]
-    axes = F.array(
-        F.struct(F.lit("lambda").alias("p"), F.col("i").alias("i")),
-        F.struct(F.lit("rho").alias("p"), F.col("j").alias("i")),
-    )
-    mass = (
-        scaled.select(*GROUP, *box, F.exp(F.col("logw") - F.col("top")).alias("w"), F.explode(axes).alias("a"))
-        .groupBy(*GROUP, *box, F.col("a.p").alias("parameter"), F.col("a.i").alias("cell"))
-        .agg(F.sum("w").alias("w"))
+    lines = boxed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn(
+        "parameter", F.explode(F.array(F.lit("lambda"), F.lit("rho")))
     )
-    one = Window.partitionBy(*GROUP, "parameter")
-    run = one.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.repartition(_tasks(boxed), *GROUP, "parameter", "cell")
     lam = F.col("parameter") == "lambda"
 
-    def edge(index: Column) -> Column:
+    def at(index: Column) -> Column:
         return F.when(lam, _axis("lam", index, cells)).otherwise(_axis("rho", index, cells))
 
-    return mass.select(
-        *GROUP, "parameter", "cell", edge(F.col("cell")).alias("low"),
-        edge(F.col("cell") + 1).alias("high"),
+    weighed = lines.select(
+        *GROUP, "parameter", "cell", at(F.col("cell")).alias("low"),
+        at(F.col("cell") + 1).alias("high"),
+        _line_masses(ages, cells)(
+            at(F.col("cell") + 0.5), lam,
+            F.when(lam, F.col("rho_lo")).otherwise(F.col("lam_lo")),
+            F.when(lam, F.col("rho_hi")).otherwise(F.col("lam_hi")),
+            F.array(*[F.col(f"n_{a}") for a in ages]), F.array(*[F.col(f"k_{a}") for a in ages]),
+        ).alias("logw"),
+    )
+    one = Window.partitionBy(*GROUP, "parameter")
+    run = one.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    w = weighed.withColumn("w", F.exp(F.col("logw") - F.max("logw").over(one)))
+    return w.select(
+        *GROUP, "parameter", "cell", "low", "high",
         (F.col("w") / F.sum("w").over(one)).alias("mass"),
         F.coalesce(F.sum("w").over(run) / F.sum("w").over(one), F.lit(0.0)).alias("before"),
     )
@@ -286,40 +313,74 @@ def _uniform(seed: int, *keys) -> Column:
     return (h.cast("double") + 0.5) / float(2**52)
 
 
+def _conditional_rho(ages, cells: int):
+    """Arrow function: rho for each uniform number of a lambda line, by inverting its cells."""
+
+    def invert(
+        own: pd.Series, lo: pd.Series, hi: pd.Series, n: pd.Series, k: pd.Series, us: pd.Series
+    ) -> pd.Series:
+        out = []
+        for at in range(0, len(own), 512):
+            cut = slice(at, at + 512)
+            lows, highs = lo[cut].to_numpy(), hi[cut].to_numpy()
+            logw = _line_log_weights(
+                own[cut].to_numpy(), np.ones(len(lows), dtype=bool), lows, highs,
+                np.vstack(n[cut]).astype(float), np.vstack(k[cut]).astype(float), ages, cells,
+            )
+            w = np.exp(logw - logw.max(axis=1, keepdims=True))
+            after = np.cumsum(w, axis=1) / w.sum(axis=1, keepdims=True)
+            for line, u, low, high in zip(after, us[cut], lows, highs):
+                edges = np.concatenate([[0.0], line])
+                index = np.interp(u, edges, np.arange(cells + 1))
+                out.append(np.exp(low + index * (high - low) / cells))
+        return pd.Series(out, dtype="object")
+
+    return F.pandas_udf(invert, "array<double>")
+
+
 def posterior_draws(
     counts: DataFrame, draws: int = 8000, cells: int = 200, ages=AGES, seed: int = 42
 ) -> DataFrame:
     """Draws of (lambda, rho) with log-likelihood and log-prior, one stratified sample per group.
 
     Draw m is placed at a random point of the m-th of ``draws`` equal slices of the cumulative
-    cell mass, so every cell finds its draws from its own mass interval, without a range join.
+    lambda mass, so every grid line finds its draws from its own mass interval, without a range
+    join; rho is then drawn along the line.
     """
     boxed = posterior_box(counts, cells, ages)
-    top = _cells(boxed, cells, ages).groupBy(*GROUP).agg(F.max("logw").alias("top"))
-    scaled = _cells(null_safe(boxed, stage(top), GROUP, "inner"), cells, ages).withColumn(
-        "w", F.exp(F.col("logw") - F.col("top"))
-    )
-    row = Window.partitionBy(*GROUP, "i")
-    inner = row.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    rows = scaled.groupBy(*GROUP, "i").agg(F.sum("w").alias("row_w"))
-    outer = Window.partitionBy(*GROUP).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.select(
-        *GROUP, "i", F.coalesce(F.sum("row_w").over(outer), F.lit(0.0)).alias("off"),
-        F.sum("row_w").over(Window.partitionBy(*GROUP)).alias("all_w"),
+    lines = _marginals(boxed, cells, ages).where(F.col("parameter") == "lambda")
+    end = F.col("before") + F.col("mass")
+    first = F.greatest(F.floor(F.col("before") * draws).cast("int") - 1, F.lit(0))
+    last = F.least(F.floor(end * draws).cast("int") + 1, F.lit(draws - 1))
+    tried = lines.where((F.col("mass") > 0) & (first <= last)).withColumn(
+        "draw", F.explode(F.sequence(first, last))
     )
-    placed = null_safe(scaled, stage(offsets), [*GROUP, "i"], "inner").withColumn(
-        "c0", (F.col("off") + F.coalesce(F.sum("w").over(inner), F.lit(0.0))) / F.col("all_w")
-    ).withColumn("c1", F.col("c0") + F.col("w") / F.col("all_w"))
-    first = F.greatest(F.floor(F.col("c0") * draws).cast("int") - 1, F.lit(0))
-    last = F.least(F.floor(F.col("c1") * draws).cast("int") + 1, F.lit(draws - 1))
-    tried = placed.where(first <= last).withColumn("draw", F.explode(F.sequence(first, last)))
     u = (F.col("draw") + _uniform(seed, *GROUP, "draw")) / float(draws)
-    kept = tried.where((u > F.col("c0")) & (u <= F.col("c1")))
-    lam = _axis("lam", F.col("i") + _uniform(seed + 1, *GROUP, "draw"), cells)
-    rho = _axis("rho", F.col("j") + _uniform(seed + 2, *GROUP, "draw"), cells)
-    drawn = kept.withColumn("lam", lam).withColumn("rho", rho)
+    # the last line is open upwards, so rounding of the running mass loses no draw
+    until = F.when(F.col("cell") == cells - 1, 1.0).otherwise(end)
+    placed = (
+        tried.withColumn("u", u)
+        .where((F.col("u") > F.col("before")) & (F.col("u") <= until))
+        .withColumn("inner", (F.col("u") - F.col("before")) / F.col("mass"))
+        .withColumn("v", _uniform(seed + 1, *GROUP, "draw"))
+    )
+    by_line = placed.groupBy(*GROUP, "cell").agg(
+        F.collect_list(F.struct("draw", "inner", "v")).alias("d")
+    )
+    ready = null_safe(by_line, boxed, GROUP, "inner").repartition(_tasks(boxed), *GROUP, "cell")
+    rho = _conditional_rho(ages, cells)(
+        _axis("lam", F.col("cell") + 0.5, cells), F.col("rho_lo"), F.col("rho_hi"),
+        F.array(*[F.col(f"n_{a}") for a in ages]), F.array(*[F.col(f"k_{a}") for a in ages]),
+        F.col("d.v"),
+    )
+    drawn = (
+        ready.withColumn("rhos", rho)
+        .withColumn("z", F.explode(F.arrays_zip("d", "rhos")))
+        .withColumn("lam", _axis("lam", F.col("cell") + F.col("z.d.inner"), cells))
+        .withColumn("rho", F.col("z.rhos"))
+    )
     return drawn.select(
-        *GROUP, "draw", F.col("lam").alias("lambda"), "rho",
+        *GROUP, F.col("z.d.draw").alias("draw"), F.col("lam").alias("lambda"), "rho",
         _log_lik(F.col("lam"), F.col("rho"), ages).alias("loglike"),
         log_prior(F.col("lam"), F.col("rho")).alias("prior"),
     )
@@ -353,7 +414,7 @@ def draw_band(draws: DataFrame, upper: int = 14) -> DataFrame:
 
 
 def kernel_density(
-    df: DataFrame, value: str, by: list[str], points: int = 512, fine: int = 4096
+    df: DataFrame, value: str, by: list[str], points: int = 512, fine: int = 1024
 ) -> DataFrame:
     """Gaussian kernel density on an even grid reaching three bandwidths past the data.
 

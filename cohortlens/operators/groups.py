@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from cohortlens.functions.nulls import distinct_tuples, strict_sum
 from cohortlens.functions.staging import attach, join_counted, null_safe
 
-_N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
 
 
 # ---- group statistics on every row ----------------------------------------------------------
 
 
 def add_group_size(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
-    return attach(df, df.groupBy(*keys).agg(_N.alias(out)), keys)
+    return attach(df, df.groupBy(*keys).agg(_n().alias(out)), keys)
 
 
 def add_group_sum(df: DataFrame, keys: list[str], column: str, out: str = "n") -> DataFrame:
@@ -29,7 +30,7 @@ def add_group_sum(df: DataFrame, keys: list[str], column: str, out: str = "n") -
 def net_coverage(df: DataFrame, cluster: str = "varunit", net: str = "net1_8") -> DataFrame:
     """Cluster size, adequately covered members, cluster coverage and the individual's deviation."""
     stats = df.groupBy(cluster).agg(
-        _N.alias("n_clust"), F.coalesce(F.sum(net), F.lit(0)).alias("n_net")
+        _n().alias("n_clust"), F.coalesce(F.sum(net), F.lit(0)).alias("n_net")
     )
     stats = stats.withColumn(
         "netcover_avg", F.col("n_net").cast("double") / F.col("n_clust").cast("double")
@@ -45,13 +46,13 @@ def normalise_weights(
 
     One missing weight makes the weights of its whole cluster missing.
     """
-    stats = df.groupBy(cluster).agg((_N / strict_sum(F.col(weight))).alias("weight_mult"))
+    stats = df.groupBy(cluster).agg((_n() / strict_sum(F.col(weight))).alias("weight_mult"))
     return attach(df, stats, [cluster]).withColumn(out, F.col(weight) * F.col("weight_mult"))
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """All rows whose key occurs more than once, with the number of copies."""
-    counts = df.groupBy(*keys).agg(_N.alias("dupe_count")).where("dupe_count > 1")
+    counts = df.groupBy(*keys).agg(_n().alias("dupe_count")).where("dupe_count > 1")
     return attach(df, counts, keys, "inner")
 
 
@@ -130,7 +131,7 @@ def identical_columns(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataF
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(_N.alias("n")).where("n > 1")
+    return df.groupBy(*keys).agg(_n().alias("n")).where("n > 1")
 
 
 def keys_not_nested(df: DataFrame, inner: str, outer: str) -> DataFrame:

@@ -21,7 +21,7 @@ from cohortlens.functions.tails import Z95, t_ppf
 from cohortlens.operators.tables import share
 
 _H, _I = "_stratum", "_psu"
-_COUNT = F.count(F.lit(1))
+
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def design_summary(design: Design) -> DataFrame:
     """Rows, strata, clusters, single-cluster strata, split clusters and missing weights."""
     d = design
     psu = d.df.groupBy(d.psu, d.strata).agg(
-        _COUNT.alias("n"), F.count_if(F.col(d.weight).isNull()).alias("n_null")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(d.weight).isNull()).alias("n_null")
     )
     per_psu = psu.groupBy(d.psu).agg(
         F.sum("n").alias("n"), F.sum("n_null").alias("n_null"), F.count(F.lit(1)).alias("k"),
@@ -105,7 +105,7 @@ def _cells(design: Design, by: list[str], outcomes: dict[str, Column]) -> _Cells
     """Σw and Σwy per (by, stratum, cluster) and outcome; rows with a missing outcome add nothing."""
     d = design
     w = F.col(d.weight).cast("double")
-    aggs = [_COUNT.alias("_n"), strict_sum(w).alias("_w")]
+    aggs = [F.count(F.lit(1)).alias("_n"), strict_sum(w).alias("_w")]
     for i, y in enumerate(outcomes.values()):
         y = y.cast("double")
         aggs += [
