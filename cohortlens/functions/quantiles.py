@@ -24,9 +24,9 @@ def exact_quantiles(
     eps = 2.0 / accuracy
     marks = [min(1.0, max(0.0, p + s * eps)) for p in probs for s in (-1, 1)]
     rows = df.select(
-        *by, F.lit(0).alias("_one"), F.col(value).cast("double").alias("_x")
+        *by, F.lit(0).alias("_whole"), F.col(value).cast("double").alias("_x")
     ).where(F.col("_x").isNotNull())
-    keys = by + ["_one"]
+    keys = by + ["_whole"]
     sketch = rows.groupBy(*keys).agg(
         F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         F.percentile_approx("_x", marks, accuracy).alias("_m"),
