@@ -141,8 +141,9 @@ def curvature_tests(df: DataFrame, model: Model) -> DataFrame:
     for m in fitted[1:]:
         rank = np.linalg.matrix_rank(m.information) - np.linalg.matrix_rank(base.information)
         stat = max(2 * (m.loglik - base.loglik), 0.0) if rank > 0 else None
-        p = None if stat is None else chi2_sf(stat, 1)
-        rows.append((model.model_id, m.model_id, None if stat is None else float(stat), p))
+        stat = None if stat is None else float(stat)
+        p = None if stat is None else float(chi2_sf(stat, 1))
+        rows.append((model.model_id, m.model_id, stat, p))
     return df.sparkSession.createDataFrame(
         rows, "model_id string, term string, chisq double, p double"
     )

@@ -46,25 +46,24 @@ _LEVELS = ("_cluster", "_household")
 def _household_sums(table: DataFrame, modes: DataFrame, m: MixedModel, p: int) -> DataFrame:
     """Per household: weight, residual, curvature sums, their products with x, and X'WX."""
     b, c = (float(s) for s in m.sd)
-    joined = null_safe(table, modes, list(_LEVELS), "inner")
-    x = [F.col(f"x{i}") for i in range(p)]
-    eta = sum((float(v) * xi for v, xi in zip(m.fixed.beta, x)), F.lit(0.0))
-    joined = joined.withColumn("eta", eta + b * F.col("v") + c * F.col("u"))
-    joined = joined.withColumn("mu", 1 / (1 + F.exp(-F.col("eta"))))
-    n, mu, y = F.col("_n"), F.col("mu"), F.col("_y")
-    joined = joined.withColumns(
-        {
-            "_w": n * mu * (1 - mu), "_r": n * (y - mu),
-            "_l": n * (y * F.col("eta") - F.greatest("eta", F.lit(0.0)) - F.log1p(F.exp(-F.abs("eta")))),
-        }
-    ).withColumn("_t", F.col("_w") * (1 - 2 * mu))
-    aggs = [F.sum("_w").alias("w"), F.sum("_r").alias("g"), F.sum("_t").alias("t"), F.sum("_l").alias("l")]
-    for k, col in (("s", "_w"), ("q", "_t"), ("r", "_r")):
-        aggs.append(F.array(*[F.sum(F.col(col) * xi) for xi in x]).alias(k))
-    aggs.append(
-        F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i in range(p) for j in range(i + 1)]).alias("xwx")
+    eta = " + ".join(f"{float(v)!r}D * x{i}" for i, v in enumerate(m.fixed.beta))
+    rows = null_safe(table, modes, list(_LEVELS), "inner").selectExpr(
+        "*", f"{eta} + {b!r}D * v + {c!r}D * u AS eta"
+    )
+    rows = rows.selectExpr("*", "1 / (1 + exp(-eta)) AS mu").selectExpr(
+        "*", "_n * mu * (1 - mu) AS _w", "_n * (_y - mu) AS _r",
+        "_n * (_y * eta - greatest(eta, 0D) - log1p(exp(-abs(eta)))) AS _l",
+    ).selectExpr("*", "_w * (1 - 2 * mu) AS _t")
+
+    def vector(weight: str, name: str):
+        items = ", ".join(f"sum({weight} * x{i})" for i in range(p))
+        return F.expr(f"array({items}) AS {name}")
+
+    cross = ", ".join(f"sum(_w * x{i} * x{j})" for i in range(p) for j in range(i + 1))
+    return rows.groupBy(*_LEVELS, "v", "u").agg(
+        *[F.expr(f"sum(_{k}) AS {name}") for k, name in (("w", "w"), ("r", "g"), ("t", "t"), ("l", "l"))],
+        vector("_w", "s"), vector("_t", "q"), vector("_r", "r"), F.expr(f"array({cross}) AS xwx"),
     )
-    return joined.groupBy(*_LEVELS, "v", "u").agg(*aggs)
 
 
 def _cluster_sums(households: DataFrame, m: MixedModel, p: int) -> DataFrame:
@@ -153,20 +152,16 @@ def _full(households: DataFrame, m: MixedModel, p: int) -> DataFrame:
 
 def _next_modes(full: DataFrame, m: MixedModel, move: np.ndarray) -> DataFrame:
     """Modes after the joint step in which the coefficients change by ``move``."""
-    b, c = (float(s) for s in m.sd)
-    dot = lambda col: sum((float(x) * F.col(col)[i] for i, x in enumerate(move)), F.lit(0.0))
-    rv = b * F.col("cg") - F.col("v") - b * c * F.col("cwr")
-    dv = (rv - b * dot("cs")) / (1 + b * b * F.col("ca"))
-    out = full.withColumn("dv", dv)
-    du = (c * F.col("g") - F.col("u") - c * (F.col("w") * b * F.col("dv") + dot("s"))) / (
-        1 + c * c * F.col("w")
-    )
-    return out.select(*_LEVELS, (F.col("v") + F.col("dv")).alias("v"), (F.col("u") + du).alias("u"))
+    b, c = (f"{float(s)!r}D" for s in m.sd)
+    dot = lambda col: " + ".join(f"{float(x)!r}D * {col}[{i}]" for i, x in enumerate(move))
+    dv = f"({b} * cg - v - {b} * {c} * cwr - {b} * ({dot('cs')})) / (1 + {b} * {b} * ca)"
+    du = f"({c} * g - u - {c} * (w * {b} * dv + {dot('s')})) / (1 + {c} * {c} * w)"
+    return full.selectExpr("*", f"{dv} AS dv").selectExpr(*_LEVELS, "v + dv AS v", f"u + {du} AS u")
 
 
 def fit_mixed(
     df: DataFrame, outcome: str, terms: list[Term], cluster: str, household: str | None = None,
-    sd0: float = 0.5, max_steps: int = 80, tol: float = 1e-5, model_id: str | None = None,
+    sd0: float = 0.5, max_steps: int = 80, tol: float = 3e-5, model_id: str | None = None,
 ) -> MixedModel:
     """Laplace fit with a random intercept per cluster, and per household within it if given.
 
@@ -190,7 +185,7 @@ def fit_mixed(
     modes = table.select(*_LEVELS).distinct().withColumns({"v": F.lit(0.0), "u": F.lit(0.0)})
     free = np.array([True, bool(household)])
     last_s = last_g = None
-    inner = 0
+    inner, change, tried = 0, 1.0, np.array([False, False])
     for step in range(max_steps):
         m.steps = step + 1
         households = stage(_household_sums(table, modes, m, p))
@@ -209,20 +204,24 @@ def fit_mixed(
         off = np.sqrt(sums["mode"][0] / max(clusters, 1.0))
         moved = np.abs(move / np.sqrt(np.maximum(np.diag(fixed.vcov), 1e-300))).max()
         m.path.append((m.loglik, m.sd.copy(), moved, off))
-        settled = moved < 1e-3 and off < 1e-3
         inner += 1
-        if (settled and inner > 1) or inner >= 8:
+        # the gradient of the variances must be clearly finer than their last change
+        fine = max(1e-3, 0.05 * change)
+        if (moved < fine and off < fine) or inner >= 8:
             # variance scale s = sd²: gradient d loglik / d s = (d loglik / d sd) / (2 sd)
             s = m.sd**2
             g = np.where(free, np.array([gb, gc]) / (2 * np.maximum(m.sd, 1e-150)), 0.0)
             rel = np.abs(g * s)
             at_zero = (m.sd <= 1.01e-3) & (g < 0)
-            if np.all(rel[free & ~at_zero] < tol * max(clusters, 1.0) ** 0.5) and moved < 1e-4:
+            flat = np.all(rel[free & ~at_zero] < tol * max(clusters, 1.0) ** 0.5)
+            back_in = free & (m.sd <= 1.01e-3) & (g * 0.005 > 1e-3)
+            if flat and moved < 1e-3 and not back_in.any():
                 m.converged = True
                 break
-            if moved < 1e-2 and off < 1e-2:
-                new_s = _secant(s, g, last_s, last_g, free, clusters)
+            if not flat or back_in.any():
+                new_s = _secant(s, g, last_s, last_g, free, clusters, tried)
                 last_s, last_g = s, g
+                change = float(np.abs(np.log(new_s[free] / np.maximum(s[free], 1e-12))).max())
                 scale = np.where(free, np.sqrt(new_s) / np.maximum(m.sd, 1e-150), 1.0)
                 modes = _next_modes(full, m, move)
                 # keep the predictor contribution sd * effect while the deviation changes
@@ -243,15 +242,41 @@ def fit_mixed(
     return m
 
 
-def _secant(s, g, last_s, last_g, free, clusters) -> np.ndarray:
-    """Next variances: per-component secant step on log s, limited to a factor of four."""
+def mixed_sweep(
+    df: DataFrame, outcomes: list[str], covariates: list[Term], cluster: str,
+    household: str | None = None, adjusted: bool = False,
+) -> list[MixedModel]:
+    """One mixed model per outcome and covariate, and on request the adjusted one."""
+    out = []
+    for o in outcomes:
+        sets = {getattr(t, "column", t): [t] for t in covariates}
+        if adjusted:
+            sets["adjusted"] = list(covariates)
+        out += [
+            fit_mixed(df, o, terms, cluster, household, model_id=f"{o}~{name}")
+            for name, terms in sets.items()
+        ]
+    return out
+
+
+def _secant(s, g, last_s, last_g, free, clusters, tried) -> np.ndarray:
+    """Next variances: per-component secant step on log s, limited to a factor of four.
+
+    A small variance that still falls is tried at the bound once; if the likelihood rises there,
+    it comes back and is followed by steps.
+    """
     x, gx = np.log(np.maximum(s, 1e-12)), g * s
     step = np.where(free, np.clip(4 * gx / max(clusters, 1.0), -1.0, 1.0), 0.0)
     if last_s is not None:
         dx = x - np.log(np.maximum(last_s, 1e-12))
         curve = np.where(np.abs(dx) > 1e-12, (gx - last_g * last_s) / np.where(dx == 0, 1, dx), 0.0)
-        step = np.where(free & (curve < 0), np.clip(-gx / np.where(curve == 0, 1, curve), -1.4, 1.4), step)
-    return np.maximum(np.exp(x + step), 1e-6)
+        falling = (curve < 0) & (np.abs(dx) < 3)
+        step = np.where(free & falling, np.clip(-gx / np.where(curve == 0, 1, curve), -1.4, 1.4), step)
+    new = np.maximum(np.exp(x + step), 1e-6)
+    jump = free & (g < 0) & (new < 0.03) & ~tried
+    tried |= jump
+    new = np.where(jump, 1e-6, new)
+    return np.where(free & (s <= 1.1e-6) & (g > 0), 0.01, new)
 
 
 def mixed_odds_ratios(df: DataFrame, models: list[MixedModel]) -> DataFrame:

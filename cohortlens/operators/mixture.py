@@ -66,9 +66,9 @@ def _start(signal: str, mids: np.ndarray, counts: np.ndarray, k: int, floor: flo
     spread = np.average((mids - centre) ** 2, weights=counts)
     m = Mixture(signal, np.full(k, 1 / k), mean, np.full(k, max(spread / k, floor)))
     last = -np.inf
-    for _ in range(2000):
+    for _ in range(5000):
         m = _m_step(_e_step(mids, counts, m), m, floor)
-        if abs(m.loglik - last) < 1e-9 * abs(m.loglik):
+        if abs(m.loglik - last) < 1e-12 * abs(m.loglik):
             break
         last = m.loglik
     return m
@@ -176,7 +176,7 @@ def mixture_density(df: DataFrame, fits: list[Mixture], log: bool = True, bins:
     counted = null_safe(values, span, ["signal"], "inner").groupBy("signal", index.alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
+    grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     mid = F.col("lo") + (F.col("bin") + 0.5) * width
     fitted = F.lit(None).cast("double")
     for m in fits:

@@ -285,6 +285,9 @@ def oracle_sql() -> dict[str, str]:
         FROM keyed LEFT JOIN (SELECT ptid, pcr_pm FROM lab) USING (ptid)
         WHERE pcr_pm = 1 OR (hrp2_pos = 0 AND paldo_pos = 0 AND pldh_pos = 0 AND pvldh_pos = 0)"""
 
+    o["four_antigen_negative"] = f"""{BASE} SELECT ptid, varunit FROM keyed WHERE hrp2_pos = 0
+        AND paldo_pos = 0 AND pldh_pos = 0 AND pvldh_pos = 0"""
+
     # joins
     covered = f"{NET}, {_LAB}"
     o["pcr_join"] = f"""{covered} SELECT ptid, cluster, pcr_species, pcr_pm, pcr_po, agegrp,
@@ -343,16 +346,16 @@ def oracle_sql() -> dict[str, str]:
         tail = f"GROUP BY {by}" if by else ""
         return " UNION ALL ".join(
             f"""SELECT {head}'{c}' AS variable, count({c}) AS n, count(*) - count({c}) AS n_null,
-            round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS sd,
-            round(CAST(min({c}) AS DOUBLE), 5) AS min,
-            round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 5) AS q1,
-            round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 5) AS median,
-            round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 5) AS q3,
-            round(CAST(max({c}) AS DOUBLE), 5) AS max{extra.format(c)} FROM keyed {tail}""" for c in columns)
+            CAST(avg({c}) AS FLOAT) AS mean, CAST(stddev_samp({c}) AS FLOAT) AS sd,
+            CAST(min({c}) AS FLOAT) AS min,
+            CAST(quantile_cont(CAST({c} AS DOUBLE), 0.25) AS FLOAT) AS q1,
+            CAST(quantile_cont(CAST({c} AS DOUBLE), 0.5) AS FLOAT) AS median,
+            CAST(quantile_cont(CAST({c} AS DOUBLE), 0.75) AS FLOAT) AS q3,
+            CAST(max({c}) AS FLOAT) AS max{extra.format(c)} FROM keyed {tail}""" for c in columns)
 
     o["summary"] = f"{BASE} {summarise(['gst', 'pomsp1', 'ahmember', 'a1q120'], 'ahzone')}"
     o["profile"] = f"""{BASE} {summarise(["age", "ab_wt", *K.IGG_CUTOFFS, "gst", "a1q119"], None,
-        ", round(count({0}) / CAST(count(*) AS DOUBLE), 5) AS complete_rate")}"""
+        ", CAST(count({0}) / CAST(count(*) AS DOUBLE) AS FLOAT) AS complete_rate")}"""
     o["null_counts"] = f"""{BASE} SELECT {", ".join(
         f"count(*) - count({c}) AS {c}" for c in ("a1q119", "a1q120", "gst", "age"))} FROM keyed"""
     o["n_distinct"] = f"""{BASE} SELECT (SELECT count(*) FROM (SELECT DISTINCT varunit FROM keyed)) AS psu,
@@ -559,4 +562,51 @@ def oracle_sql() -> dict[str, str]:
           (t0 * (s2 * s4 - s3 * s3) + t1 * (s2 * s3 - s1 * s4) + t2 * (s1 * s3 - s2 * s2)) /
           (s0 * (s2 * s4 - s3 * s3) + s1 * (s2 * s3 - s1 * s4) + s2 * (s1 * s3 - s2 * s2)) END, 5) AS fit
         FROM s"""
+
+    # models
+    scored = f"""{BASE}, scored AS (SELECT ptid, age, ahmember, pmpos AS y,
+        1 / (1 + exp(-(CAST(-1.4 AS DOUBLE) + 0.11::DOUBLE * age - 0.05::DOUBLE * ahmember))) AS p FROM person)"""
+    ll = "CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END"
+    o["gof"] = f"""{scored} SELECT count(*) AS n, round(sum(-2 * {ll}), 4) AS deviance,
+        round(sum((y - p) * (y - p) / (p * (1 - p))), 4) AS pearson, count(*) - 3 AS df FROM scored"""
+    o["hosmer"] = f"""{scored}, q AS (SELECT {", ".join(
+        f"quantile_cont(p, {i / 10}) AS q{i}" for i in range(1, 10))} FROM scored),
+        g AS (SELECT {" + ".join(f"CASE WHEN p > q{i} THEN 1 ELSE 0 END" for i in range(1, 10))} AS bin,
+              count(*) AS n, sum(y) AS o1, sum(p) AS e1 FROM scored, q GROUP BY 1)
+        SELECT round(sum((o1 - e1) * (o1 - e1) / e1 + (o1 - e1) * (o1 - e1) / (n - e1)), 4) AS chisq,
+        count(*) AS groups, count(*) - 2 AS df FROM g"""
+    binned = f"""{scored}, s AS (SELECT p, y - p AS r, row_number() OVER (ORDER BY p) AS rn,
+        count(*) OVER () AS n FROM scored), k AS (SELECT CAST(floor(sqrt(max(n))) AS BIGINT) AS k FROM s),
+        br AS (SELECT DISTINCT p AS b FROM s, k, range(1, 100000) t WHERE t.range < k
+               AND rn = (n * t.range) // k),
+        v AS (SELECT p, count(*) AS n, sum(r) AS r1, sum(r * r) AS r2 FROM s GROUP BY p),
+        l AS (SELECT v.*, (SELECT count(*) FROM br WHERE b < v.p) AS bin FROM v),
+        g AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(p * n) / sum(n) AS mean_p, sum(r1) / sum(n) AS mean_resid,
+              2 * sqrt(greatest(sum(r2) - sum(r1) * sum(r1) / sum(n), 0) / (sum(n) - 1)) / sqrt(sum(n)) AS bound
+              FROM l GROUP BY bin)"""
+    o["binned_resid"] = f"""{binned} SELECT n, {_dup(["mean_p", "mean_resid", "bound"])},
+        abs(mean_resid) <= bound AS inside FROM g"""
+    o["binned_resid_share"] = f"""{binned} SELECT count(*) AS bins,
+        round(avg(CASE WHEN abs(mean_resid) <= bound THEN 1.0::DOUBLE ELSE 0 END), 6) AS inside FROM g"""
+    o["model_performance"] = f"""{scored} SELECT count(*) AS n, round(sum({ll}), 4) AS loglik,
+        round(avg(p) FILTER (y = 1) - avg(p) FILTER (y = 0), 4) AS r2_tjur,
+        round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(6 - 2 * sum({ll}), 4) AS aic,
+        round(3 * ln(count(*)) - 2 * sum({ll}), 4) AS bic FROM scored"""
+    o["residual_trend"] = f"""{scored}, q AS (SELECT {", ".join(
+        f"quantile_cont(age::DOUBLE, {i / 10}) AS q{i}" for i in range(1, 10))} FROM scored),
+        g AS (SELECT {" + ".join(f"CASE WHEN age > q{i} THEN 1 ELSE 0 END" for i in range(1, 10))} AS bin,
+              age, (y - p) / sqrt(p * (1 - p)) AS r FROM scored, q)
+        SELECT count(*) AS n, round(avg(age), 6) AS mean_x, round(avg(r), 6) AS mean_pearson FROM g GROUP BY bin"""
+    o["separation_levels"] = f"{BASE} " + " UNION ALL ".join(
+        f"""SELECT '{t}' AS term, CAST({c} AS VARCHAR) AS level, count(*) AS n,
+        CAST(sum(popos) AS BIGINT) AS events, sum(popos) = 0 OR sum(popos) = count(*) AS separated
+        FROM keyed WHERE {c} IS NOT NULL GROUP BY {c}"""
+        for t, c in (("agegrp", "agegrp"), ("wealthquintile", "wealthquintile"),
+                     ("gender", f"({_YESNO.format('gender')})"), ("age", "age")))
+    o["separation_ranges"] = f"""{NET}, c AS (SELECT popos AS y, n_net / CAST(n_clust AS DOUBLE) AS netcover_avg,
+        net1_8 - n_net / CAST(n_clust AS DOUBLE) AS netcover_ind, CAST(age AS DOUBLE) AS age FROM covered),
+        r AS ({" UNION ALL ".join(f"""SELECT '{t}' AS term, min({t}) FILTER (y = 0) AS lo0,
+        max({t}) FILTER (y = 0) AS hi0, min({t}) FILTER (y = 1) AS lo1, max({t}) FILTER (y = 1) AS hi1 FROM c"""
+        for t in ("netcover_avg", "netcover_ind", "age"))})
+        SELECT term, {_dup(["lo0", "hi0", "lo1", "hi1"])}, hi0 <= lo1 OR hi1 <= lo0 AS separated FROM r"""
     return o

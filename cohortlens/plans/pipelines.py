@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.operators import filters as flt
 from cohortlens.operators import groups as G
@@ -31,3 +32,29 @@ def lab_with_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lab = flt.missing(view.lab_samples(spark, sf_dir), "missing_samples")
     return P.age_group3(G.left_join(P.species_flags(lab), covariates, "ptid"))
+
+
+def model_persons(df: DataFrame) -> DataFrame:
+    """Persons with model covariates and an outcome that varies by cluster.
+
+    ``clustered`` shifts the age-dependent positivity by a hash of the cluster.
+    """
+    out = P.age_group3(person_covariates(df))
+    effect = (F.pmod(F.xxhash64("varunit"), F.lit(1000)) / 1000.0 - 0.5) * 3.0
+    chance = 1 / (1 + F.exp(-(-1.5 + 0.15 * F.col("age") + effect)))
+    draw = F.pmod(F.xxhash64("ptid", F.lit(7)), F.lit(100_000)) / 100_000.0
+    return out.withColumn("clustered", F.when(draw < chance, 1).otherwise(0))
+
+
+def infection_case_set(persons: DataFrame, lab: DataFrame, outcome: str) -> DataFrame:
+    """Infected persons and persons negative on all four antigens, one row each.
+
+    A person in both groups counts as a case; a reference person without a laboratory result
+    counts as not infected.
+    """
+    flagged = P.antigen_flags(persons.withColumnRenamed("hrp2_1", "hrp2_a"))
+    joined = G.left_join(flagged, P.species_flags(lab).select("ptid", outcome), "ptid")
+    negative = F.lit(True)
+    for flag in ("hrp2_pos", "paldo_pos", "pldh_pos", "pvldh_pos"):
+        negative = negative & (F.col(flag) == 0)
+    return G.case_reference_set(joined, outcome, negative)

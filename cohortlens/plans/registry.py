@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 from cohortlens.functions import constants as K
 from cohortlens.functions.staging import null_safe, stage
 from cohortlens.operators import catalytic as C
+from cohortlens.operators import diagnostics as D
 from cohortlens.operators import filters as flt
 from cohortlens.operators import groups as G
 from cohortlens.operators import linear as L
+from cohortlens.operators import logistic as M
+from cohortlens.operators import mixed as X
+from cohortlens.operators import mixture as N
 from cohortlens.operators import recode as P
 from cohortlens.operators import smooth as S
 from cohortlens.operators import spatial as A
 from cohortlens.operators import survey as V
 from cohortlens.operators import tables as T
 from cohortlens.plans import survey_view as view
-from cohortlens.plans.pipelines import clean_persons, lab_with_covariates, person_covariates
+from cohortlens.plans.pipelines import (
+    clean_persons,
+    infection_case_set,
+    lab_with_covariates,
+    model_persons,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 MSP1 = ["pmmsp1", "pomsp1", "pvmsp1", "pfmsp1"]
@@ -49,6 +58,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def floats(df: DataFrame) -> DataFrame:
+    """Doubles in single precision: comparable across engines without decimal ties."""
+    return df.select(
+        *[
+            F.col(f.name).cast("float").alias(f.name) if f.dataType.simpleString() == "double" else f.name
+            for f in df.schema
+        ]
+    )
+
+
 def design(df: DataFrame) -> V.Design:
     return V.survey_design(df, "varstrat", "varunit", "ab_wt", rescale=True, check=False)
 
@@ -173,17 +192,15 @@ def case_vs_reference(spark, sf_dir):
 
 @query
 def case_reference_set(spark, sf_dir):
-    persons = P.antigen_flags(
-        view.persons(spark, sf_dir).withColumnRenamed("hrp2_1", "hrp2_a")
-    )
-    lab = P.species_flags(view.lab_samples(spark, sf_dir)).select("ptid", "pcr_pm")
-    joined = G.left_join(persons, lab, "ptid")
+    out = infection_case_set(view.persons(spark, sf_dir), view.lab_samples(spark, sf_dir), "pcr_pm")
+    return out.select("ptid", "varunit", "pcr_pm", "hrp2_pos", "paldo_pos", "pldh_pos", "pvldh_pos")
+
+
+@query
+def four_antigen_negative(spark, sf_dir):
+    df = clean_persons(view.persons(spark, sf_dir), drop_background=False)
     flags = ["hrp2_pos", "paldo_pos", "pldh_pos", "pvldh_pos"]
-    negative = (
-        (F.col(flags[0]) == 0) & (F.col(flags[1]) == 0) & (F.col(flags[2]) == 0) & (F.col(flags[3]) == 0)
-    )
-    out = G.case_reference_set(joined, "pcr_pm", negative)
-    return out.select("ptid", "varunit", "pcr_pm", *flags)
+    return flt.all_negative(df, flags).select("ptid", "varunit")
 
 
 # ---- joins ----------------------------------------------------------------------------------------
@@ -277,12 +294,12 @@ def serology_by_age_group(spark, sf_dir):
 @query
 def summary(spark, sf_dir):
     df = T.summary(view.persons(spark, sf_dir), ["gst", "pomsp1", "ahmember", "a1q120"], ["ahzone"])
-    return rounded(df, 5)
+    return floats(df)
 
 
 @query
 def profile(spark, sf_dir):
-    return rounded(T.profile(view.persons(spark, sf_dir), ["age", "ab_wt", *SIGNALS, "a1q119"]), 5)
+    return floats(T.profile(view.persons(spark, sf_dir), ["age", "ab_wt", *SIGNALS, "a1q119"]))
 
 
 @query
@@ -660,3 +677,177 @@ def loess_age_se(spark, sf_dir):
     df = S.prevalence_by_age(view.persons(spark, sf_dir), AREA_FLAGS, ["gender"])
     at = F.transform(F.sequence(F.lit(0), F.lit(140)), lambda i: i / 10.0)
     return S.loess(df, "age", "prevalence", ["gender", "outcome"], at)
+
+
+# ---- models -----------------------------------------------------------------------------------------
+
+
+def _terms():
+    return [
+        M.factor("agegrp", (1, 2, 3)), "gender", M.factor("wealthquintile", (1, 2, 3, 4, 5)), "urban",
+        "netcover_ind", "netcover_avg",
+    ]
+
+
+def _scored(spark, sf_dir):
+    """Persons with a given fitted probability, for diagnostics that need no fit."""
+    eta = -1.4 + 0.11 * F.col("age") - 0.05 * F.col("ahmember")
+    df = view.persons(spark, sf_dir).select("ptid", "age", "ahmember", "pmpos")
+    p = 1 / (1 + F.exp(-eta))
+    return df.withColumn("p_hat", p).withColumn(
+        "pearson", (F.col("pmpos") - F.col("p_hat")) / F.sqrt(F.col("p_hat") * (1 - F.col("p_hat")))
+    )
+
+
+@query
+def gof(spark, sf_dir):
+    return rounded(D.goodness_of_fit(_scored(spark, sf_dir), "pmpos", "p_hat", 3, p_values=False), 4)
+
+
+@query
+def hosmer(spark, sf_dir):
+    return rounded(D.hosmer_lemeshow(_scored(spark, sf_dir), "pmpos", "p_hat", p_values=False), 4)
+
+
+@query
+def binned_resid(spark, sf_dir):
+    return rounded(D.binned_residuals(_scored(spark, sf_dir), "pmpos", "p_hat").drop("bin"))
+
+
+@query
+def binned_resid_share(spark, sf_dir):
+    return rounded(D.share_inside(D.binned_residuals(_scored(spark, sf_dir), "pmpos", "p_hat")))
+
+
+@query
+def model_performance(spark, sf_dir):
+    return rounded(D.performance(_scored(spark, sf_dir), "pmpos", "p_hat", 3), 4)
+
+
+@query
+def residual_trend(spark, sf_dir):
+    return rounded(D.residual_trend(_scored(spark, sf_dir), "age").drop("bin"))
+
+
+@query
+def separation_levels(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return M.level_separation(df, "popos", ["agegrp", "wealthquintile", "gender", "age"])
+
+
+@query
+def separation_ranges(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return rounded(M.range_separation(df, "popos", ["netcover_avg", "netcover_ind", "age"]))
+
+
+@query
+def separation_fit(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return M.fit_separation(df, M.fit_logistic(df, "pmpos", _terms()))
+
+
+@query
+def logistic(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return M.odds_ratios(df, [M.fit_logistic(df, "pmpos", _terms())])
+
+
+@query
+def firth(spark, sf_dir):
+    df = lab_with_covariates(spark, sf_dir)
+    return M.odds_ratios(df, [M.fit_logistic(df, "pcr_po", _terms(), kind="firth")])
+
+
+@query
+def model_sweep(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return M.odds_ratios(df, M.model_sweep(df, AREA_FLAGS, _terms()))
+
+
+@query
+def infection_sweep(spark, sf_dir):
+    persons = model_persons(view.persons(spark, sf_dir))
+    df = infection_case_set(persons, view.lab_samples(spark, sf_dir), "pcr_pm")
+    return M.odds_ratios(df, M.model_sweep(df, ["pcr_pm"], _terms()))
+
+
+@query
+def model_scores(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    scored = M.score(df, M.fit_logistic(df, "pmpos", _terms()))
+    return scored.select("ptid", "pmpos", "p_hat", "hat", "resid", "pearson", "deviance")
+
+
+@query
+def model_collinearity(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return D.collinearity(df, M.fit_logistic(df, "pmpos", _terms()))
+
+
+@query
+def model_curvature(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return D.curvature_tests(df, M.fit_logistic(df, "pmpos", _terms()))
+
+
+@query
+def model_outlier(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return D.outlier_test(M.score(df, M.fit_logistic(df, "pmpos", _terms())), "ptid")
+
+
+@query
+def model_tests(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    model = M.fit_logistic(df, "pmpos", _terms())
+    scored = stage(M.score(df, model).select("pmpos", "p_hat"))
+    fit = D.goodness_of_fit(scored, "pmpos", "p_hat", len(model.beta))
+    hl = D.hosmer_lemeshow(scored, "pmpos", "p_hat")
+    return fit.select(
+        F.lit("deviance").alias("test"), F.col("deviance").alias("statistic"),
+        F.col("df").cast("long").alias("df"), F.col("p_deviance").alias("p"),
+    ).unionByName(
+        fit.select(
+            F.lit("pearson").alias("test"), F.col("pearson").alias("statistic"),
+            F.col("df").cast("long").alias("df"), F.col("p_pearson").alias("p"),
+        )
+    ).unionByName(
+        hl.select(
+            F.lit("hosmer_lemeshow").alias("test"), F.col("chisq").alias("statistic"),
+            F.col("df").cast("long").alias("df"), "p",
+        )
+    )
+
+
+@query
+def mixture2(spark, sf_dir):
+    df = view.persons(spark, sf_dir)
+    two = ["csp", "glurp0", "hrp2", "lsa1", "pmmsp1", "pomsp1", "pvmsp1"]
+    k = {**{s: 2 for s in two}, "ama1": 6, "pfmsp1": 6}
+    return N.mixture_table(df, N.fit_mixtures(df, k))
+
+
+@query
+def mixture_density(spark, sf_dir):
+    df = view.persons(spark, sf_dir)
+    return N.mixture_density(df, N.fit_mixtures(df, {"pmmsp1": 2, "pomsp1": 2}))
+
+
+@query
+def glmm(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return X.mixed_odds_ratios(df, [X.fit_mixed(df, "clustered", _terms(), "varunit")])
+
+
+@query
+def glmm_nested(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    return X.mixed_odds_ratios(df, [X.fit_mixed(df, "clustered", _terms(), "varunit", "a1qnumber")])
+
+
+@query
+def glmm_bivariate(spark, sf_dir):
+    df = model_persons(view.persons(spark, sf_dir))
+    models = X.mixed_sweep(df, ["clustered"], ["livestock", "ahmember"], "varunit")
+    return X.mixed_performance(df, models)
