@@ -43,27 +43,60 @@ class MixedModel:
 _LEVELS = ("_cluster", "_household")
 
 
-def _household_sums(table: DataFrame, modes: DataFrame, m: MixedModel, p: int) -> DataFrame:
-    """Per household: weight, residual, curvature sums, their products with x, and X'WX."""
+def _kernel(x: np.ndarray, rows: pd.DataFrame, beta: np.ndarray, b: float, c: float):
+    """Predictor, weight and residual of pattern rows at the current modes."""
+    n, y = rows["_n"].to_numpy(), rows["_y"].to_numpy()
+    eta = x @ beta + b * rows["v"].to_numpy() + c * rows["u"].to_numpy()
+    mu = 1 / (1 + np.exp(-eta))
+    w = n * mu * (1 - mu)
+    return w, n * (y - mu), w * (1 - 2 * mu), n * (y * eta - np.logaddexp(0, eta))
+
+
+def _household_sums(joined: DataFrame, m: MixedModel, p: int) -> DataFrame:
+    """Per household: weight, residual, curvature, log-likelihood, and the first three times x.
+
+    Batches are reduced per household before the shuffle; the coefficients travel with the Arrow
+    function, so the compiled plan is the same in every step.
+    """
+    names = [f"x{i}" for i in range(p)]
+    sums = ["w", "g", "t", "l", *[f"{k}{i}" for k in "sqr" for i in range(p)]]
     b, c = (float(s) for s in m.sd)
-    eta = " + ".join(f"{float(v)!r}D * x{i}" for i, v in enumerate(m.fixed.beta))
-    rows = null_safe(table, modes, list(_LEVELS), "inner").selectExpr(
-        "*", f"{eta} + {b!r}D * v + {c!r}D * u AS eta"
-    )
-    rows = rows.selectExpr("*", "1 / (1 + exp(-eta)) AS mu").selectExpr(
-        "*", "_n * mu * (1 - mu) AS _w", "_n * (_y - mu) AS _r",
-        "_n * (_y * eta - greatest(eta, 0D) - log1p(exp(-abs(eta)))) AS _l",
-    ).selectExpr("*", "_w * (1 - 2 * mu) AS _t")
-
-    def vector(weight: str, name: str):
-        items = ", ".join(f"sum({weight} * x{i})" for i in range(p))
-        return F.expr(f"array({items}) AS {name}")
-
-    cross = ", ".join(f"sum(_w * x{i} * x{j})" for i in range(p) for j in range(i + 1))
-    return rows.groupBy(*_LEVELS, "v", "u").agg(
-        *[F.expr(f"sum(_{k}) AS {name}") for k, name in (("w", "w"), ("r", "g"), ("t", "t"), ("l", "l"))],
-        vector("_w", "s"), vector("_t", "q"), vector("_r", "r"), F.expr(f"array({cross}) AS xwx"),
-    )
+    beta = m.fixed.beta.copy()
+
+    def reduce(batches):
+        for rows in batches:
+            x = rows[names].to_numpy(dtype=float)
+            w, g, t, l = _kernel(x, rows, beta, b, c)
+            parts = np.column_stack(
+                [w, g, t, l, x * w[:, None], x * t[:, None], x * g[:, None]]
+            )
+            group = rows.groupby(list(_LEVELS), sort=False)
+            codes = group.ngroup().to_numpy()
+            total = np.zeros((codes.max() + 1 if len(codes) else 0, parts.shape[1]))
+            np.add.at(total, codes, parts)
+            out = group[["v", "u"]].first().reset_index()
+            yield pd.concat([out, pd.DataFrame(total, columns=sums)], axis=1)
+
+    kinds = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in _LEVELS)
+    schema = f"{kinds}, v double, u double, " + ", ".join(f"{k} double" for k in sums)
+    partial = joined.mapInPandas(reduce, schema)
+    out = partial.groupBy(*_LEVELS, "v", "u").agg(*[F.sum(k).alias(k) for k in sums])
+    vectors = [f"array({', '.join(f'{k}{i}' for i in range(p))}) AS {k}" for k in "sqr"]
+    return out.selectExpr(*_LEVELS, "v", "u", "w", "g", "t", "l", *vectors)
+
+
+def _information(joined: DataFrame, m: MixedModel, p: int) -> np.ndarray:
+    """X'WX over all rows."""
+    names = [f"x{i}" for i in range(p)]
+    b, c = (float(s) for s in m.sd)
+    beta = m.fixed.beta.copy()
+
+    def sums(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        x = rows[names].to_numpy(dtype=float)
+        w = _kernel(x, rows, beta, b, c)[0]
+        return {"xwx": ((x * w[:, None]).T @ x).ravel()}
+
+    return array_sums(joined, sums)["xwx"].reshape(p, p)
 
 
 def _cluster_sums(households: DataFrame, m: MixedModel, p: int) -> DataFrame:
@@ -125,9 +158,11 @@ def _totals(full: DataFrame, m: MixedModel, p: int) -> dict[str, np.ndarray]:
         gc = u * g - 0.5 * lc - 0.5 * q * t * (u + b * dvc + c * duc)
         ll = h["l"].to_numpy(dtype=float) - 0.5 * u * u - 0.5 * one * v * v
         ll = ll - 0.5 * np.log(d) - 0.5 * one * np.log(e)
+        # expected information about the log variances
+        ib, ic = 0.5 * one * (b * b * a / e) ** 2, 0.5 * (c * c * w / d) ** 2
         return {
-            "ll": np.array([ll.sum(), one.sum(), gb.sum(), gc.sum()]), "grad": grad.sum(0),
-            "back": back.sum(0), "schur": schur.sum(0).ravel(), "xwx": _stack(h["xwx"]).sum(0),
+            "ll": np.array([v.sum() for v in (ll, one, gb, gc, ib, ic)]), "grad": grad.sum(0),
+            "back": back.sum(0), "schur": schur.sum(0).ravel(),
             "mode": np.array([np.sum(ru * ru) + np.sum(one * rv * rv)]),
         }
 
@@ -161,45 +196,47 @@ def _next_modes(full: DataFrame, m: MixedModel, move: np.ndarray) -> DataFrame:
 
 def fit_mixed(
     df: DataFrame, outcome: str, terms: list[Term], cluster: str, household: str | None = None,
-    sd0: float = 0.5, max_steps: int = 80, tol: float = 3e-5, model_id: str | None = None,
+    sd0: float = 0.5, max_steps: int = 80, tol: float = 1e-3, model_id: str | None = None,
 ) -> MixedModel:
     """Laplace fit with a random intercept per cluster, and per household within it if given.
 
-    Coefficients and modes take Newton steps for the current deviations; the variances follow their
-    own gradient by safeguarded secant steps once the inner equations hold.  A variance that the
-    data drive to zero ends at a small bound.
+    Coefficients and modes take Newton steps for the current deviations (X'WX is renewed with
+    large change of them); the variances follow their own gradient by scoring steps once the inner
+    equations hold.  A variance that the data drive to zero ends at a small bound.
     """
     fixed = Model(model_id or outcome, outcome, list(terms), "ml")
     keys = [cluster, *([household] if household else [])]
-    used = df.dropna(subset=[outcome, *fixed.columns, *keys])
-    fit_models(used, [fixed])
-    p = len(fixed.coding)
-    grouped = used.select(
+    used = df.dropna(subset=[outcome, *fixed.columns, *keys]).select(
         F.col(cluster).alias("_cluster"),
         (F.col(household) if household else F.lit(0)).alias("_household"),
-        F.col(outcome).cast("double").alias("_y"),
+        *dict.fromkeys([outcome, *fixed.columns]),
+    )
+    collapsed = patterns(used, used.columns)
+    fit_models(collapsed, [fixed], collapsed=True)
+    p = len(fixed.coding)
+    table = collapsed.select(
+        *_LEVELS, F.col(outcome).cast("double").alias("_y"), F.col("_n").cast("double").alias("_n"),
         *[x.alias(f"x{i}") for i, x in enumerate(design_columns(fixed))],
     )
-    table = patterns(grouped, grouped.columns).withColumn("_n", F.col("_n").cast("double"))
     m = MixedModel(fixed, np.array([sd0, sd0 if household else 0.0]), bool(household))
     modes = table.select(*_LEVELS).distinct().withColumns({"v": F.lit(0.0), "u": F.lit(0.0)})
     free = np.array([True, bool(household)])
-    last_s = last_g = None
     inner, change, tried = 0, 1.0, np.array([False, False])
+    xwx = fixed.information
     for step in range(max_steps):
         m.steps = step + 1
-        households = stage(_household_sums(table, modes, m, p))
+        joined = null_safe(table, modes, list(_LEVELS), "inner")
+        if inner == 0 and step > 0 and change > 0.3:
+            xwx = _information(joined, m, p)
+        households = stage(_household_sums(joined, m, p))
         full = _full(households, m, p)
         sums = _totals(full, m, p)
-        xwx = np.zeros((p, p))
-        xwx[np.tril_indices(p)] = sums["xwx"]
-        xwx = xwx + xwx.T - np.diag(np.diag(xwx))
         hessian = xwx + sums["schur"].reshape(p, p)
         fixed.information = hessian
         fixed.vcov = np.linalg.pinv(hessian, hermitian=True)
         move = fixed.vcov @ (sums["grad"] - sums["back"])
         move *= min(1.0, 2.0 / max(np.abs(move).max(), 1e-300))
-        m.loglik, clusters, gb, gc = sums["ll"]
+        m.loglik, clusters, gb, gc, ib, ic = sums["ll"]
         m.n_clusters = int(round(clusters))
         off = np.sqrt(sums["mode"][0] / max(clusters, 1.0))
         moved = np.abs(move / np.sqrt(np.maximum(np.diag(fixed.vcov), 1e-300))).max()
@@ -213,14 +250,14 @@ def fit_mixed(
             g = np.where(free, np.array([gb, gc]) / (2 * np.maximum(m.sd, 1e-150)), 0.0)
             rel = np.abs(g * s)
             at_zero = (m.sd <= 1.01e-3) & (g < 0)
-            flat = np.all(rel[free & ~at_zero] < tol * max(clusters, 1.0) ** 0.5)
+            # all gradients are judged in units of their standard error
+            flat = np.all((rel / np.sqrt(np.maximum([ib, ic], 1e-12)))[free & ~at_zero] < tol)
             back_in = free & (m.sd <= 1.01e-3) & (g * 0.005 > 1e-3)
             if flat and moved < 1e-3 and not back_in.any():
                 m.converged = True
                 break
             if not flat or back_in.any():
-                new_s = _secant(s, g, last_s, last_g, free, clusters, tried)
-                last_s, last_g = s, g
+                new_s = _next_variances(s, g, np.array([ib, ic]), free, tried)
                 change = float(np.abs(np.log(new_s[free] / np.maximum(s[free], 1e-12))).max())
                 scale = np.where(free, np.sqrt(new_s) / np.maximum(m.sd, 1e-150), 1.0)
                 modes = _next_modes(full, m, move)
@@ -234,6 +271,10 @@ def fit_mixed(
                 continue
         modes = _next_modes(full, m, move)
         fixed.beta = fixed.beta + move
+    if m.converged:
+        xwx = _information(null_safe(table, modes, list(_LEVELS), "inner"), m, p)
+        fixed.information = xwx + sums["schur"].reshape(p, p)
+        fixed.vcov = np.linalg.pinv(fixed.information, hermitian=True)
     eta = sum((float(v) * F.col(f"x{i}") for i, v in enumerate(fixed.beta)), F.lit(0.0))
     moments = table.agg(
         F.sum("_n").alias("n"), F.sum(F.col("_n") * eta).alias("a"), F.sum(F.col("_n") * eta * eta).alias("b")
@@ -259,20 +300,14 @@ def mixed_sweep(
     return out
 
 
-def _secant(s, g, last_s, last_g, free, clusters, tried) -> np.ndarray:
-    """Next variances: per-component secant step on log s, limited to a factor of four.
+def _next_variances(s, g, info, free, tried) -> np.ndarray:
+    """Scoring step on the log variances, limited to a factor of four.
 
     A small variance that still falls is tried at the bound once; if the likelihood rises there,
     it comes back and is followed by steps.
     """
-    x, gx = np.log(np.maximum(s, 1e-12)), g * s
-    step = np.where(free, np.clip(4 * gx / max(clusters, 1.0), -1.0, 1.0), 0.0)
-    if last_s is not None:
-        dx = x - np.log(np.maximum(last_s, 1e-12))
-        curve = np.where(np.abs(dx) > 1e-12, (gx - last_g * last_s) / np.where(dx == 0, 1, dx), 0.0)
-        falling = (curve < 0) & (np.abs(dx) < 3)
-        step = np.where(free & falling, np.clip(-gx / np.where(curve == 0, 1, curve), -1.4, 1.4), step)
-    new = np.maximum(np.exp(x + step), 1e-6)
+    step = np.where(free, np.clip(g * s / np.maximum(info, 1e-12), -1.4, 1.4), 0.0)
+    new = np.maximum(s * np.exp(step), 1e-6)
     jump = free & (g < 0) & (new < 0.03) & ~tried
     tried |= jump
     new = np.where(jump, 1e-6, new)
