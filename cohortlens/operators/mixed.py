@@ -222,10 +222,10 @@ def fit_mixed(
     modes = table.select(*_LEVELS).distinct().withColumns({"v": F.lit(0.0), "u": F.lit(0.0)})
     free = np.array([True, bool(household)])
     inner, change, tried = 0, 1.0, np.array([False, False])
-    xwx = fixed.information
+    xwx, last = fixed.information, np.full(2, np.nan)
     for step in range(max_steps):
         m.steps = step + 1
-        joined = null_safe(table, modes, list(_LEVELS), "inner")
+        joined = table.join(modes, list(_LEVELS))
         if inner == 0 and step > 0 and change > 0.3:
             xwx = _information(joined, m, p)
         households = stage(_household_sums(joined, m, p))
@@ -257,7 +257,7 @@ def fit_mixed(
                 m.converged = True
                 break
             if not flat or back_in.any():
-                new_s = _next_variances(s, g, np.array([ib, ic]), free, tried)
+                new_s, last = _next_variances(s, g, np.array([ib, ic]), free, tried, last)
                 change = float(np.abs(np.log(new_s[free] / np.maximum(s[free], 1e-12))).max())
                 scale = np.where(free, np.sqrt(new_s) / np.maximum(m.sd, 1e-150), 1.0)
                 modes = _next_modes(full, m, move)
@@ -272,7 +272,7 @@ def fit_mixed(
         modes = _next_modes(full, m, move)
         fixed.beta = fixed.beta + move
     if m.converged:
-        xwx = _information(null_safe(table, modes, list(_LEVELS), "inner"), m, p)
+        xwx = _information(table.join(modes, list(_LEVELS)), m, p)
         fixed.information = xwx + sums["schur"].reshape(p, p)
         fixed.vcov = np.linalg.pinv(fixed.information, hermitian=True)
     eta = sum((float(v) * F.col(f"x{i}") for i, v in enumerate(fixed.beta)), F.lit(0.0))
@@ -300,18 +300,23 @@ def mixed_sweep(
     return out
 
 
-def _next_variances(s, g, info, free, tried) -> np.ndarray:
-    """Scoring step on the log variances, limited to a factor of four.
+def _next_variances(s, g, info, free, tried, last):
+    """Scoring step on the log variances, limited to a factor of four, and the step to remember.
 
-    A small variance that still falls is tried at the bound once; if the likelihood rises there,
-    it comes back and is followed by steps.
+    Two successive scoring steps give their ratio and so the limit of the sequence; that longer
+    step is taken and the next one starts afresh.  A small variance that still falls is tried at
+    the bound once; if the likelihood rises there, it comes back and is followed by steps.
     """
-    step = np.where(free, np.clip(g * s / np.maximum(info, 1e-12), -1.4, 1.4), 0.0)
+    plain = np.where(free, g * s / np.maximum(info, 1e-12), 0.0)
+    ratio = np.clip(np.divide(plain, last, out=np.zeros(2), where=np.abs(np.nan_to_num(last)) > 1e-12), -1, 0.95)
+    known = ~np.isnan(last)
+    step = np.clip(np.where(known, plain / (1 - ratio), plain), -1.4, 1.4)
+    remember = np.where(known | (np.abs(plain) > 1.4), np.nan, plain)
     new = np.maximum(s * np.exp(step), 1e-6)
     jump = free & (g < 0) & (new < 0.03) & ~tried
     tried |= jump
     new = np.where(jump, 1e-6, new)
-    return np.where(free & (s <= 1.1e-6) & (g > 0), 0.01, new)
+    return np.where(free & (s <= 1.1e-6) & (g > 0), 0.01, new), remember
 
 
 def mixed_odds_ratios(df: DataFrame, models: list[MixedModel]) -> DataFrame:
