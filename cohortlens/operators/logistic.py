@@ -125,13 +125,16 @@ def _matrix(batch: pd.DataFrame, coding) -> np.ndarray:
     return x
 
 
-def _pass(table: DataFrame, models: list[Model]) -> dict[str, np.ndarray]:
-    """One pass: for each model its size, events, log-likelihood, score and information."""
-    work = [(m.model_id, m.outcome, m.columns, m.coding, m.beta, m.vcov, m.kind) for m in models]
+def _pass(table: DataFrame, models: list[Model], hats: bool = False) -> dict[str, np.ndarray]:
+    """One pass: for each model its size, events, log-likelihood, score and information.
+
+    With ``hats`` the score is the bias-reducing one, from the hat values under ``vcov``.
+    """
+    work = [(m.model_id, m.outcome, m.columns, m.coding, m.beta, m.vcov) for m in models]
 
     def sums(batch: pd.DataFrame) -> dict[str, np.ndarray]:
         out = {}
-        for key, outcome, columns, coding, beta, vcov, kind in work:
+        for key, outcome, columns, coding, beta, vcov in work:
             rows = batch.dropna(subset=[outcome, *columns])
             x, y = _matrix(rows, coding), rows[outcome].to_numpy(dtype=float)
             n = rows["_n"].to_numpy(dtype=float)
@@ -139,7 +142,7 @@ def _pass(table: DataFrame, models: list[Model]) -> dict[str, np.ndarray]:
             mu = 1 / (1 + np.exp(-eta))
             w = mu * (1 - mu)
             resid = y - mu
-            if kind == "firth" and vcov is not None:
+            if hats:
                 hat = w * np.einsum("ij,jk,ik->i", x, vcov, x)
                 resid = resid + hat * (0.5 - mu)
             loglik = np.sum(n * (y * eta - np.logaddexp(0, eta)))
@@ -160,9 +163,8 @@ def fit_models(
 ) -> list[Model]:
     """Fit all models together by scoring steps; rows missing a used column are left out.
 
-    ``kind`` "ml" is maximum likelihood, "firth" the bias-reduced estimate: its score carries the
-    hat values of the information at the last step, which agree with the current ones at the
-    solution.  Steps are limited to 5 per coefficient, so fits stay finite under separation.
+    ``kind`` "ml" is maximum likelihood, "firth" the bias-reduced estimate, whose score needs a
+    second pass per step for the hat values under the new information.  Steps are limited to 5 per coefficient, so fits stay finite under separation.
     """
     columns = [c for m in models for c in (m.outcome, *m.columns)]
     table = df if collapsed else patterns(df, columns)
@@ -173,22 +175,24 @@ def fit_models(
     running = list(models)
     for step in range(max_steps):
         sums = _pass(table, running)
+        for m in running:
+            p, s = len(m.coding), sums[m.model_id]
+            m.information = s[3 + p :].reshape(p, p)
+            m.vcov = np.linalg.pinv(m.information, hermitian=True)
+            m.se_path.append(np.sqrt(np.maximum(np.diag(m.vcov), 0)))
+        reduced = [m for m in running if m.kind == "firth"]
+        if reduced:
+            sums.update(_pass(table, reduced, hats=True))
         still = []
         for m in running:
-            p = len(m.coding)
-            s = sums[m.model_id]
-            last = m.loglik
+            p, s, last = len(m.coding), sums[m.model_id], m.loglik
             m.n, m.events, m.loglik = s[:3]
-            score, info = s[3 : 3 + p], s[3 + p :].reshape(p, p)
-            m.information, ready = info, m.vcov is not None
-            m.vcov = np.linalg.pinv(info, hermitian=True)
-            m.se_path.append(np.sqrt(np.maximum(np.diag(m.vcov), 0)))
             m.steps = step + 1
-            move = m.vcov @ score
+            move = m.vcov @ s[3 : 3 + p]
             move *= min(1.0, 5.0 / max(np.abs(move).max(), 1e-300))
             small = np.abs(move).max() < tol * max(1.0, np.abs(m.beta).max())
             flat = m.kind == "ml" and abs(m.loglik - last) < 1e-12 * (abs(m.loglik) + 0.1)
-            m.converged = bool((small or flat) and (ready or m.kind == "ml"))
+            m.converged = bool(small or flat)
             if not m.converged:
                 m.beta = m.beta + move
                 still.append(m)
