@@ -11,10 +11,14 @@ from cohortlens.functions.staging import null_safe, stage
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: list[float], by: list[str] = (), accuracy: int = 10_000
+    df: DataFrame, value: str, probs: list[float], by: list[str] = (), accuracy: int = 10_000,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as ``(by, n, q array)``.
 
+    ``also`` holds further aggregates of the value (named ``_x``), taken in the first pass; with
+    them, groups without any value are kept.
+
     A mergeable sketch first gives, for every probability, two values that enclose the wanted
     order statistics.  The second pass counts: values inside an enclosure keep their identity,
     all others are only counted in the gap they fall in, so about ``4 n / accuracy`` values per
@@ -25,11 +29,13 @@ def exact_quantiles(
     marks = [min(1.0, max(0.0, p + s * eps)) for p in probs for s in (-1, 1)]
     rows = df.select(
         *by, F.lit(0).alias("_whole"), F.col(value).cast("double").alias("_x")
-    ).where(F.col("_x").isNotNull())
+    )
     keys = by + ["_whole"]
+    also = also or {}
     sketch = rows.groupBy(*keys).agg(
         F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         F.percentile_approx("_x", marks, accuracy).alias("_m"),
+        *[e.alias(name) for name, e in also.items()],
     )
     small = F.col("_n") < 2 * accuracy
     bounds = []
@@ -37,7 +43,9 @@ def exact_quantiles(
         lo = F.when(small | F.lit(p <= eps), F.col("_min")).otherwise(F.col("_m")[2 * i])
         hi = F.when(small | F.lit(p >= 1 - eps), F.col("_max")).otherwise(F.col("_m")[2 * i + 1])
         bounds += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    enclosed = stage(sketch.select(*keys, "_n", *bounds))
+    staged = stage(sketch.select(*keys, "_n", *bounds, *also))
+    enclosed = staged.drop(*also)
+    rows = rows.where(F.col("_x").isNotNull())
 
     x = F.col("_x")
     inside = reduce(
@@ -81,7 +89,11 @@ def exact_quantiles(
         h = (F.col("_n") - 1) * F.lit(float(p))
         a, b = known(f"_a{i}"), known(f"_b{i}")
         q.append(a + (h - F.floor(h)) * (b - a))
-    return picked.select(*by, F.col("_n").alias("n"), F.array(*q).alias("q"))
+    if not also:
+        return picked.select(*by, F.col("_n").alias("n"), F.array(*q).alias("q"))
+    answers = picked.select(*keys, F.array(*q).alias("q"))
+    facts = staged.select(*keys, F.col("_n").alias("n"), *also)
+    return null_safe(facts, answers, keys).select(*by, "n", *also, "q")
 
 
 def running_totals(

@@ -132,36 +132,42 @@ def _cells(design: Design, by: list[str], outcomes: dict[str, Column]) -> _Cells
     return _Cells(table, strata, facts["p"], facts["h"], facts["l"])
 
 
-def _long(cells: DataFrame, names: list[str]) -> DataFrame:
-    """One row per cell and outcome with the scaled sums ``sw`` = Σw and ``sy`` = Σwy."""
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("outcome"), F.col(f"_c{i}").alias("c"),
-                (F.col(f"_w{i}") * F.col("_f")).alias("sw"),
-                (F.col(f"_y{i}") * F.col("_f")).alias("sy"),
-            )
-            for i, n in enumerate(names)
+def _scaled(cells: DataFrame, by: list[str], count: int) -> DataFrame:
+    """Cell sums with the weight factor of their cluster applied."""
+    sums = []
+    for i in range(count):
+        sums += [
+            F.col(f"_c{i}"), (F.col(f"_w{i}") * F.col("_f")).alias(f"_w{i}"),
+            (F.col(f"_y{i}") * F.col("_f")).alias(f"_y{i}"),
         ]
-    )
-    keep = [c for c in cells.columns if not c.startswith("_") or c in (_H, _I)]
-    return cells.select(*keep, F.explode(items).alias("o")).select(*keep, "o.*")
+    return cells.select(*by, _H, _I, *sums)
 
 
-def _estimate(design: Design, cells: _Cells, long: DataFrame, by: list[str], stat: str) -> DataFrame:
-    """Estimate and standard error per ``by`` from long cells.
+def _estimate(
+    design: Design, cells: _Cells, wide: DataFrame, by: list[str], names: list[str], stat: str
+) -> DataFrame:
+    """Estimate and standard error per ``by`` and outcome.
 
+    ``wide`` has one row per (by, stratum, cluster) with the count, Σw and Σwy of every outcome.
     The variance of a ratio needs only the covariance of the cluster sums (Y, N):
     Var(Y/N) = (A - 2 R B + R² C) / N², hence one pass and no join of the estimate to the cells.
     Clusters without a row of the domain enter through the number of clusters per stratum.
     """
-    psu = long.groupBy(*by, _H, _I).agg(
-        F.sum("c").alias("c"), F.sum("sy").alias("sy"), F.sum("sw").alias("sw")
+    items = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("outcome"), F.col(f"_c{i}").alias("c"), F.col(f"_w{i}").alias("sw"),
+                F.col(f"_y{i}").alias("sy"),
+            )
+            for i, n in enumerate(names)
+        ]
     )
-    per_h = psu.groupBy(*by, _H).agg(
-        F.sum("c").alias("c"), F.sum("sy").alias("ty"), F.sum("sw").alias("tw"),
-        F.sum(F.col("sy") * F.col("sy")).alias("YY"), F.sum(F.col("sy") * F.col("sw")).alias("YN"),
-        F.sum(F.col("sw") * F.col("sw")).alias("NN"),
+    long = wide.select(*by, _H, F.explode(items).alias("o")).select(*by, _H, "o.*")
+    by = [*by, "outcome"]
+    y, n = F.col("sy"), F.col("sw")
+    per_h = long.groupBy(*by, _H).agg(
+        F.sum("c").alias("c"), F.sum(y).alias("ty"), F.sum(n).alias("tw"),
+        F.sum(y * y).alias("YY"), F.sum(y * n).alias("YN"), F.sum(n * n).alias("NN"),
     )
     per_h = null_safe(per_h, cells.strata, [_H], "inner")
     nh = F.col("_nh").cast("double")
@@ -227,8 +233,8 @@ def survey_mean(
     """
     by, outcomes = list(by), _columns(outcomes)
     cells = _cells(design, by, outcomes)
-    long = _long(cells.table, list(outcomes))
-    return _interval(_estimate(design, cells, long, by + ["outcome"], stat), vartype)
+    wide = _scaled(cells.table, by, len(outcomes))
+    return _interval(_estimate(design, cells, wide, by, list(outcomes), stat), vartype)
 
 
 def survey_total(
@@ -255,15 +261,16 @@ def survey_sweep(
 ) -> DataFrame:
     """All outcomes by all one-column domains from one scan of the persons."""
     cells = _cells(design, domains, _columns(outcomes))
-    long = _long(cells.table, outcomes)
+    wide = _scaled(cells.table, domains, len(outcomes))
     items = F.array(
         *[F.struct(F.lit(d).alias("domain"), F.col(d).cast("string").alias("level")) for d in domains]
     )
-    spread = long.select(F.explode(items).alias("d"), "outcome", "c", "sy", "sw", _H, _I).select(
-        "d.domain", "d.level", "outcome", "c", "sy", "sw", _H, _I
+    sums = [c for c in wide.columns if c[:2] in ("_c", "_w", "_y")]
+    spread = (
+        wide.select(F.explode(items).alias("d"), _H, _I, *sums)
+        .groupBy("d.domain", "d.level", _H, _I).agg(*[F.sum(c).alias(c) for c in sums])
     )
-    est = _estimate(design, cells, spread, ["domain", "level", "outcome"], "mean")
-    return _interval(est, vartype)
+    return _interval(_estimate(design, cells, spread, ["domain", "level"], outcomes, "mean"), vartype)
 
 
 def survey_table(design: Design, columns: list[str], levels: dict[str, list] | None = None) -> DataFrame:
@@ -290,7 +297,6 @@ def survey_quantiles(
     of persons at or below the quantile.
     """
     probs = list(probs)
-    present = design.df.where(F.col(column).isNotNull())
     cells = _cells(design, [column], {})
     weights = cells.table.where(F.col(column).isNotNull()).withColumn("_w", F.col("_w") * F.col("_f"))
     curve = stage(running_totals(weights, column, {"w": F.sum("_w")}))
@@ -307,8 +313,13 @@ def survey_quantiles(
         return list(row)
 
     points = invert(probs)
-    below = {str(i): (F.col(column) <= F.lit(q)).cast("int") for i, q in enumerate(points)}
-    rows = survey_mean(design.with_df(present), below).select("outcome", "se").collect()
+    sums = []
+    for i, q in enumerate(points):
+        under = F.sum(F.when(F.col(column) <= F.lit(q), F.col("_w")).otherwise(0.0))
+        sums += [F.sum("_n").alias(f"_c{i}"), F.sum("_w").alias(f"_w{i}"), under.alias(f"_y{i}")]
+    wide = weights.groupBy(_H, _I).agg(*sums)
+    names = [str(i) for i in range(len(points))]
+    rows = _estimate(design, cells, wide, [], names, "mean").select("outcome", "se").collect()
     se = {int(r["outcome"]): r["se"] for r in rows}
     t = t_ppf(0.5 + level / 2, cells.n_psu - cells.n_strata)
     low = invert([p - t * se[i] for i, p in enumerate(probs)])

@@ -117,13 +117,12 @@ def summary(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     by = list(by)
     keys = by + ["variable"]
     long = _long(df, columns, by)
-    moments = long.groupBy(*keys).agg(
-        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"),
-        F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
-    )
-    q = exact_quantiles(long, "x", [0, 0.25, 0.5, 0.75, 1], keys).drop("n")
+    x = F.col("_x")
+    also = {
+        "n_null": F.count_if(x.isNull()), "mean": F.avg(x), "sd": F.stddev_samp(x),
+    }
+    out = exact_quantiles(long, "x", [0, 0.25, 0.5, 0.75, 1], keys, also=also)
     names = ["min", "q1", "median", "q3", "max"]
-    out = null_safe(moments, q, keys)
     return out.select(
         *keys, "n", "n_null", "mean", "sd", *[F.col("q")[i].alias(v) for i, v in enumerate(names)]
     )
