@@ -71,19 +71,33 @@ def differences(left_cols, left_rows, right_cols, right_rows) -> str | None:
     return f"{len(bad)} of {len(a)} rows, first {order} {bad[0]}" if bad else None
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
+
+
+def type_notes(df, con, sql: str) -> str:
+    """Columns whose types differ between the two engines."""
+    other = {r[0]: str(r[1]) for r in con.execute("DESCRIBE " + sql).fetchall()}
+    return " ".join(
+        f"{f.name}:{f.dataType.simpleString()}/{other.get(f.name)}" for f in df.schema
+        if TYPES.get(f.dataType.simpleString()) != other.get(f.name)
+    )
+
+
 def main() -> int:
     import __spark_entry__ as entry
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    only = sys.argv[2:]
+    only = [a for a in sys.argv[2:] if not a.startswith("-")]
+    skip = [a for a in sys.argv[2:] if a.startswith("-")]
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = spark_session(), duck(sf_dir)
     sql = entry.oracle_sql()
     failed = 0
     for name, fn in entry.queries().items():
-        if only and name not in only:
+        if only and name not in only or f"-{name}" in skip:
             continue
-        start = time.time()
+        start, notes = time.time(), ""
         try:
             df = fn(spark, sf_dir)
             rows = [tuple(r) for r in df.collect()]
@@ -92,13 +106,14 @@ def main() -> int:
                 res = con.execute(sql[name])
                 cols = [c[0] for c in res.description]
                 problem = differences(df.columns, rows, cols, res.fetchall())
+                notes = type_notes(df, con, sql[name])
             else:
                 problem = None if rows else "no rows"
         except Exception as e:  # noqa: BLE001
             problem, took, rows = f"{type(e).__name__}: {str(e)[:500]}", time.time() - start, []
         failed += bool(problem)
         kind = "sql " if name in sql else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {kind} {name:24s} {len(rows):7d} {took:6.2f}s {problem or ''}",
+        print(f"{'FAIL' if problem else 'ok  '} {kind} {name:24s} {len(rows):7d} {took:6.2f}s {problem or ''} {notes}",
               flush=True)
     print("failed:", failed)
     return 1 if failed else 0
