@@ -18,7 +18,7 @@ from cohortlens.functions.nulls import ratio, strict_sum
 from cohortlens.functions.quantiles import running_totals
 from cohortlens.functions.staging import distinct_levels, null_safe, stage
 from cohortlens.functions.tails import Z95, t_ppf
-from cohortlens.operators.tables import cross_table, share
+from cohortlens.operators.tables import cross_table, share_of_total
 
 _H, _I = "_stratum", "_psu"
 
@@ -283,7 +283,7 @@ def survey_table(design: Design, columns: list[str], levels: dict[str, list] | N
     )
     if len(columns) > 1:
         freq = cross_table(freq, columns, levels, value=F.col("freq"), out="freq")
-    return freq.withColumn("prop", share(F.col("freq"), []))
+    return share_of_total(freq, "freq", "prop")
 
 
 def survey_quantiles(

@@ -7,41 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cohortlens.functions.nulls import distinct_tuples, ratio
-from cohortlens.functions.quantiles import exact_quantiles
+from cohortlens.functions.quantiles import exact_quantiles, running_totals
 from cohortlens.functions.staging import distinct_levels, null_safe, stage
 
 
 def share(value: Column, by: list[str]) -> Column:
-    """Share of ``value`` in the total of its group.
+    """Share of ``value`` in the total of its level of ``by``.
 
-    Meant for result tables, whose groups are levels: rows are counted before, never here.
+    Meant for result tables: the window holds counted levels, never rows.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return ratio(value, F.sum(value).over(w))
+    return ratio(value, F.sum(value).over(Window.partitionBy(*by)))
+
+
+def share_of_total(table: DataFrame, value: str, out: str) -> DataFrame:
+    """Share of every row in the grand total, which is one number read from the staged table."""
+    table = stage(table)
+    total = table.agg(F.sum(value).cast("double")).first()[0]
+    return table.withColumn(out, ratio(F.col(value), F.lit(total)))
 
 
 def one_way(df: DataFrame, column: str) -> DataFrame:
     """Counts per level with null as a level, percent of all and percent of the non-null."""
-    out = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    valid = F.when(F.col(column).isNotNull(), F.col("n"))
-    return out.select(
-        column, "n", share(F.col("n"), []).alias("percent"), share(valid, []).alias("valid_percent")
-    )
+    out = share_of_total(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), "n", "percent")
+    valid = out.where(F.col(column).isNotNull()).agg(F.sum("n")).first()[0]
+    share_valid = F.when(F.col(column).isNotNull(), ratio(F.col("n"), F.lit(valid)))
+    return out.select(column, "n", "percent", share_valid.alias("valid_percent"))
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
-    """Counts per non-null level with percent and running count and percent.
-
-    The running columns are ordered over levels, after the count.
-    """
-    out = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    """Counts per non-null level with percent and running count and percent."""
+    rows = df.where(F.col(column).isNotNull()).select(column)
+    counted = running_totals(rows, column, {"n": F.count(F.lit(1))})
+    out = share_of_total(counted, "n", "percent").withColumn("cum_n", F.col("n_before") + F.col("n"))
+    unit = F.col("percent") * 100 / F.col("n")
     return out.select(
-        column, "n", (share(F.col("n"), []) * 100).alias("percent"),
-        F.sum("n").over(run).alias("cum_n"),
-        (F.sum("n").over(run) * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias(
-            "cum_percent"
-        ),
+        column, "n", (F.col("percent") * 100).alias("percent"), "cum_n",
+        (F.col("cum_n") * unit).alias("cum_percent"),
     )
 
 
@@ -91,6 +92,8 @@ def table_layer(table: DataFrame, column: str, level) -> DataFrame:
 
 def with_share(table: DataFrame, by: list[str], value: str = "n", out: str = "prop") -> DataFrame:
     """Row or column proportions of a long table; ``by`` empty gives shares of the grand total."""
+    if not by:
+        return share_of_total(table, value, out)
     return table.withColumn(out, share(F.col(value), by))
 
 

@@ -511,6 +511,19 @@ def oracle_sql() -> dict[str, str]:
     o["sero_curve"] = f"""{_GRID} SELECT antigen, stratifier, level, CAST(age AS INT) AS age,
         {_curve("median", "fit")}, {_curve("low", "fit_low")}, {_curve("high", "fit_high")}
         FROM post, (SELECT range AS age FROM range(15)) GROUP BY antigen, stratifier, level, age"""
+    o["signal_density"] = f"""{BASE}, f0 AS (SELECT ahzone, count(pvmsp1) AS n, min(pvmsp1) AS mn, max(pvmsp1) AS mx,
+        stddev_samp(pvmsp1) AS sd, (quantile_cont(pvmsp1, 0.75) - quantile_cont(pvmsp1, 0.25)) / 1.34 AS iqr
+        FROM person GROUP BY 1), f1 AS (SELECT *, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END
+        * power(n, -0.2) AS bw FROM f0), f AS (SELECT ahzone, n, bw, mn - 3 * bw AS lo, mx + 3 * bw AS hi FROM f1),
+        p AS (SELECT ahzone, (pvmsp1 - lo) / ((hi - lo) / 1023.0) AS pos FROM person JOIN f USING (ahzone)
+              WHERE pvmsp1 IS NOT NULL),
+        mass AS (SELECT ahzone, k, sum(w) AS w FROM (
+            SELECT ahzone, floor(pos) AS k, 1 - (pos - floor(pos)) AS w FROM p UNION ALL
+            SELECT ahzone, floor(pos) + 1, pos - floor(pos) FROM p) GROUP BY 1, 2),
+        g AS (SELECT f.*, range AS point, lo + range * (hi - lo) / 511.0 AS x FROM f, range(512))
+        SELECT ahzone, CAST(point AS INT) AS point, round(x, 6) AS x,
+        round(sum(w * exp(-power((x - (lo + k * (hi - lo) / 1023.0)) / bw, 2) / 2)) / (n * bw * sqrt(2 * pi())), 6)
+          AS density FROM g JOIN mass USING (ahzone) GROUP BY ahzone, point, x, n, bw"""
 
     # smoothing and plot data
     o["boxplot_stats"] = f"""{BASE}, y AS (SELECT ahzone, gender, log10(CASE WHEN pomsp1 <= 0 THEN 1

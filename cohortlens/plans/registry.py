@@ -627,7 +627,7 @@ def sero_draw_band(spark, sf_dir):
 @query
 def signal_density(spark, sf_dir):
     df = view.persons(spark, sf_dir)
-    return C.kernel_density(df, "pvmsp1", ["ahzone"])
+    return rounded(C.kernel_density(df, "pvmsp1", ["ahzone"]))
 
 
 @query
