@@ -46,8 +46,10 @@ def dedup_lines(
         per_doc = keys.select("h1", "h2", "key").distinct()
         repeated = per_doc.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count("*").alias("n"))
         repeated = repeated.where(F.col("n") > max_docs)
+    # written, so that both sides of the join are plain exchanges and a hot line's rows can be split
+    repeated = scratch.write(repeated.select("h1", "h2", "first"), "repeated")
     drops = (
-        keys.join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("key") > F.col("first"))
+        keys.join(repeated, ["h1", "h2"]).where(F.col("key") > F.col("first"))
         .groupBy("key", "row").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
     )
     joined = rows.join(drops, ["key", "row"], "left")
