@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup
-from .common import table
+from . import exact_dedup, line_dedup, mixing, packing, token_files
+from .common import Scratch, table
+from .tokens import public_tokenizer
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    folder = scratch.folder("tokens")
+    manifest = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), folder, public_tokenizer("word_bpe_49k.json"), end_id=2, vocabulary=49_408
+    )
+    manifest = scratch.write(token_files.with_bases(scratch.write(manifest, "shards")), "manifest")
+    return token_files.read_token_files(spark, manifest, folder)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=2, max_len=1024
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_line_dedup)}
+    return {f.__name__: f for f in (
+        op2_exact_dedup, op4_token_files, op5_line_dedup, op7_best_fit_packing, op8_mixing,
+    )}
