@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, packing, token_files
+from . import exact_dedup, line_dedup, minhash, mixing, packing, token_files
 from .common import Scratch, table
 from .tokens import public_tokenizer
 
@@ -39,7 +39,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_exact_dedup, op4_token_files, op5_line_dedup, op7_best_fit_packing, op8_mixing,
+        op10_minhash_near_dedup,
     )}
