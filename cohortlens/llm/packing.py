@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import TextEncoder
+from .tokens import encoder_for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -27,7 +27,7 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer_path, end_id)
+        encoder = encoder_for(tokenizer_path, end_id)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):

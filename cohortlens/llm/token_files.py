@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID
-from .tokens import TextEncoder
+from .tokens import encoder_for
 
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, width int"
 
@@ -55,7 +55,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = TextEncoder(tokenizer_path, end_id)
+                encoder = encoder_for(tokenizer_path, end_id)
                 system, base = _file_system(folder)
                 system.create_dir(base, recursive=True)
                 name = f"part-{shard:06d}-{uuid.uuid4().hex[:12]}"
