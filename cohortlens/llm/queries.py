@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, mixing, packing, token_files
+from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, token_files, toxicity
 from .common import Scratch, table
 from .tokens import public_tokenizer
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the identifier as text, modulo ``modulus``; a null identifier is the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), held_out=remainder(4) == 2)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     folder = scratch.folder("tokens")
@@ -39,12 +49,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=remainder(5) == 0)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_exact_dedup, op4_token_files, op5_line_dedup, op7_best_fit_packing, op8_mixing,
+        op2_exact_dedup, op3_language_id, op4_token_files, op5_line_dedup, op7_best_fit_packing, op8_mixing, op9_toxicity,
         op10_minhash_near_dedup,
     )}
