@@ -91,7 +91,7 @@ class Mix:
         """Each document's first word in the stream of its source: prefix sums over salts, then inside a salt."""
         ranks = self.targets.select(F.col("source").alias("s"), "rank")
         rows = sizes.join(ranks, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-        salts = max(8, -(-sizes.count() // salt_rows))
+        salts = max(64, -(-sizes.count() // salt_rows))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.lit(salts)))
         before = Window.partitionBy("rank").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         shifts = rows.groupBy("rank", "salt").agg(F.sum("size").alias("words")).select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, token_files, toxicity
+from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, suffix_dedup, token_files, toxicity
 from .common import Scratch, table
 from .tokens import public_tokenizer
 
@@ -17,6 +17,10 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_exact_dedup, op3_language_id, op4_token_files, op5_line_dedup, op7_best_fit_packing, op8_mixing, op9_toxicity,
+        op1_suffix_dedup, op2_exact_dedup, op3_language_id, op4_token_files, op5_line_dedup, op7_best_fit_packing, op8_mixing, op9_toxicity,
         op10_minhash_near_dedup,
     )}
