@@ -147,7 +147,7 @@ class Mix:
                 key, F.explode(F.sequence("first", F.col("first") + F.col(count) - 1)).alias("i")
             )
 
-        filled = numbered(holes, "shard", "holes").join(numbered(short, "rank", "short"), "i")
+        filled = numbered(holes, "shard", "holes").join(numbered(short, "rank", "short").hint("merge"), "i")
         filled = filled.groupBy("shard", "rank").agg(F.count("*").alias("n"))
         counts = kept.unionByName(filled).groupBy("shard", "rank").agg(F.sum("n").alias("n")).where("n > 0")
         before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -180,7 +180,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken, source: the words of each document in the mix, repeats counted."""
         uses = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-        got = self.document_blocks().join(uses, ["rank", "block"])
+        # both sides come out of explode, whose size the planner cannot see: never a broadcast
+        got = self.document_blocks().join(uses.hint("merge"), ["rank", "block"])
         got = got.groupBy("uid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         rows = self.sizes.join(got, "uid", "left").join(self.targets.select("rank", "source", "source_size", "target"), "rank")
         return rows.select(

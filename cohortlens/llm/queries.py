@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, suffix_dedup, token_files, toxicity
+from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, suffix_dedup, token_files, toxicity, vectors
 from .common import Scratch, table
 from .tokens import public_tokenizer
 
@@ -43,6 +43,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=2, max_len=1024
@@ -63,6 +67,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_suffix_dedup, op2_exact_dedup, op3_language_id, op4_token_files, op5_line_dedup, op7_best_fit_packing, op8_mixing, op9_toxicity,
+        op1_suffix_dedup, op2_exact_dedup, op3_language_id, op4_token_files, op5_line_dedup, op6_embedding_near_dedup,
+        op7_best_fit_packing, op8_mixing, op9_toxicity,
         op10_minhash_near_dedup,
     )}
