@@ -49,9 +49,12 @@ def permuted(x: Column, n: Column, *key: Column, seed: int, rounds: int = 16) ->
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the text, 0 for null) and a row number that is unique in the written table."""
+    """doc_id, source, size (words of the text, 0 for null), a hash of the text, and a row number that is unique in
+    the written table."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("row")
+    )
     return rows.withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -77,6 +80,7 @@ class Mix:
         salt_rows: int = 50_000,
     ):
         self.spark, self.block, self.cap, self.seed = docs.sparkSession, block, cap, seed
+        self.ids = (id_col, text_col)
         self.scratch = Scratch(self.spark)
         sizes = self.scratch.write(document_sizes(docs, id_col, text_col, source_col), "sizes")
         per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -101,7 +105,7 @@ class Mix:
         inside = Window.partitionBy("rank", "salt").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(shifts, ["rank", "salt"])
         return self.scratch.write(
-            rows.select("doc_id", "uid", "rank", "size", (F.col("inside") + F.col("shift")).alias("first")), "streams"
+            rows.select("doc_id", "row", "uid", "rank", "size", (F.col("inside") + F.col("shift")).alias("first")), "streams"
         )
 
     def _drawn(self, total: int, shard_blocks: int) -> DataFrame:
@@ -189,6 +193,39 @@ class Mix:
         )
 
 
+    def texts(self, docs: DataFrame) -> DataFrame:
+        """``docs``, all columns, once for each epoch that takes words from a document, with those words as its text.
+
+        An epoch that takes all words keeps the text as it is; else the words of its blocks follow each other,
+        parted by blanks.  Documents without words are not drawn.  Rows that repeat identifier and text are drawn
+        alike.
+        """
+        id_col, text_col = self.ids
+        uses = self.slots.select("rank", "epoch", "block")
+        drawn = self.document_blocks().join(uses.hint("merge"), ["rank", "block"])
+        drawn = drawn.groupBy("uid", "epoch").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list("block")).alias("blocks"))
+        one = self.sizes.dropDuplicates(["doc_id", "row"]).select("uid", F.col("doc_id").alias("i"), "row", "first", "size")
+        drawn = self.scratch.write(drawn.join(one, "uid"), "drawn_texts")
+        same = F.col(id_col).eqNullSafe(F.col("i")) & (F.xxhash64(text_col) == F.col("row"))
+        rows = docs.join(drawn.hint("merge"), same).withColumn("words", F.regexp_extract_all(text_col, F.lit(WORDS), 0))
+        b = self.block
+
+        def part(k):
+            low = F.greatest(F.lit(0).cast("long"), k * b - F.col("first"))
+            high = F.least(F.col("size"), (k + 1) * b - F.col("first"))
+            return F.slice("words", (low + 1).cast("int"), (high - low).cast("int"))
+
+        # `words` is used twice, so Spark keeps it as a column instead of extracting anew in the lambda
+        cut = F.array_join(F.flatten(F.transform("blocks", part)), " ")
+        whole = (F.col("n") == F.col("size")) | (F.size("words") == 0)
+        return rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*docs.columns)
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The texts of the mixture; see ``Mix.texts``."""
+    return Mix(docs, **options).texts(docs)
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents with the number of words the mixture takes from each; see ``Mix``."""
     return Mix(docs, **options).taken()

@@ -221,4 +221,5 @@ def pack_documents(
     """
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.write(token_pieces(docs, tokenizer_path, end_id, max_len, id_col, text_col), "pieces")
-    return pack(pieces, max_len, scratch)
+    packed = pack(pieces, max_len, scratch)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
