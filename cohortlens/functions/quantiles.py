@@ -62,12 +62,14 @@ def exact_quantiles(
         .groupBy(*keys, "_n", "_v", "_gap")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    run = (
-        Window.partitionBy(*keys)
-        .orderBy(F.asc_nulls_first("_v"), "_gap")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    # enclosed values grow with the data, so their ranks come from slices, not from one window
+    ranked = running_totals(
+        cells.select(*keys, "_n", F.struct("_v", "_gap").alias("_at"), "_c"), "_at",
+        {"_c": F.sum("_c")}, keys + ["_n"],
+    )
+    ranked = ranked.select(
+        *keys, "_n", "_at._v", "_at._gap", (F.col("_c_before") + F.col("_c")).alias("_cum")
     )
-    ranked = cells.withColumn("_cum", F.sum("_c").over(run))
     picks = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))

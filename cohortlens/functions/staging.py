@@ -1,4 +1,4 @@
-"""Staged tables: cut lineage in shared storage, and join sides of known size."""
+"""Staged tables: cut lineage in shared storage, and null-safe joins."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound on rows and bytes-per-row free use of an explicit broadcast.
-MAX_BROADCAST_ROWS = 200_000
-
-
 def staging_dir(spark: SparkSession) -> str:
     """Shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,20 +44,6 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def join_counted(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join that broadcasts ``right`` only after counting it.
-
-    At most ``max_rows + 1`` rows are counted.  A larger right side goes through a shuffle join,
-    where adaptive execution splits hot keys.
-    """
-    if right.select(*keys).limit(max_rows + 1).count() <= max_rows:
-        right = F.broadcast(right)
-    return null_safe(left, right, keys, how)
-
-
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Bring per-group statistics back to the rows of ``df``.
 

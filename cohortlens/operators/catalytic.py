@@ -75,7 +75,7 @@ def wilson_age_bins(
     centre = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = Z95 / (1 + z2 / n) * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     return binned.select(
-        *by, "bin", ((F.col("bin") - 1) * width + 1.5).cast("double").alias("midpoint"), "n",
+        *by, "bin", ((F.col("bin") - 1) * width + (width + 1) / 2).cast("double").alias("midpoint"), "n",
         F.col("k").cast("long").alias("k"), p.alias("p"), (centre - half).alias("ci_low"),
         (centre + half).alias("ci_high"),
     )

@@ -12,10 +12,18 @@ from cohortlens.functions.tails import Z95, chi2_p, chi2_sf, norm_sf
 from cohortlens.operators.logistic import Factor, Model, Square, fit_models, score
 
 
+def usable(df: DataFrame, *columns: str) -> DataFrame:
+    return df.dropna(subset=list(columns))
+
+
 def goodness_of_fit(
     df: DataFrame, y: str, p: str, n_parameters: int, p_values: bool = True
 ) -> DataFrame:
-    """Deviance and Pearson chi-squared against the residual degrees of freedom."""
+    """Deviance and Pearson chi-squared against the residual degrees of freedom.
+
+    Rows without an outcome or a fitted probability are left out, here and in the other diagnostics.
+    """
+    df = usable(df, y, p)
     yc, pc = F.col(y).cast("double"), F.col(p)
     loss = F.when(yc == 1, -F.ln(pc)).otherwise(-F.ln(1 - pc))
     out = df.agg(
@@ -34,6 +42,7 @@ def goodness_of_fit(
 
 def hosmer_lemeshow(df: DataFrame, y: str, p: str, groups: int = 10, p_values: bool = True):
     """Observed against expected counts in quantile groups of the fitted probability."""
+    df = usable(df, y, p)
     rows = df.select(F.col(y).cast("double").alias("_y"), F.col(p).alias("_p"), F.lit(1).alias("_one"))
     probs = [i / groups for i in range(1, groups)]
     q = exact_quantiles(rows, "_p", probs, ["_one"]).select("_one", "q")
@@ -86,6 +95,7 @@ def share_inside(binned: DataFrame) -> DataFrame:
 
 def performance(df: DataFrame, y: str, p: str, n_parameters: int) -> DataFrame:
     """AIC, BIC, Tjur's R² and the root mean squared error."""
+    df = usable(df, y, p)
     yc, pc = F.col(y).cast("double"), F.col(p)
     ll = F.sum(F.when(yc == 1, F.ln(pc)).otherwise(F.ln(1 - pc)))
     return df.agg(
@@ -119,8 +129,8 @@ def collinearity(df: DataFrame, model: Model) -> DataFrame:
 
 
 def residual_trend(scored: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Mean Pearson residual in quantile bins of a covariate."""
-    rows = scored.select(
+    """Mean Pearson residual in quantile bins of a covariate; rows without either are left out."""
+    rows = usable(scored, column, "pearson").select(
         F.col(column).cast("double").alias("_x"), F.col("pearson").alias("_r"), F.lit(1).alias("_one")
     )
     q = exact_quantiles(rows, "_x", [i / bins for i in range(1, bins)], ["_one"]).select("_one", "q")

@@ -33,18 +33,38 @@ def inspect(df: DataFrame, cond: Column, columns: list[str]) -> DataFrame:
     return df.where(cond).select(*columns)
 
 
-def any_of(df: DataFrame, conds: list[Column]) -> DataFrame:
-    return df.where(reduce(Column.__or__, conds))
+def is_case_or_pf_mono(outcome: str) -> Column:
+    return (F.col(outcome) == 1) | (F.col("pcr_pfmono") == 1)
+
+
+def is_case_or_negative(outcome: str) -> Column:
+    return (F.col(outcome) == 1) | (F.col("pcr_species") == F.lit("0"))
 
 
 def case_or_pf_mono(df: DataFrame, outcome: str) -> DataFrame:
     """Cases of ``outcome`` against infections with Pf alone."""
-    return any_of(df, [F.col(outcome) == 1, F.col("pcr_pfmono") == 1])
+    return df.where(is_case_or_pf_mono(outcome))
 
 
 def case_or_negative(df: DataFrame, outcome: str) -> DataFrame:
     """Cases of ``outcome`` against samples without any species."""
-    return any_of(df, [F.col(outcome) == 1, F.col("pcr_species") == F.lit("0")])
+    return df.where(is_case_or_negative(outcome))
+
+
+def in_sets(df: DataFrame, sets: dict[str, Column], out: str) -> DataFrame:
+    """Every row once for each named condition that it meets, from one scan."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in sets.items()]))
+    return df.withColumn(out, F.explode(names))
+
+
+def missing_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows with and without a value: (side, n_missing), from one scan."""
+    missing = F.count_if(F.col(column).isNull())
+    sides = [
+        F.struct(F.lit("missing").alias("side"), missing.alias("n_missing")),
+        F.struct(F.lit("present").alias("side"), F.count(column).alias("n_missing")),
+    ]
+    return df.agg(F.array(*sides).alias("s")).select(F.inline("s"))
 
 
 def all_negative(df: DataFrame, flags: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.nulls import distinct_tuples, strict_sum
-from cohortlens.functions.staging import attach, join_counted, null_safe
+from cohortlens.functions.staging import attach, null_safe
 
 def _n():
     return F.count(F.lit(1))
@@ -84,8 +84,7 @@ def case_reference_set(
     df: DataFrame, outcome: str, reference: Column, key: str = "ptid"
 ) -> DataFrame:
     """Cases and reference rows, one per person; a person in both counts as a case."""
-    stacked = df.where(reference).unionByName(df.where(F.col(outcome) == 1))
-    kept = first_per_key(stacked, [key], [(outcome, "desc")])
+    kept = first_per_key(df.where(reference | (F.col(outcome) == 1)), [key], [(outcome, "desc")])
     return kept.fillna(0, subset=[outcome])
 
 
@@ -104,13 +103,13 @@ def left_join(left: DataFrame, right: DataFrame, key: str, check: bool = False)
     """Attach the columns of ``right``; with ``check``, a repeated key on the right is an error."""
     if check and repeated_keys(right, [key]).limit(1).count():
         raise ValueError(f"{key} is not unique on the right side")
-    return join_counted(left, right, [key])
+    return null_safe(left, right, [key])
 
 
 def membership(df: DataFrame, other: DataFrame, key: str, out: str = "is_member") -> DataFrame:
     """1 where the key occurs in the other table, else 0."""
     keys = other.select(key).distinct().withColumn(out, F.lit(1))
-    return join_counted(df, keys, [key]).fillna(0, subset=[out])
+    return null_safe(df, keys, [key]).fillna(0, subset=[out])
 
 
 def merge_tables(tables: dict[str, DataFrame], key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import constants as K
 from cohortlens.functions.nulls import if_else, ratio, to_number
-from cohortlens.functions.staging import join_counted
+from cohortlens.functions.staging import null_safe
 
 
 # ---- column expressions -------------------------------------------------------------------
@@ -197,4 +197,4 @@ def decode_labels(df: DataFrame, column: str, labels: DataFrame | None = None, o
         values = df.schema[column].metadata["values"]
         return df.withColumn(out, recode(F.col(column).cast("string"), values))
     table = labels.select(F.col("code").alias(column), F.col("label").alias(out))
-    return join_counted(df, table, [column])
+    return null_safe(df, table, [column])

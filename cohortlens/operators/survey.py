@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.nulls import ratio, strict_sum
+from cohortlens.functions.nulls import ratio
 from cohortlens.functions.quantiles import running_totals
 from cohortlens.functions.staging import distinct_levels, null_safe, stage
 from cohortlens.functions.tails import Z95, t_ppf
@@ -45,8 +45,9 @@ def survey_design(
 ) -> Design:
     """Declare a design.
 
-    Clusters that occur in several strata and missing weights are errors; with ``nest`` cluster
-    numbers restart in every stratum.  ``lonely`` says what a stratum with a single cluster adds:
+    Clusters that occur in several strata and missing weights are errors: at once with ``check``
+    (one scan), and in any case in every estimate, whose cells show them without another scan.
+    With ``nest`` cluster numbers restart in every stratum.  ``lonely`` says what a stratum with a single cluster adds:
     "adjust" (squared distance to the grand mean), "remove", "certainty" (nothing) or "fail".
     """
     if lonely not in ("adjust", "remove", "certainty", "fail"):
@@ -57,13 +58,17 @@ def survey_design(
     design = Design(df, strata, psu, weight, rescale, lonely)
     if check:
         facts = design_summary(design).first()
-        if facts["n_null_weight"]:
-            raise ValueError(f"{facts['n_null_weight']} rows have no weight: filter them first")
-        if facts["n_split_psu"]:
-            raise ValueError(f"{facts['n_split_psu']} clusters lie in several strata: use nest=True")
+        _raise_faults(facts["n_null_weight"], facts["n_split_psu"])
     return design
 
 
+def _raise_faults(n_null_weight: int, n_split_psu: int) -> None:
+    if n_null_weight:
+        raise ValueError(f"{n_null_weight} rows have no weight: filter them first")
+    if n_split_psu:
+        raise ValueError(f"{n_split_psu} clusters lie in several strata: use nest=True")
+
+
 def design_summary(design: Design) -> DataFrame:
     """Rows, strata, clusters, single-cluster strata, split clusters and missing weights."""
     d = design
@@ -105,7 +110,10 @@ def _cells(design: Design, by: list[str], outcomes: dict[str, Column]) -> _Cells
     """Σw and Σwy per (by, stratum, cluster) and outcome; rows with a missing outcome add nothing."""
     d = design
     w = F.col(d.weight).cast("double")
-    aggs = [F.count(F.lit(1)).alias("_n"), strict_sum(w).alias("_w")]
+    aggs = [
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(w), F.lit(0.0)).alias("_w"),
+        F.count_if(w.isNull()).alias("_u"),
+    ]
     for i, y in enumerate(outcomes.values()):
         y = y.cast("double")
         aggs += [
@@ -116,7 +124,12 @@ def _cells(design: Design, by: list[str], outcomes: dict[str, Column]) -> _Cells
     table = stage(
         d.df.groupBy(*by, F.col(d.strata).alias(_H), F.col(d.psu).alias(_I)).agg(*aggs)
     )
-    psu = table.groupBy(_H, _I).agg(F.sum("_n").alias("n"), strict_sum(F.col("_w")).alias("w"))
+    psu = table.groupBy(_H, _I).agg(
+        F.sum("_n").alias("n"), F.sum("_w").alias("w"), F.sum("_u").alias("u")
+    )
+    clusters = psu.groupBy(_I).agg(F.sum("u").alias("u"), F.count(F.lit(1)).alias("k"))
+    faults = clusters.agg(F.sum("u").alias("u"), F.count_if(F.col("k") > 1).alias("k")).first()
+    _raise_faults(faults["u"], faults["k"])
     if d.rescale:
         factor = psu.select(_H, _I, (F.col("n") / F.col("w")).alias("_f"))
         table = null_safe(table, factor, [_H, _I], "inner")

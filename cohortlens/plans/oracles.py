@@ -84,13 +84,13 @@ def _pick(expr: str, values: list) -> str:
     return f"CASE {expr} {cases} END"
 
 
-_LAB = f"""
+_SAMPLES = f"""
 decode(species, pf, pm, po) AS (VALUES {_SPECIES_VALUES}),
 lab0 AS (SELECT o_orderkey AS ptid, o_custkey + 100000 AS cluster,
    {_pick(f"o_orderkey % {len(_TEXTS)}", _TEXTS)} AS species_present,
    CASE WHEN o_orderkey % 50 = 0 THEN 'missing' END AS missing_samples,
    {_pick(f"o_orderkey % {len(_CRITERIA)}", _CRITERIA)} AS selection_criteria
-   FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'),
+   FROM orders JOIN customer ON o_custkey = c_custkey WHERE {{which}}),
 lab AS (SELECT lab0.*, coalesce(species_present, '0') AS pcr_species,
    coalesce(pf, 0) AS pcr_pf, coalesce(pm, 0) AS pcr_pm, coalesce(po, 0) AS pcr_po,
    CASE WHEN coalesce(species_present, '0') = '1' THEN 1 ELSE 0 END AS pcr_pfmono,
@@ -100,6 +100,9 @@ lab AS (SELECT lab0.*, coalesce(species_present, '0') AS pcr_species,
         WHEN selection_criteria IN ('pAldolase', 'pLDH', 'pLDH+/HRP2-', 'PvLDH') THEN 2 END AS selection_cri
    FROM lab0 LEFT JOIN decode ON species_present = species)"""
 
+_LAB = _SAMPLES.replace("{which}", "c_mktsegment = 'BUILDING'")
+_ALL_SAMPLES = _SAMPLES.replace("{which}", "true")
+
 _WEIGHTED = """
 weighted AS (SELECT *, ab_wt * count(*) OVER (PARTITION BY varunit) / sum(ab_wt) OVER (PARTITION BY varunit)
    AS wt FROM keyed)"""
@@ -107,6 +110,7 @@ weighted AS (SELECT *, ab_wt * count(*) OVER (PARTITION BY varunit) / sum(ab_wt)
 BASE = f"WITH {_PERSON}, {_FLAGGED}"
 NET = f"{BASE}, {_NET}"
 LAB = f"{BASE}, {_LAB}"
+ALL_SAMPLES = f"{BASE}, {_ALL_SAMPLES}"
 WEIGHTED = f"{BASE}, {_WEIGHTED}"
 
 Z = "1.959963984540054"
@@ -258,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
     o["age_midpoints"] = f"""{BASE} SELECT agegrp7, CASE agegrp7 WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 4 WHEN 3 THEN 6
         WHEN 4 THEN 8 WHEN 5 THEN 10 WHEN 6 THEN 12 WHEN 7 THEN 13.5 END AS midpoint, count(*) AS n
         FROM keyed GROUP BY agegrp7"""
-    o["species_flags"] = f"""{LAB} SELECT ptid, pcr_species, pcr_pf, pcr_pm, pcr_po, pcr_pfmono, pcr_pm_pf,
+    o["species_flags"] = f"""{ALL_SAMPLES} SELECT ptid, pcr_species, pcr_pf, pcr_pm, pcr_po, pcr_pfmono, pcr_pm_pf,
         pcr_po_pf, selection_cri FROM lab"""
     o["floored_signals"] = f"""{BASE} SELECT ptid, {", ".join(
         f"round(CASE WHEN {s} <= 0 THEN 1 ELSE {s} END, 6) AS {s}"
@@ -277,9 +281,10 @@ def oracle_sql() -> dict[str, str]:
         (SELECT varunit FROM keyed GROUP BY 1 HAVING count(*) > 12)"""
     sets = {"pm_vs_pf": "pcr_pm = 1 OR pcr_pfmono = 1", "po_vs_pf": "pcr_po = 1 OR pcr_pfmono = 1",
             "pm_vs_negative": "pcr_pm = 1 OR pcr_species = '0'",
-            "po_vs_negative": "pcr_po = 1 OR pcr_species = '0'"}
-    o["case_vs_reference"] = f"{LAB} " + " UNION ALL ".join(
-        f"SELECT '{n}' AS comparison, ptid, pcr_species, pcr_pm, pcr_po FROM lab WHERE {c}"
+            "po_vs_negative": "pcr_po = 1 OR pcr_species = '0'",
+            "pf_vs_negative": "pcr_pf = 1 OR pcr_species = '0'"}
+    o["case_vs_reference"] = f"{ALL_SAMPLES} " + " UNION ALL ".join(
+        f"SELECT '{n}' AS comparison, ptid, pcr_species, pcr_pf, pcr_pm, pcr_po FROM lab WHERE {c}"
         for n, c in sets.items())
     o["case_reference_set"] = f"""{LAB} SELECT ptid, varunit, coalesce(pcr_pm, 0) AS pcr_pm, {flags}
         FROM keyed LEFT JOIN (SELECT ptid, pcr_pm FROM lab) USING (ptid)
@@ -325,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
     o["tab2_wide"] = f"""{BASE} SELECT ahstate, {", ".join(
         f"count(*) FILTER (wealthquintile = {q}) AS wealthquintile_{q}" for q in range(1, 6))}
         FROM keyed GROUP BY 1"""
-    o["tab3"] = f"""{LAB}, joined AS (SELECT lab.*, ahstate FROM lab LEFT JOIN keyed USING (ptid))
+    o["tab3"] = f"""{ALL_SAMPLES}, joined AS (SELECT lab.*, ahstate FROM lab LEFT JOIN keyed USING (ptid))
         SELECT a.ahstate, b.selection_cri, count(j.ptid) AS n
         FROM (SELECT DISTINCT ahstate FROM joined) a
         CROSS JOIN (SELECT DISTINCT selection_cri FROM joined WHERE selection_cri IS NOT NULL) b
@@ -363,7 +368,7 @@ def oracle_sql() -> dict[str, str]:
         (SELECT count(*) FROM (SELECT DISTINCT a1q119, a1q120 FROM keyed)) AS answers"""
     o["hh_per_cluster"] = f"""{BASE} SELECT varunit, count(DISTINCT hh_id) AS n_households
         FROM keyed GROUP BY 1"""
-    o["infection_by_state"] = f"""{LAB} SELECT ahstate, {", ".join(
+    o["infection_by_state"] = f"""{ALL_SAMPLES} SELECT ahstate, {", ".join(
         f"count(*) FILTER ({f} = 0) AS {f}_neg, count(*) FILTER ({f} = 1) AS {f}_pos, count({f}) AS {f}_n"
         for f in ("pcr_pm", "pcr_po"))} FROM lab LEFT JOIN keyed USING (ptid) GROUP BY 1"""
 

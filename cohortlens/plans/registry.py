@@ -69,7 +69,7 @@ def floats(df: DataFrame) -> DataFrame:
 
 
 def design(df: DataFrame) -> V.Design:
-    return V.survey_design(df, "varstrat", "varunit", "ab_wt", rescale=True, check=False)
+    return V.survey_design(df, "varstrat", "varunit", "ab_wt", rescale=True, check=False)  # its estimates check
 
 
 # ---- cleaning and recodes ---------------------------------------------------------------------
@@ -114,7 +114,7 @@ def age_midpoints(spark, sf_dir):
 
 @query
 def species_flags(spark, sf_dir):
-    df = P.selection_code(P.species_flags(view.lab_samples(spark, sf_dir)))
+    df = P.selection_code(P.species_flags(view.all_samples(spark, sf_dir)))
     return df.select(
         "ptid", "pcr_species", "pcr_pf", "pcr_pm", "pcr_po", "pcr_pfmono", "pcr_pm_pf", "pcr_po_pf",
         "selection_cri",
@@ -151,14 +151,7 @@ def inspect_signals(spark, sf_dir):
 
 @query
 def missing_signals(spark, sf_dir):
-    df = view.persons(spark, sf_dir)
-    return flt.missing(df, "gst").agg(F.count(F.lit(1)).alias("n_missing")).withColumn(
-        "side", F.lit("missing")
-    ).unionByName(
-        flt.present(df, "gst").agg(F.count(F.lit(1)).alias("n_missing")).withColumn(
-            "side", F.lit("present")
-        )
-    )
+    return flt.missing_counts(view.persons(spark, sf_dir), "gst")
 
 
 @query
@@ -174,20 +167,15 @@ def large_cluster_rows(spark, sf_dir):
 
 @query
 def case_vs_reference(spark, sf_dir):
-    lab = P.species_flags(view.lab_samples(spark, sf_dir))
+    lab = P.species_flags(view.all_samples(spark, sf_dir))
     sets = {
-        "pm_vs_pf": flt.case_or_pf_mono(lab, "pcr_pm"), "po_vs_pf": flt.case_or_pf_mono(lab, "pcr_po"),
-        "pm_vs_negative": flt.case_or_negative(lab, "pcr_pm"),
-        "po_vs_negative": flt.case_or_negative(lab, "pcr_po"),
+        "pm_vs_pf": flt.is_case_or_pf_mono("pcr_pm"), "po_vs_pf": flt.is_case_or_pf_mono("pcr_po"),
+        "pm_vs_negative": flt.is_case_or_negative("pcr_pm"),
+        "po_vs_negative": flt.is_case_or_negative("pcr_po"),
+        "pf_vs_negative": flt.is_case_or_negative("pcr_pf"),
     }
-    parts = [
-        d.select(F.lit(n).alias("comparison"), "ptid", "pcr_species", "pcr_pm", "pcr_po")
-        for n, d in sets.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = flt.in_sets(lab, sets, "comparison")
+    return rows.select("comparison", "ptid", "pcr_species", "pcr_pf", "pcr_pm", "pcr_po")
 
 
 @query
@@ -269,7 +257,7 @@ def tab2_wide(spark, sf_dir):
 
 @query
 def tab3(spark, sf_dir):
-    lab = P.selection_code(P.species_flags(view.lab_samples(spark, sf_dir)))
+    lab = P.selection_code(P.species_flags(view.all_samples(spark, sf_dir)))
     persons = view.persons(spark, sf_dir).select("ptid", "ahstate")
     table = T.cross_table(
         G.left_join(lab, persons, "ptid"), ["ahstate", "selection_cri", "pcr_pm"]
@@ -320,7 +308,7 @@ def hh_per_cluster(spark, sf_dir):
 
 @query
 def infection_by_state(spark, sf_dir):
-    lab = P.species_flags(view.lab_samples(spark, sf_dir))
+    lab = P.species_flags(view.all_samples(spark, sf_dir))
     joined = G.left_join(lab, view.persons(spark, sf_dir).select("ptid", "ahstate"), "ptid")
     return T.positives_by_area(joined, "ahstate", ["pcr_pm", "pcr_po"])
 
@@ -462,7 +450,7 @@ def svy_sweep(spark, sf_dir):
 def svy_lonely_psu(spark, sf_dir):
     lone = F.when(F.col("varunit") % 500 == 0, 1000 + F.col("varunit")).otherwise(F.col("varstrat"))
     df = view.persons(spark, sf_dir).withColumn("h", lone)
-    d = V.survey_design(df, "h", "varunit", "ab_wt", rescale=True)
+    d = V.survey_design(df, "h", "varunit", "ab_wt", rescale=True, check=False)  # its estimates check
     mean = V.survey_mean(d, ["pmpos"], ["gender"], ("se",)).withColumn("stat", F.lit("mean"))
     total = V.survey_total(d, ["pmpos"], ["gender"], ("se",)).withColumn("stat", F.lit("total"))
     return rounded(mean.unionByName(total).drop("outcome"), 5)

@@ -96,12 +96,15 @@ def antibody_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lab_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laboratory sub-sample: the orders of one market segment, with a species text."""
+    """Laboratory sub-sample: the samples of one market segment's customers."""
     customer = _read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
-    orders = _read(spark, sf_dir, "orders")
-    joined = orders.join(
-        customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")
-    )
+    chosen = customer.select(F.col("c_custkey").alias("varunit"))
+    return all_samples(spark, sf_dir).join(chosen, "varunit")
+
+
+def all_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A laboratory sample for every order, with a species text."""
+    joined = _read(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     texts = [*K.SPECIES_FLAGS, None, "unknown"]
     criteria = [*K.SELECTION_CODES, "Other"]

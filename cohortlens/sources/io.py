@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.staging import null_safe
 from cohortlens.sources.schema import check_columns
 
 
@@ -40,24 +39,33 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", columns: list[st
         raise ValueError(f"unknown format {fmt}")
 
 
+# Lines of a collection other than its features: brackets, and the members that may stand beside them.
+_COLLECTION_LINE = (
+    r'^\s*[\[\]{},\s]*("type"\s*:\s*"FeatureCollection"|"name"\s*:\s*"[^"]*"|"crs"\s*:\s*\{.*\}|"features"\s*:|[\[\]{},\s])*$'
+)
 _RING = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
 def load_areas(spark: SparkSession, path: str, id_property: str, properties: str):
     """GeoJSON features as ``(vertices, attributes)``.
 
-    One feature per line or one FeatureCollection per file; Polygon and MultiPolygon.
-    ``properties`` is the DDL of the wanted attributes, the identifier among them.
+    One feature per line, with or without the lines of a collection around them; Polygon and
+    MultiPolygon.  Any other line that is not blank is an error: files whose features span lines
+    are read by ``load_area_collection``.  ``properties`` is the DDL of the wanted attributes, the
+    identifier among them.
     """
     feature = (
         f"struct<type:string,properties:struct<{properties}>,"
         "geometry:struct<type:string,coordinates:string>>"
     )
     text = spark.read.text(path, wholetext=False)
-    lines = text.select(F.from_json("value", f"{feature}").alias("f")).where(
-        F.col("f.type") == "Feature"
+    f = F.from_json("value", feature)
+    around = F.col("value").rlike(_COLLECTION_LINE)
+    problem = F.raise_error(F.concat(F.lit("neither a feature nor part of a collection: "), F.left("value", F.lit(80))))
+    is_feature = F.when(F.coalesce(f["type"] == "Feature", F.lit(False)), True).otherwise(
+        F.when(around, False).otherwise(problem.cast("boolean"))
     )
-    return _split_areas(lines, id_property)
+    return _split_areas(text.where(is_feature).select(f.alias("f")), id_property)
 
 
 def load_area_collection(spark: SparkSession, path: str, id_property: str, properties: str):
@@ -95,7 +103,11 @@ def _split_areas(features: DataFrame, id_property: str):
 
 
 def area_features(vertices: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Attribute rows joined back to their polygons, one GeoJSON feature per row."""
+    """Polygons with their attributes, one GeoJSON feature per row.
+
+    A polygon without attributes keeps null properties, and attributes without a polygon a null
+    geometry.
+    """
     point = F.struct("seq", F.array("x", "y").alias("p"))
     rings = vertices.groupBy("area_id", "part", "ring").agg(
         F.transform(F.array_sort(F.collect_list(point)), lambda s: s["p"]).alias("points")
@@ -110,11 +122,16 @@ def area_features(vertices: DataFrame, attributes: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("part", "rings"))), lambda s: s["rings"]
         ).alias("coordinates")
     )
-    joined = null_safe(attributes, shapes, ["area_id"], "inner")
+    named = shapes.withColumnRenamed("area_id", "_shape_id")
+    joined = attributes.join(named, F.col("area_id").eqNullSafe(F.col("_shape_id")), "full")
+    joined = joined.withColumn("area_id", F.coalesce("area_id", "_shape_id"))
     return joined.select(
         F.lit("Feature").alias("type"),
         F.struct(*[F.col(c) for c in attributes.columns]).alias("properties"),
-        F.struct(F.lit("MultiPolygon").alias("type"), F.col("coordinates")).alias("geometry"),
+        F.when(
+            F.col("coordinates").isNotNull(),
+            F.struct(F.lit("MultiPolygon").alias("type"), F.col("coordinates")),
+        ).alias("geometry"),
     )
 
 
