@@ -271,6 +271,31 @@ def oracle_sql() -> dict[str, str]:
         CASE gender WHEN 1 THEN 'male' WHEN 2 THEN 'female' END AS gender_label, r_name AS zone_label
         FROM keyed LEFT JOIN region ON r_regionkey = ahzone"""
 
+    sizes = f"{BASE}, sizes AS (SELECT varunit, count(*) AS n FROM keyed GROUP BY 1)"
+    o["clusters_by_size"] = f"""{sizes} SELECT varunit, n, row_number() OVER (ORDER BY n DESC, varunit DESC) AS rank
+        FROM sizes"""
+    o["largest_clusters"] = f"{sizes} SELECT varunit, n FROM sizes ORDER BY n DESC, varunit DESC LIMIT 10"
+    o["table_round_trip"] = f"""{BASE} SELECT ahstate, count(*) AS n, CAST(sum(ptid) AS BIGINT) AS ids,
+        count(age) AS n_age FROM keyed GROUP BY ahstate"""
+
+    # closed forms of models with one factor: log odds of each level against the first one
+    for name, add, var in (
+        ("logistic", "0.0", "1.0 / k + 1.0 / (n - k)"),
+        ("firth", "0.5", "1.0 / (n * ((k + 0.5) / (n + 1.0)) * ((n - k + 0.5) / (n + 1.0)))"),
+    ):
+        o[f"{name}_saturated"] = f"""{BASE}, level AS (
+            SELECT wealthquintile AS q, CAST(count(*) AS DOUBLE) AS n, CAST(sum(pmpos) AS DOUBLE) AS k FROM keyed
+            WHERE pmpos IS NOT NULL AND wealthquintile IS NOT NULL GROUP BY 1),
+        odds AS (SELECT q, ln((k + {add}) / (n - k + {add})) AS l, {var} AS v FROM level),
+        coef AS (SELECT CASE WHEN o.q = 1 THEN '(Intercept)' ELSE 'wealthquintile[' || o.q || ']' END AS term,
+            CASE WHEN o.q = 1 THEN o.l ELSE o.l - f.l END AS b,
+            sqrt(CASE WHEN o.q = 1 THEN o.v ELSE o.v + f.v END) AS s
+            FROM odds AS o, (SELECT * FROM odds WHERE q = 1) AS f)
+        SELECT term, round(b, 4) AS estimate, round(s, 4) AS se, round(b - {Z} * s, 4) AS ci_low,
+            round(b + {Z} * s, 4) AS ci_high, round(exp(b), 4) AS odds_ratio, round(exp(b - {Z} * s), 4) AS or_low,
+            round(exp(b + {Z} * s), 4) AS or_high, (SELECT CAST(sum(n) AS BIGINT) FROM level) AS n,
+            (SELECT CAST(sum(k) AS BIGINT) FROM level) AS events FROM coef"""
+
     # filters
     o["inspect_signals"] = f"""{BASE} SELECT ptid, varunit, round(gst, 6) AS gst, round(pomsp1, 6) AS pomsp1
         FROM keyed WHERE pomsp1 < 0.5 OR gst > 500 OR gst IS NULL"""

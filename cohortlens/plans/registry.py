@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import constants as K
-from cohortlens.functions.staging import null_safe, stage
+from cohortlens.functions.quantiles import running_totals
+from cohortlens.functions.staging import null_safe, stage, staging_dir
 from cohortlens.operators import catalytic as C
 from cohortlens.operators import diagnostics as D
 from cohortlens.operators import filters as flt
@@ -29,6 +32,7 @@ from cohortlens.plans.pipelines import (
     lab_with_covariates,
     model_persons,
 )
+from cohortlens.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 MSP1 = ["pmmsp1", "pomsp1", "pvmsp1", "pfmsp1"]
@@ -229,6 +233,38 @@ def state_merge(spark, sf_dir):
 # ---- tables ---------------------------------------------------------------------------------------
 
 
+@query
+def clusters_by_size(spark, sf_dir):
+    """O1: clusters by falling size, the place of each from running totals instead of one window."""
+    sizes = view.persons(spark, sf_dir).groupBy("varunit").agg(F.count(F.lit(1)).alias("n"))
+    keyed = sizes.withColumn("place", F.struct((-F.col("n")).alias("n"), (-F.col("varunit")).alias("u")))
+    ranked = running_totals(keyed, "place", {"c": F.count(F.lit(1))})
+    out = ranked.select(
+        (-F.col("place.u")).alias("varunit"), (-F.col("place.n")).alias("n"),
+        (F.col("c_before") + 1).alias("rank"),
+    )
+    return G.sorted_desc(out, "n", "varunit")
+
+
+@query
+def largest_clusters(spark, sf_dir):
+    """O5: the first rows of a sorted table, a top-k report."""
+    sizes = view.persons(spark, sf_dir).groupBy("varunit").agg(F.count(F.lit(1)).alias("n"))
+    return G.head(G.sorted_desc(sizes, "n", "varunit"), 10)
+
+
+@query
+def table_round_trip(spark, sf_dir):
+    """S1, S3 and S5: the cleaned persons written, read back with a schema and summed up by state."""
+    kept = view.persons(spark, sf_dir).select("ptid", "varunit", "ahstate", "age")
+    path = f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    io.write_table(kept, path, "csv", ["ptid", "varunit", "ahstate", "age"])
+    back = io.load_table(spark, path, kept.schema, "csv")
+    return back.groupBy("ahstate").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ptid").alias("ids"), F.count("age").alias("n_age")
+    )
+
+
 @query
 def tab1(spark, sf_dir):
     return rounded(T.one_way(view.persons(spark, sf_dir), "a1q119"))
@@ -620,12 +656,16 @@ def signal_density(spark, sf_dir):
 
 @query
 def scr_vs_infection(spark, sf_dir):
-    rates = stage(C.seroconversion(view.persons(spark, sf_dir), ["pmpos"], ["ahstate"]))
-    infection = infection_by_state(spark, sf_dir).withColumn(
-        "pm_prev", F.try_divide("pcr_pm_pos", "pcr_pm_n")
-    ).select("ahstate", "pm_prev")
-    joined = C.seroconversion_vs_infection(rates, infection, "ahstate", "pmpos", "ahstate")
-    return L.ols(joined, "pm_prev", "scr")
+    rates = stage(C.seroconversion(view.persons(spark, sf_dir), ["pmpos", "popos"], ["ahstate"]))
+    infection = infection_by_state(spark, sf_dir)
+    lines = []
+    for species in ("pm", "po"):
+        prev = infection.select(
+            "ahstate", F.try_divide(f"pcr_{species}_pos", f"pcr_{species}_n").alias("prevalence")
+        )
+        joined = C.seroconversion_vs_infection(rates, prev, "ahstate", f"{species}pos", "ahstate")
+        lines.append(L.ols(joined, "prevalence", "scr").withColumn("species", F.lit(species)))
+    return lines[0].unionByName(lines[1])
 
 
 # ---- smoothing and plot data ----------------------------------------------------------------------------
@@ -756,8 +796,45 @@ def model_sweep(spark, sf_dir):
 @query
 def infection_sweep(spark, sf_dir):
     persons = model_persons(view.persons(spark, sf_dir))
-    df = infection_case_set(persons, view.lab_samples(spark, sf_dir), "pcr_pm")
-    return M.odds_ratios(df, M.model_sweep(df, ["pcr_pm"], _terms()))
+    sweeps = []
+    for outcome in ("pcr_pm", "pcr_po"):
+        df = infection_case_set(persons, view.lab_samples(spark, sf_dir), outcome)
+        sweeps.append(M.odds_ratios(df, M.model_sweep(df, [outcome], _terms())))
+    return sweeps[0].unionByName(sweeps[1])
+
+
+@query
+def case_models(spark, sf_dir):
+    """The adjusted bias-reduced model of each case set: both species against Pf alone, all three against negatives."""
+    lab = stage(lab_with_covariates(spark, sf_dir))
+    sets = {
+        "pm_vs_pf": flt.case_or_pf_mono(lab, "pcr_pm"), "po_vs_pf": flt.case_or_pf_mono(lab, "pcr_po"),
+        "pm_vs_negative": flt.case_or_negative(lab, "pcr_pm"),
+        "po_vs_negative": flt.case_or_negative(lab, "pcr_po"),
+        "pf_vs_negative": flt.case_or_negative(lab, "pcr_pf"),
+    }
+    tables = []
+    for name, df in sets.items():
+        fitted = M.fit_logistic(df, f"pcr_{name[:2]}", _terms(), kind="firth")
+        tables.append(M.odds_ratios(df, [fitted]).withColumn("comparison", F.lit(name)))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _saturated(spark, sf_dir, kind):
+    df = model_persons(view.persons(spark, sf_dir))
+    fitted = M.fit_logistic(df, "pmpos", [M.factor("wealthquintile", (1, 2, 3, 4, 5))], kind=kind)
+    kept = ["term", "estimate", "se", "ci_low", "ci_high", "odds_ratio", "or_low", "or_high"]
+    return rounded(M.odds_ratios(df, [fitted]).select(*kept, "n", "events"), 4)
+
+
+@query
+def logistic_saturated(spark, sf_dir):
+    return _saturated(spark, sf_dir, "ml")
+
+
+@query
+def firth_saturated(spark, sf_dir):
+    return _saturated(spark, sf_dir, "firth")
 
 
 @query
@@ -808,18 +885,21 @@ def model_tests(spark, sf_dir):
     )
 
 
+N_SIGNALS = ["ama1", "csp", "glurp0", "hrp2", "lsa1", "pfmsp1", "pmmsp1", "pomsp1", "pvmsp1"]
+
+
 @query
 def mixture2(spark, sf_dir):
     df = view.persons(spark, sf_dir)
-    two = ["csp", "glurp0", "hrp2", "lsa1", "pmmsp1", "pomsp1", "pvmsp1"]
-    k = {**{s: 2 for s in two}, "ama1": 6, "pfmsp1": 6}
+    k = {s: 6 if s in ("ama1", "pfmsp1") else 2 for s in N_SIGNALS}
     return N.mixture_table(df, N.fit_mixtures(df, k))
 
 
 @query
 def mixture_density(spark, sf_dir):
     df = view.persons(spark, sf_dir)
-    return N.mixture_density(df, N.fit_mixtures(df, {"pmmsp1": 2, "pomsp1": 2}))
+    k = {s: 6 if s in ("ama1", "pfmsp1") else 2 for s in N_SIGNALS}
+    return N.mixture_density(df, N.fit_mixtures(df, k))
 
 
 @query
