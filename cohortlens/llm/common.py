@@ -26,6 +26,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        self._frames: list[DataFrame] = []
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -35,15 +36,23 @@ class Scratch:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(back)] = path
-        back._scratch = self  # the frame keeps its writer, so the id stays its own
+        self._frames.append(back)  # held, so that its id stays its own
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self._paths.pop(id(df), None)
-            if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(self._paths.pop(id(df), None))
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Remove all tables but those that a result still reads."""
+        kept = {id(df) for df in frames}
+        for key in [k for k in self._paths if k not in kept]:
+            self._delete(self._paths.pop(key))
+
+    def _delete(self, path: str | None) -> None:
+        if path:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -179,6 +179,7 @@ def near_duplicates(
     rows_ = rows_.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     rows_ = scratch.write(rows_.select("uid", "doc_id", "n", F.coalesce("component", "rep", "uid").alias("component")), "members")
     first = scratch.write(rows_.groupBy("component").agg(F.min("doc_id").alias("component_id")), "first")
+    scratch.keep_only(rows_, first)
     out = rows_.join(first, "component")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")

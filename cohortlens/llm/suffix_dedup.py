@@ -284,6 +284,7 @@ def remove_repeats(
     joined = per_text.join(edges, "uid", "left").join(spans, "uid", "left").join(parsed.select("uid", "hi"), "uid")
     runs = scratch.write(_byte_runs(joined, length), "runs")
     cuts = scratch.write(parsed.select("uid", "key", "row").join(runs, "uid").dropDuplicates(["key", "row"]).drop("uid"), "cuts")
+    scratch.keep_only(parsed, runs, cuts)
     back = F.when(F.col("key") != LAST_ID, F.col("key")).alias("doc_id")
     cut = _cut(texts.join(cuts, ["key", "row"]).select(back, "starts", "ends", "text"))
     whole = parsed.join(runs.select("uid"), "uid", "left_anti").select("key", "row", "n", "sha")

@@ -242,5 +242,6 @@ def near_vectors(
     members = members.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("component", "rep", "uid").alias("component"))
     members = scratch.write(members, "members")
     first = scratch.write(members.groupBy("component").agg(F.min("vec_id").alias("component_id")), "first")
+    scratch.keep_only(members, first)
     out = members.join(first, "component")
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
