@@ -28,5 +28,67 @@ FROM j GROUP BY doc_id
 """
 
 
+OP1 = r"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT *, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM twice)),
+mark AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER o <= 400 THEN 0 ELSE 1 END AS fresh FROM hit
+  WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+run AS (SELECT doc_id, min(p) AS s, max(p) + 400 AS e
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM mark) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS b FROM run),
+part AS (
+  SELECT doc_id, s AS pos, substr(h, 2 * b + 1, 2 * (s - b)) AS x FROM cut JOIN d USING (doc_id)
+  UNION ALL
+  SELECT doc_id, n AS pos, substr(h, 2 * coalesce(last, 0) + 1) AS x
+  FROM d LEFT JOIN (SELECT doc_id, max(e) AS last FROM run GROUP BY 1) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY pos) AS x FROM part GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+# smallest vertex reachable over ``link`` (x, y in both directions)
+_REACH = """
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach AS r JOIN link AS l ON r.y = l.x),
+least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+"""
+
+OP6 = rf"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND isfinite(list_sum(CAST(embedding AS DOUBLE[]))) AND list_max(embedding) - list_min(embedding) + abs(list_max(embedding)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+{_REACH}, degree AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN degree ON vec_id = degree.x LEFT JOIN least ON vec_id = least.x
+"""
+
+OP10 = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pair AS (SELECT x, y FROM shared JOIN n AS a ON x = a.doc_id JOIN n AS b ON y = b.doc_id WHERE 100 * c >= 80 * (a.n + b.n - c)),
+link AS (SELECT x, y FROM pair UNION ALL SELECT y, x FROM pair),
+{_REACH}
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+  doc_id <= coalesce(m, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON doc_id = least.x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op5_line_dedup": OP5}
+    return {
+        "op1_suffix_dedup": OP1, "op2_exact_dedup": OP2, "op5_line_dedup": OP5, "op6_embedding_near_dedup": OP6,
+        "op10_minhash_near_dedup": OP10,
+    }
