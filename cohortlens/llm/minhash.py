@@ -28,7 +28,7 @@ class Shingler:
     with fewer words than a shingle has one shingle, its whole sequence; no words, none.
     """
 
-    def __init__(self, size: int, max_words: int = 300_000):
+    def __init__(self, size: int, max_words: int = 200_000):
         import xxhash
 
         self.size, self.max_words, self.digest = size, max_words, xxhash.xxh3_64_intdigest

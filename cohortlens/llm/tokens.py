@@ -51,10 +51,10 @@ class TextEncoder:
     Texts are cut at white space, and each distinct word goes once to the library.  Plain words go to its merge
     model straight away, after the case folding and byte letters that the file's pipeline asks for; any
     other chunk goes through the whole pipeline, and a text with unusual spaces goes through it as a whole.
-    Caches hold at most ``max_words`` entries each.  Strings of special tokens are ordinary text.
+    The cache of words holds at most ``max_words`` entries, that of pieces half as many.  Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, end_id: int, max_words: int = 600_000):
+    def __init__(self, path: str, end_id: int, max_words: int = 400_000):
         import json
 
         from tokenizers import Tokenizer
@@ -68,7 +68,7 @@ class TextEncoder:
         self.word_model = bool(spec["model"].get("end_of_word_suffix"))
         self.letters = byte_letters()
         self.end = array("I", [end_id]).tobytes()
-        self.pieces = _Cache(self._piece, max_words)
+        self.pieces = _Cache(self._piece, max_words // 2)
         self.chunks = _Cache(self._chunk, max_words)
 
     def _piece(self, piece: str) -> bytes:

@@ -41,7 +41,7 @@ class FuzzyLexicon:
     a word costs one lookup a letter, and ends as soon as no term can be reached.  At most ``max_states`` are kept.
     """
 
-    def __init__(self, terms: list[Term], max_states: int = 100_000):
+    def __init__(self, terms: list[Term], max_states: int = 20_000):
         self.terms, self.max_states = terms, max_states
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[int] = [-1]
@@ -124,7 +124,7 @@ class FuzzyLexicon:
 class Lexicon:
     """Looks words up: exact terms first, then stems (longest first), then terms within their distance."""
 
-    def __init__(self, terms: list[Term], max_words: int = 300_000):
+    def __init__(self, terms: list[Term], max_words: int = 200_000):
         self.terms, self.max_words = terms, max_words
         self.whole = {t.text: i for i, t in enumerate(terms) if not t.stem}
         self.stems = {t.text: i for i, t in enumerate(terms) if t.stem}
@@ -200,7 +200,7 @@ def document_hits(text: str | None, lexicon: Lexicon) -> DocumentHits:
 def features(h: DocumentHits, terms: list[Term]) -> list[float]:
     counts = Counter(h.exact)
     counts.update(h.fuzzy)
-    total = sum(counts.values())
+    total = sum(c * terms[t].weight / 8.0 for t, c in counts.items())  # a doubtful term counts for less
     rate = math.log1p(1000 * total / max(1, h.words))
     return [
         math.log1p(total),
@@ -296,8 +296,9 @@ def candidate_counts(sample: DataFrame, min_docs: int, max_candidates: int) -> l
     return kept.orderBy(F.desc("best"), "term").limit(max_candidates).collect()
 
 
-def choose_terms(rows: list, folds: tuple[int, ...], sizes: dict, max_terms: int, min_root: float, min_docs: int) -> list[Term]:
-    """The lexicon from the counts of some folds: by likelihood ratio, without entries that another one already covers."""
+def choose_terms(rows: list, folds: tuple[int, ...], sizes: dict, max_terms: int, min_root: float, min_docs: int, min_odds: float = 3.0) -> list[Term]:
+    """The lexicon from the counts of some folds: by likelihood ratio, with log odds of ``min_odds`` at least, and without
+    entries that another one already covers."""
     pos = sum(sizes.get((f, 1), 0) for f in folds)
     neg = sum(sizes.get((f, 0), 0) for f in folds)
     if not pos or not neg:
@@ -310,11 +311,13 @@ def choose_terms(rows: list, folds: tuple[int, ...], sizes: dict, max_terms: int
             g, more = root_g(p, n, pos, neg, math.log)
             if p >= min_docs and more > 0 and g >= min_root**2:
                 best.append((g, math.log((p + 0.5) / (pos - p + 0.5)) - math.log((n + 0.5) / (neg - n + 0.5))))
-        if best and max(o for _, o in best) >= 1.0:
+        if best and max(o for _, o in best) >= min_odds:
             stem = r["term"].endswith("*")
             text = r["term"][:-1] if stem else r["term"]
             held = sum(r[f"p{f}"] for f in folds)
-            scored.append((-round(max(best)[0], 6), stem, -len(text), text, min(8.0, max(o for _, o in best)), held))
+            odds = min(8.0, max(o for _, o in best))
+            # strong evidence, and among nested entries the one that clean texts do not share
+            scored.append((-round(max(best)[0] * odds, 6), stem, -len(text), text, odds, held))
     terms: list[Term] = []
     taken: dict[str, int] = {}
     for _, stem, _, text, odds, held in sorted(scored):
@@ -356,8 +359,8 @@ def train(
 
     The lexicon comes from document counts of words and stems.  The weights of the features come from hits
     of lexicons learned on the other half of the sample, so a word that was toxic by chance gains nothing, and
-    rows are weighed back to the share of their label.  Terms whose misspellings turn up in clean documents
-    lose their tolerance.
+    rows are weighed back to the share of their label.  Terms whose misspellings turn up in more than 0.2 % of the
+    clean documents of the sample lose their tolerance.
     """
     scratch = Scratch(docs.sparkSession)
     known = labelled.where("label IN (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
@@ -399,12 +402,13 @@ def train(
     y = np.array([r["label"] for r in got], float)
     weight = np.array([1 / r["rate"] for r in got])
     coefficients = fit_logistic(np.array([r["x"] for r in got]), y, weight / weight.mean())
-    clean, bad = Counter(), Counter()
+    clean = Counter()
     for r in got:
-        (bad if r["label"] else clean).update(r["fuzzy"])
+        if not r["label"]:
+            clean.update(r["fuzzy"])
     negatives = max(1, int((y == 0).sum()))
     terms = [
-        Term(t.text, t.stem, t.weight, t.errors if clean[i] <= max(bad[i], 0.002 * negatives) else 0) for i, t in enumerate(final)
+        Term(t.text, t.stem, t.weight, t.errors if clean[i] <= 0.002 * negatives else 0) for i, t in enumerate(final)
     ]
     return ToxicityModel(terms, coefficients)
 
