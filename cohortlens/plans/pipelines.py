@@ -24,13 +24,13 @@ def person_covariates(df: DataFrame) -> DataFrame:
     return G.net_coverage(P.net_counts(P.household_recodes(df)))
 
 
-def lab_with_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laboratory samples that are not missing, with species flags and survey covariates."""
+def lab_with_covariates(spark: SparkSession, sf_dir: str, samples: DataFrame) -> DataFrame:
+    """The laboratory ``samples`` that are not missing, with species flags and survey covariates."""
     covariates = person_covariates(view.persons(spark, sf_dir)).select(
         "ptid", "age", "gender", "urban", "wealthquintile", "a1qnumber", "netcover_avg",
         "netcover_ind", "ahstate",
     )
-    lab = flt.missing(view.lab_samples(spark, sf_dir), "missing_samples")
+    lab = flt.missing(samples, "missing_samples")
     return P.age_group3(G.left_join(P.species_flags(lab), covariates, "ptid"))
 
 

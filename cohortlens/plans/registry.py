@@ -200,7 +200,7 @@ def four_antigen_negative(spark, sf_dir):
 
 @query
 def pcr_join(spark, sf_dir):
-    df = lab_with_covariates(spark, sf_dir)
+    df = lab_with_covariates(spark, sf_dir, view.lab_samples(spark, sf_dir))
     return rounded(
         df.select(
             "ptid", "cluster", "pcr_species", "pcr_pm", "pcr_po", "agegrp", "gender", "urban",
@@ -783,7 +783,7 @@ def logistic(spark, sf_dir):
 
 @query
 def firth(spark, sf_dir):
-    df = lab_with_covariates(spark, sf_dir)
+    df = lab_with_covariates(spark, sf_dir, view.all_samples(spark, sf_dir))
     return M.odds_ratios(df, [M.fit_logistic(df, "pcr_po", _terms(), kind="firth")])
 
 
@@ -806,7 +806,7 @@ def infection_sweep(spark, sf_dir):
 @query
 def case_models(spark, sf_dir):
     """The adjusted bias-reduced model of each case set: both species against Pf alone, all three against negatives."""
-    lab = stage(lab_with_covariates(spark, sf_dir))
+    lab = stage(lab_with_covariates(spark, sf_dir, view.all_samples(spark, sf_dir)))
     sets = {
         "pm_vs_pf": flt.case_or_pf_mono(lab, "pcr_pm"), "po_vs_pf": flt.case_or_pf_mono(lab, "pcr_po"),
         "pm_vs_negative": flt.case_or_negative(lab, "pcr_pm"),
