@@ -55,6 +55,15 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Name of the column that ``with_row_key`` adds.
+ROW_KEY = "_row_key"
+
+
+def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` written with a number that is unique to each row; being written, it is the same in every read."""
+    return scratch.write(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -105,11 +105,11 @@ def sketch_limit(similarity: float, samples: int, bits: int, deviations: float =
 
 #: Samples and bits of the second sketch, which only rows in shared keys get: it tells 0.8 from about 0.74.
 FINE_SAMPLES, FINE_BITS = 2048, 4096
-FEATURES = "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
+FEATURES = "doc_id long, uid long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
 
 
-def set_features(docs: DataFrame, size: int, hasher: MinHasher, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: set size, a 128-bit digest of the set, band keys and odd sketch (null for an empty set)."""
+def set_features(docs: DataFrame, size: int, hasher: MinHasher, id_col: str, text_col: str, key: Column) -> DataFrame:
+    """One row per document: ``key`` as uid, set size, a 128-bit digest of the set, band keys and odd sketch (null for an empty set)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -117,7 +117,7 @@ def set_features(docs: DataFrame, size: int, hasher: MinHasher, id_col: str, tex
         shingler = Shingler(size)
         for batch in batches:
             n, d1, d2, bands, sketches = [], [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 hashes = shingler.of(text.as_py())
                 n.append(len(hashes))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
@@ -128,12 +128,13 @@ def set_features(docs: DataFrame, size: int, hasher: MinHasher, id_col: str, tex
                 sketches.append(None if samples is None else hasher.odd_sketch(samples))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                  pa.array(bands, lists), pa.array(sketches, lists)],
-                names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
+                names=["doc_id", "uid", "n", "d1", "d2", "bands", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(features, FEATURES)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.cast("long").alias("uid"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(features, FEATURES)
 
 
 def _differing_bits(words: int) -> Column:
@@ -143,7 +144,7 @@ def _differing_bits(words: int) -> Column:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    bands: int = 60, rows: int = 7, bits: int = 1024,
+    bands: int = 60, rows: int = 7, bits: int = 1024, key_col: str | None = None,
 ) -> DataFrame:
     """Components of documents whose word-shingle sets have 100 * intersection >= ``percent`` * union.
 
@@ -167,28 +168,36 @@ def near_duplicates(
     have an empty set and link with nothing, not with each other.  Fewer words than a shingle: the whole
     sequence is the shingle.  Rows that repeat an identifier are documents of their own under that identifier;
     null identifiers are never chosen over others.  An empty table gives no rows; other columns are ignored.
+
+    ``key_col`` names a number that is unique to each row and the same in every read of ``docs``.  It is then a further
+    column of the result, and ``kept`` holds for exactly one row of each component: smallest identifier, then key.
     """
     scratch = Scratch(docs.sparkSession)
     hasher = MinHasher(bands, rows, bits)
-    features = set_features(docs, words, hasher, id_col, text_col)
-    features = scratch.write(features.withColumn("uid", F.monotonically_increasing_id()), "features")
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
+    features = scratch.write(set_features(docs, words, hasher, id_col, text_col, key), "features")
     digest = ["d1", "d2", "n"]
     reps = scratch.write(features.where("n > 0").groupBy(*digest).agg(F.min("uid").alias("rep")), "reps")
-    labels = _class_components(docs, features, reps, scratch, words, percent, hasher, id_col, text_col)
+    labels = _class_components(docs, features, reps, scratch, words, percent, hasher, id_col, text_col, key_col)
     rows_ = features.select("uid", "doc_id", *digest).join(reps, digest, "left")
     rows_ = rows_.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     rows_ = scratch.write(rows_.select("uid", "doc_id", "n", F.coalesce("component", "rep", "uid").alias("component")), "members")
-    first = scratch.write(rows_.groupBy("component").agg(F.min("doc_id").alias("component_id")), "first")
+    best = [F.min("doc_id").alias("component_id")]
+    if key_col:
+        best.append(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("uid"))).alias("first"))
+    first = scratch.write(rows_.groupBy("component").agg(*best), "first")
     scratch.keep_only(rows_, first)
     out = rows_.join(first, "component")
+    kept = F.col("uid") == F.col("first.uid") if key_col else F.col("doc_id").eqNullSafe(F.col("component_id"))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"),
+        *([F.col("uid").alias(key_col)] if key_col else []),
     )
 
 
 def _class_components(
     docs: DataFrame, features: DataFrame, reps: DataFrame, scratch: Scratch, words: int, percent: int, hasher: MinHasher,
-    id_col: str, text_col: str, rounds: int = 2,
+    id_col: str, text_col: str, key_col: str | None, rounds: int = 2,
 ) -> DataFrame:
     """(id, component) over the class representatives' row numbers."""
     fine = MinHasher(1, FINE_SAMPLES, FINE_BITS, seed=19)
@@ -199,7 +208,7 @@ def _class_components(
     wanted = scratch.write(members.groupBy("uid").agg(F.sum("size").alias("weight")), "wanted")
     known = features.join(wanted, "uid").select("uid", "weight", "doc_id", "n", "d1", "d2", "sketch", "bands")
     known = scratch.write(known, "known")
-    sets = _sets_of(docs, known, scratch, words, fine, id_col, text_col)
+    sets = _sets_of(docs, known, scratch, words, fine, id_col, text_col, key_col)
     sketches = known.select("uid", "n", "sketch")
     limit = sketch_limit(percent / 100, hasher.bands * hasher.rows, hasher.bits)
     alike = _differing_bits(hasher.bits // 64)
@@ -267,17 +276,19 @@ def _mixed_keys(members: DataFrame, known: DataFrame, labels: DataFrame | None,
 
 
 def _sets_of(
-    docs: DataFrame, known: DataFrame, scratch: Scratch, words: int, fine: MinHasher, id_col: str, text_col: str
+    docs: DataFrame, known: DataFrame, scratch: Scratch, words: int, fine: MinHasher, id_col: str, text_col: str,
+    key_col: str | None,
 ) -> DataFrame:
     """(uid, set, fine) of the rows in ``known``, from their texts: full set and a sketch of many more samples.
 
-    Texts return by identifier; where rows share one, the row whose set has the known digest is the right one
+    Texts return by their key, without one by identifier; where rows share one, the row whose set has the known digest is the right one
     (rows that repeat identifier and text give the same set again, which only repeats links).
     """
     import xxhash
 
-    text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text"))
-    rows = text.join(known.select("uid", "doc_id", "d1", "d2"), F.col("i").eqNullSafe(F.col("doc_id")))
+    text = docs.select(F.col(key_col or id_col).cast("long").alias("i"), F.col(text_col).alias("text"))
+    same = F.col("i") == F.col("uid") if key_col else F.col("i").eqNullSafe(F.col("doc_id"))
+    rows = text.join(known.select("uid", "doc_id", "d1", "d2"), same)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)

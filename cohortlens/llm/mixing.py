@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fraction_of
+from .common import ROW_KEY, Scratch, fraction_of, with_row_key
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -48,14 +48,14 @@ def permuted(x: Column, n: Column, *key: Column, seed: int, rounds: int = 16) ->
     return F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), x.cast("long"), one)
 
 
-def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the text, 0 for null), a hash of the text, and a row number that is unique in
-    the written table."""
+def document_sizes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None
+) -> DataFrame:
+    """doc_id, source, size (words of the text, 0 for null), and ``key_col`` as uid, or else a row number that is unique
+    in the written table."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("row")
-    )
-    return rows.withColumn("uid", F.monotonically_increasing_id())
+    uid = F.col(key_col) if key_col else F.monotonically_increasing_id()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), uid.alias("uid"))
 
 
 class Mix:
@@ -77,12 +77,12 @@ class Mix:
     def __init__(
         self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = 64, shard_blocks: int = 16_384, seed: int = 42,
-        salt_rows: int = 50_000,
+        salt_rows: int = 50_000, key_col: str | None = None,
     ):
         self.spark, self.block, self.cap, self.seed = docs.sparkSession, block, cap, seed
-        self.ids = (id_col, text_col)
+        self.names = (key_col, text_col)
         self.scratch = Scratch(self.spark)
-        sizes = self.scratch.write(document_sizes(docs, id_col, text_col, source_col), "sizes")
+        sizes = self.scratch.write(document_sizes(docs, id_col, text_col, source_col, key_col), "sizes")
         per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
         blocks = F.expr(f"(source_size + {block - 1}) div {block}")
         targets = source_targets(per_source, weights, cap).withColumn("blocks", blocks)
@@ -105,7 +105,7 @@ class Mix:
         inside = Window.partitionBy("rank", "salt").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(shifts, ["rank", "salt"])
         return self.scratch.write(
-            rows.select("doc_id", "row", "uid", "rank", "size", (F.col("inside") + F.col("shift")).alias("first")), "streams"
+            rows.select("doc_id", "uid", "rank", "size", (F.col("inside") + F.col("shift")).alias("first")), "streams"
         )
 
     def _drawn(self, total: int, shard_blocks: int) -> DataFrame:
@@ -197,17 +197,15 @@ class Mix:
         """``docs``, all columns, once for each epoch that takes words from a document, with those words as its text.
 
         An epoch that takes all words keeps the text as it is; else the words of its blocks follow each other,
-        parted by blanks.  Documents without words are not drawn.  Rows that repeat identifier and text are drawn
-        alike.
+        parted by blanks.  Documents without words are not drawn.  Rows and draws meet by the mixture's ``key_col``.
         """
-        id_col, text_col = self.ids
+        key_col, text_col = self.names
         uses = self.slots.select("rank", "epoch", "block")
         drawn = self.document_blocks().join(uses.hint("merge"), ["rank", "block"])
         drawn = drawn.groupBy("uid", "epoch").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list("block")).alias("blocks"))
-        one = self.sizes.dropDuplicates(["doc_id", "row"]).select("uid", F.col("doc_id").alias("i"), "row", "first", "size")
+        one = self.sizes.select("uid", "first", "size")
         drawn = self.scratch.write(drawn.join(one, "uid"), "drawn_texts")
-        same = F.col(id_col).eqNullSafe(F.col("i")) & (F.xxhash64(text_col) == F.col("row"))
-        rows = docs.join(drawn.hint("merge"), same).withColumn("words", F.regexp_extract_all(text_col, F.lit(WORDS), 0))
+        rows = docs.join(drawn.hint("merge"), F.col(key_col) == F.col("uid")).withColumn("words", F.regexp_extract_all(text_col, F.lit(WORDS), 0))
         b = self.block
 
         def part(k):
@@ -223,7 +221,8 @@ class Mix:
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The texts of the mixture; see ``Mix.texts``."""
-    return Mix(docs, **options).texts(docs)
+    keyed = with_row_key(docs, Scratch(docs.sparkSession))
+    return Mix(keyed, key_col=ROW_KEY, **options).texts(keyed).select(*docs.columns)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -1,27 +1,30 @@
 """Training-data pipeline: toxicity, exact and near duplicates, mixing of sources, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next stage's
-documents; all but the last return the columns of ``documents``.  Rows that share an identifier stand or fall
-together in the two deduplications (they stay if one of them is kept); rows without an identifier cannot be told
-apart there and stay.
+documents; all but the last return the columns of ``documents``.  The two deduplications and the mixture tell rows
+apart by a key that is written with their input, not by identifier: of equal or similar rows exactly one stays, also
+where rows share an identifier or have none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import exact_dedup, minhash, mixing, packing, queries, toxicity
-from cohortlens.llm.common import Scratch, table
+from cohortlens.llm.common import ROW_KEY, Scratch, table, with_row_key
 from cohortlens.llm.tokens import public_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without_dropped(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` without the identifiers of which no row is kept."""
-    dropped = decisions.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("NOT stays").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _kept_rows(docs: DataFrame, decide: Callable[..., DataFrame], **options) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` keeps, joined by row key."""
+    keyed = with_row_key(docs, Scratch(docs.sparkSession))
+    dropped = decide(keyed, key_col=ROW_KEY, **options).where("NOT kept").select(ROW_KEY)
+    return keyed.join(dropped, ROW_KEY, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +36,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without_dropped(docs, exact_dedup.exact_duplicates(docs))
+    return _kept_rows(docs, exact_dedup.exact_duplicates)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts: shingles of five words, similarity 0.8."""
-    return _without_dropped(docs, minhash.near_duplicates(docs, words=5, percent=80))
+    return _kept_rows(docs, minhash.near_duplicates, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
