@@ -18,16 +18,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, id_col: str = "doc_id", text_col: str = "text",
-    keep_ids: bool = False,
+    keep_ids: bool = False, added_tokens: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``max_len`` ids per document: doc_id, piece, start, length, ids_crc32 (and ids).
 
     Only longer documents are cut, into full pieces after a shorter first one.  A null text is empty
-    and gives the end id alone.
+    and gives the end id alone.  ``added_tokens``: see ``TextEncoder``.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer_path, end_id)
+        encoder = encoder_for(tokenizer_path, end_id, added_tokens)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -210,16 +210,18 @@ def pack(pieces: DataFrame, max_len: int, scratch: Scratch, salt_rows: int = 200
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Pack the token ids of all documents into sequences of at most ``max_len`` ids.
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset; the pieces of a
     sequence follow each other without gap from offset 0.  Null and empty texts are packed as their end id.
     Repeated rows are packed each on its own; a null identifier stays null.  An empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored.  ``added_tokens``: see ``TextEncoder``.
     """
     scratch = Scratch(docs.sparkSession)
-    pieces = scratch.write(token_pieces(docs, tokenizer_path, end_id, max_len, id_col, text_col), "pieces")
+    pieces = token_pieces(docs, tokenizer_path, end_id, max_len, id_col, text_col, added_tokens=added_tokens)
+    pieces = scratch.write(pieces, "pieces")
     packed = pack(pieces, max_len, scratch)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -33,7 +33,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     folder = scratch.folder("tokens")
     manifest = token_files.write_token_files(
-        table(spark, sf_dir, "documents"), folder, public_tokenizer("word_bpe_49k.json"), end_id=2, vocabulary=49_408
+        table(spark, sf_dir, "documents"), folder, public_tokenizer("word_bpe_49k.json"), end_id=2, vocabulary=49_408,
+        added_tokens=True,
     )
     manifest = scratch.write(token_files.with_bases(scratch.write(manifest, "shards")), "manifest")
     return token_files.read_token_files(spark, manifest, folder)
@@ -49,7 +50,8 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
-        table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=2, max_len=1024
+        table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=2, max_len=1024,
+        added_tokens=True,
     )
 
 

@@ -29,7 +29,7 @@ def _file_system(folder: str):
 
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False,
 ) -> DataFrame:
     """Encode every text and write the ids in ascending identifier order.
 
@@ -42,7 +42,7 @@ def write_token_files(
 
     Returns the manifest (shard, file, n_docs, n_tokens, width); the files are written when it runs, so
     write it before use.  A null text counts as empty and holds the end id only.  An empty table
-    gives an empty manifest; other columns are ignored.
+    gives an empty manifest; other columns are ignored.  ``added_tokens``: see ``TextEncoder``.
     """
     width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
 
@@ -55,7 +55,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = encoder_for(tokenizer_path, end_id)
+                encoder = encoder_for(tokenizer_path, end_id, added_tokens)
                 system, base = _file_system(folder)
                 system.create_dir(base, recursive=True)
                 name = f"part-{shard:06d}-{uuid.uuid4().hex[:12]}"

@@ -51,16 +51,19 @@ class TextEncoder:
     Texts are cut at white space, and each distinct word goes once to the library.  Plain words go to its merge
     model straight away, after the case folding and byte letters that the file's pipeline asks for; any
     other chunk goes through the whole pipeline, and a text with unusual spaces goes through it as a whole.
-    The cache of words holds at most ``max_words`` entries, that of pieces half as many.  Strings of special tokens are ordinary text.
+    The cache of words holds at most ``max_words`` entries, that of pieces half as many.
+
+    ``added_tokens``: the file's added tokens are found in the text, as the library does by itself; otherwise their
+    strings are ordinary text.  They hold no white space, so they never reach across a cut.
     """
 
-    def __init__(self, path: str, end_id: int, max_words: int = 400_000):
+    def __init__(self, path: str, end_id: int, max_words: int = 400_000, added_tokens: bool = False):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -102,9 +105,9 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder_for(path: str, end_id: int) -> TextEncoder:
+def encoder_for(path: str, end_id: int, added_tokens: bool = False) -> TextEncoder:
     """The worker's encoder; tasks that follow each other in one Python worker share its caches."""
-    return TextEncoder(path, end_id)
+    return TextEncoder(path, end_id, added_tokens=added_tokens)
 
 
 def public_tokenizer(name: str) -> str:

@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 ids with their sequence and offset."""
-    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), end_id=2, max_len=1024)
+    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), end_id=2, max_len=1024, added_tokens=True)
 
 
 STAGES = [
