@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.staging import staging_dir
@@ -60,8 +61,22 @@ ROW_KEY = "_row_key"
 
 
 def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` written with a number that is unique to each row; being written, it is the same in every read."""
-    return scratch.write(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+    """``docs`` with a number that is unique to each row and the same in every read.
+
+    A row of a file is numbered by its file, in order of the paths, and its place there, so no text is copied; any
+    other table is written with its numbers.
+    """
+    try:
+        paths = docs.select(F.col("_metadata.file_path").alias("_path")).distinct()
+        paths.schema  # resolved now: only tables of files have these columns
+    except AnalysisException:
+        return scratch.write(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+    number = F.row_number().over(Window.orderBy("_path")).cast("long")
+    files = scratch.write(paths.select("_path", number.alias("_file")), "files")
+    placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    # one short row a file: small for any table, and a shuffle would move the texts
+    placed = placed.join(F.broadcast(files), "_path")
+    return placed.select(*docs.columns, F.expr("shiftleft(_file, 40) + _at").alias(ROW_KEY))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
