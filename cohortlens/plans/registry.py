@@ -917,5 +917,6 @@ def glmm_nested(spark, sf_dir):
 @query
 def glmm_bivariate(spark, sf_dir):
     df = model_persons(view.persons(spark, sf_dir))
-    models = X.mixed_sweep(df, ["clustered"], ["livestock", "ahmember"], "varunit")
+    materials = [M.factor(c) for c in ("roof_mat", "wall_mat", "water_source")]
+    models = X.mixed_sweep(df, ["clustered"], ["ahmember", "livestock", "aircon", "electric", *materials], "varunit")
     return X.mixed_performance(df, models)

@@ -35,3 +35,18 @@ def test_case_models_read_all_orders(spark, lab):
             want[f"{species}_vs_pf"] = (int((cases | pf_alone).sum()), int(cases.sum()))
         want[f"{species}_vs_negative"] = (int((cases | none).sum()), int(cases.sum()))
     assert got == want
+
+
+def test_glmm_bivariate_fits_every_covariate(spark, monkeypatch):
+    fitted = {}
+
+    def fit(df, outcome, terms, cluster, household=None, model_id=None):
+        column = getattr(terms[0], "column", terms[0])
+        fitted[model_id] = df.where(f"{column} IS NOT NULL AND {outcome} IS NOT NULL").limit(1).count()
+        return model_id
+
+    monkeypatch.setattr(registry.X, "fit_mixed", fit)
+    monkeypatch.setattr(registry.X, "mixed_performance", lambda df, models: models)
+    covariates = ["ahmember", "livestock", "roof_mat", "wall_mat", "aircon", "electric", "water_source"]
+    assert sorted(registry.glmm_bivariate(spark, SF)) == sorted(f"clustered~{c}" for c in covariates)
+    assert set(fitted.values()) == {1}
