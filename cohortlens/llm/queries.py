@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, suffix_dedup, token_files, toxicity, vectors
+from . import (
+    exact_dedup, langid, lexical, line_dedup, minhash, mixing, packing, phrase_index, pieces, suffix_dedup, token_files,
+    toxicity, vectors,
+)
 from .common import Scratch, table
 from .tokens import public_tokenizer
 
@@ -67,9 +70,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, top=2000)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizer("piece_bpe_32k.model")
+    encoded = pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = pieces.decode_pieces(encoded.select("doc_id", "ids"), model)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_exact_dedup, op3_language_id, op4_token_files, op5_line_dedup, op6_embedding_near_dedup,
         op7_best_fit_packing, op8_mixing, op9_toxicity,
-        op10_minhash_near_dedup,
+        op10_minhash_near_dedup, op11_phrase_collocations, op12_lexical_search, op13_sentencepiece,
     )}

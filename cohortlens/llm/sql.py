@@ -87,8 +87,73 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON doc_id = least.x
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(x, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(pieces) AS x FROM d)),
+word AS (SELECT lang, piece, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM p),
+near AS (SELECT lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS (
+  SELECT lang, 1 AS size, a AS phrase, count(*) AS f FROM near GROUP BY ALL
+  UNION ALL SELECT lang, 2, a || ' ' || b AS phrase, count(*) FROM near WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c AS phrase, count(*) FROM near WHERE c IS NOT NULL GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+cut AS (
+  SELECT lang, size, phrase, f, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM cand
+  UNION ALL
+  SELECT lang, size, phrase, f, 2, w[1] || ' ' || w[2], w[3] FROM cand WHERE size = 3),
+scored AS (
+  SELECT cut.lang, cut.size, cut.phrase, cut.f AS a, k, b.f AS l, c.f AS r,
+    1000000 * CAST(cut.f AS HUGEINT) * cut.f // (CAST(b.f AS HUGEINT) * c.f) AS score
+  FROM cut JOIN f AS b ON b.lang = cut.lang AND b.phrase = x JOIN f AS c ON c.lang = cut.lang AND c.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, f FROM cand WHERE size = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], f FROM cand WHERE size = 3)
+  GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN around ON around.lang = best.lang AND around.phrase = best.phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+OP12 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+total AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM t WHERE len(w) > 0),
+d AS (SELECT row, doc_id, 25 + (75 * len(w) * docs) // terms AS m FROM t, total WHERE len(w) > 0),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM t) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+score AS (
+  SELECT item_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN d USING (row) GROUP BY ALL),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM score JOIN d USING (row) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": OP1, "op2_exact_dedup": OP2, "op5_line_dedup": OP5, "op6_embedding_near_dedup": OP6,
-        "op10_minhash_near_dedup": OP10,
+        "op10_minhash_near_dedup": OP10, "op11_phrase_collocations": OP11, "op12_lexical_search": OP12,
     }
