@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -17,8 +17,6 @@ from .common import Scratch
 FOLD = bytes(0x0A if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BREAK = 0  # the symbol between pieces
 
-NAMES = ["lang", "words", "vocabulary", "forward", "backward"]
-INDEX = "lang string, words long, vocabulary array<binary>, forward binary, backward binary"
 GRAMS = "lang string, size int, phrase string, f long"
 
 
@@ -89,6 +87,16 @@ class Intervals:
     def __init__(self, words: np.ndarray, size: np.ndarray, forward: np.ndarray | None, backward: np.ndarray | None):
         self.words, self.size, self.forward, self.backward = words, size, forward, backward
 
+    def where(self, keep: np.ndarray | slice) -> Intervals:
+        return Intervals(self.words[keep], self.size[keep], self.forward[keep], self.backward[keep])
+
+    def portions(self, rows: int) -> Iterator[Intervals]:
+        """The n-grams in portions of about ``rows`` rows of the transform."""
+        portion = np.cumsum(self.size) // rows
+        cuts = np.r_[0, np.flatnonzero(np.diff(portion)) + 1, len(portion)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield self.where(slice(lo, hi))
+
 
 class PhraseIndex:
     """A bidirectional index of word ids: the transform of the text and that of the reversed text.
@@ -143,53 +151,37 @@ class PhraseIndex:
         return Intervals(words[chosen], count[chosen], *((other, own) if right else (own, other)))
 
 
-def build_index(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, shard_words: int = 4_000_000,
-) -> DataFrame:
-    """One row per shard and language: its words, their number, and both transforms, to be written before use.
+def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """(language, vocabulary, text) of the shards of a task.
 
-    Texts are folded and cut into pieces and words; pieces are parted by a symbol of their own.  A task gathers the
-    words of a language until there are ``shard_words`` of them in all and then closes its shards, so a hot language
-    makes more shards, not larger ones; only a single text can make a shard larger.  Null texts are empty, a null
-    language is ``und``, an empty table gives no row; other columns are ignored.
+    A task gathers words until there are ``shard_words`` of them and then closes a shard for each language, so a hot
+    language makes more shards, not larger ones; only a single text can make a shard larger.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
-        held = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            for lang in list(parts):
-                vocabulary, text = _symbols(parts.pop(lang))
-                if len(vocabulary):
-                    forward, backward = PhraseIndex.of(text, max_words - 1)
-                    columns = [[lang], [int((text != BREAK).sum())], [vocabulary.cast(pa.binary())],
-                               [forward.tobytes()], [backward.tobytes()]]
-                    kinds = [pa.string(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], NAMES)
-
-        for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            size = 0
-            for at, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                texts.setdefault(lang, []).append(text)
-                size += len(text)
-                if size < 4 << 20 and at + 1 < batch.num_rows:
-                    continue
-                for key, some in texts.items():
-                    parts.setdefault(key, []).append(_cut(some))
-                    held += len(parts[key][-1][1])
-                texts, size = {}, 0
-                if held >= shard_words:
-                    yield from close()
-                    held = 0
-        yield from close()
-
-    texts = docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
-        F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"),
-    )
-    return texts.mapInArrow(run, INDEX)
+    parts: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
+    held = 0
+    for batch in batches:
+        texts: dict[str, list[bytes]] = {}
+        size = 0
+        for at, (lang, text) in enumerate(zip(batch.column(0), batch.column(1))):
+            texts.setdefault(lang.as_py(), []).append(text.as_py())
+            size += len(text.as_buffer())
+            if size < 2 << 20 and at + 1 < batch.num_rows:
+                continue
+            for key, some in texts.items():
+                parts.setdefault(key, []).append(_cut(some))
+                held += len(parts[key][-1][1])
+            texts, size = {}, 0
+            if held >= shard_words:
+                yield from _closed(parts)
+                held = 0
+    yield from _closed(parts)
+
+
+def _closed(parts: dict[str, list[tuple[pa.Array, np.ndarray]]]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    for lang in list(parts):
+        vocabulary, text = _symbols(parts.pop(lang))
+        if len(vocabulary):
+            yield lang, vocabulary, text
 
 
 def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -233,76 +225,87 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
         yield lang, batch.filter(pc.equal(batch.column(0), lang)).column(1).to_pylist()
 
 
-def _shard_grams(index: DataFrame, size: int, frequent: np.ndarray | None = None, bits: int = 0) -> DataFrame:
+def _shard_grams(
+    texts: DataFrame, size: int, shard_words: int, frequent: np.ndarray | None = None, bits: int = 0
+) -> DataFrame:
     """(lang, size, phrase, f): the n-grams of ``size`` words of every shard with their counts there.
 
     With ``frequent`` only n-grams both of whose parts one word shorter have their bit set there.  n-grams grow to the
-    right and to the left in turn.
+    right and to the left in turn, some rows of the transform at a time.
     """
-    spread = index.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None
+    spread = texts.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from grams(row)
-
-    def grams(row: dict) -> Iterator[pa.RecordBatch]:
-        vocabulary = row["vocabulary"]
-        index = PhraseIndex(
-            np.frombuffer(row["forward"], "<i4"), np.frombuffer(row["backward"], "<i4"), len(vocabulary) + 1
-        )
-        if spread is not None:
-            hashes, bit_map = np.r_[np.uint64(0), _hashes(row["lang"], vocabulary)], spread.value
-
-        def common(words: np.ndarray) -> np.ndarray:
-            slot = _slot(hashes[words], bits)
-            return (bit_map[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-        found = index.words()
-        for k in range(1, size):
-            right, keep = bool(k % 2), None
-            if spread is not None and k == size - 2:
-                keep = common
-            elif spread is not None and k == size - 1:
-                new = slice(1, None) if right else slice(None, -1)
-                keep = lambda words, new=new: common(words[:, new])
-            found = index.extend(found, right, keep, last=k == size - 1)
-        words = pa.array(vocabulary, pa.binary())
-        for lo in range(0, len(found.size), 1 << 18):
-            part = found.words[lo : lo + (1 << 18)]
-            columns = [words.take(pa.array(part[:, k] - 1)) for k in range(size)]
-            phrase = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if size > 1 else columns[0]
+        for lang, vocabulary, text in _shards(batches, shard_words):
+            if size == 1:
+                word = np.arange(1, len(vocabulary) + 1)
+                count = np.bincount(text, minlength=len(vocabulary) + 1)[1:]
+                yield from rows(lang, vocabulary, Intervals(word[:, None], count, None, None))
+                continue
+            hashes = None if spread is None else np.r_[np.uint64(0), _hashes(lang, vocabulary.to_pylist())]
+            index = PhraseIndex(*PhraseIndex.of(text, size - 1), len(vocabulary) + 1)
+            for found in grown(index, index.words(), 1, hashes):
+                yield from rows(lang, vocabulary, found)
+
+    def common(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        slot = _slot(hashes[words], bits)
+        return (spread.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def grown(index: PhraseIndex, grams: Intervals, k: int, hashes: np.ndarray | None) -> Iterator[Intervals]:
+        """All n-grams of ``size`` words from those of ``k`` words."""
+        if k == size:
+            yield grams
+            return
+        right, keep = bool(k % 2), None
+        if hashes is not None and k == size - 1:
+            new = slice(1, None) if right else slice(None, -1)
+            grams = grams.where(common(grams.words, hashes))
+            keep = lambda words: common(words[:, new], hashes)
+        for some in grams.portions(1 << 20):
+            yield from grown(index, index.extend(some, right, keep, last=k == size - 1), k + 1, hashes)
+
+    def rows(lang: str, vocabulary: pa.Array, found: Intervals) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(found.size), 1 << 17):
+            part = found.words[lo : lo + (1 << 17)]
+            columns = [vocabulary.take(pa.array(part[:, k] - 1)) for k in range(size)]
+            blank = pa.scalar(b" ", pa.large_binary())
+            phrase = pc.binary_join_element_wise(*columns, blank) if size > 1 else columns[0]
             n = len(part)
             yield pa.RecordBatch.from_arrays([
-                pa.array([row["lang"]] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrase.cast(pa.string()),
-                pa.array(found.size[lo : lo + (1 << 18)].astype(np.int64)),
+                pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)),
+                phrase.cast(pa.large_string()).cast(pa.string()),
+                pa.array(found.size[lo : lo + (1 << 17)].astype(np.int64)),
             ], ["lang", "size", "phrase", "f"])
 
-    return index.mapInArrow(run, GRAMS)
+    return texts.mapInArrow(run, GRAMS)
 
 
-def frequent_phrases(docs: DataFrame, scratch: Scratch, max_words: int = 3, min_count: int = 10, filter_bits: int = 26,
-                     text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(
+    docs: DataFrame, scratch: Scratch, max_words: int = 3, min_count: int = 10, text_col: str = "text",
+    lang_col: str = "lang", shard_words: int = 2_500_000, filter_bits: int = 26,
+) -> tuple[DataFrame, DataFrame]:
     """((lang, size, phrase, f) of all n-grams of up to ``max_words`` words with f >= ``min_count``, (lang, n)).
 
-    Level by level: an n-gram can be frequent only if both parts one word shorter are, so from three words on shards
+    Level by level, each from the texts: an n-gram can be frequent only if both parts one word shorter are, so shards
     report only those whose parts are set in a bit map of ``2**filter_bits`` bits.  The map has a fixed size; where
-    its slots are shared, shards report some n-grams too many, which the sum then drops.
+    its slots are shared, shards report some n-grams too many, which the sum then drops.  n counts all words.
     """
-    index = scratch.write(build_index(docs, text_col, lang_col, max_words), "index")
-    levels, frequent = [], None
+    texts = docs.select(
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
+        F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"),
+    )
+    levels, frequent, totals = [], None, None
     for size in range(1, max_words + 1):
-        rows = _shard_grams(index, size, frequent, filter_bits)
-        level = rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
-        levels.append(scratch.write(level, f"level-{size}"))
-        if 1 < size < max_words:
+        rows = _shard_grams(texts, size, shard_words, frequent, filter_bits)
+        # shards have each phrase once, so adding up before the shuffle would save nothing
+        level = rows.repartition("lang", "phrase").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+        if size == 1:
+            level = scratch.write(level, "words")
+            totals = scratch.write(level.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+        levels.append(scratch.write(level.where(F.col("f") >= min_count), f"level-{size}"))
+        if size < max_words:
             frequent = _frequent_bits(levels[-1], filter_bits)
-    total = scratch.write(index.groupBy("lang").agg(F.sum("words").alias("n")), "totals")
-    scratch.drop(index)
-    grams = levels[0]
-    for level in levels[1:]:
-        grams = grams.union(level)
-    return grams, total
+    return reduce(DataFrame.union, levels), totals
 
 
 def _part(first: Column | int, length: Column) -> Column:
@@ -312,7 +315,7 @@ def _part(first: Column | int, length: Column) -> Column:
 
 def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, min_count: int = 10,
-    covered_percent: int = 50, top: int = 2000, filter_bits: int = 26,
+    covered_percent: int = 50, top: int = 2000, shard_words: int = 2_500_000, filter_bits: int = 26,
 ) -> DataFrame:
     """The ``top`` phrases of each language: (lang, rank, phrase, a, l, r, n, score).
 
@@ -326,7 +329,7 @@ def collocations(
     columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    grams, totals = frequent_phrases(docs, scratch, max_words, min_count, filter_bits, text_col, lang_col)
+    grams, totals = frequent_phrases(docs, scratch, max_words, min_count, text_col, lang_col, shard_words, filter_bits)
     size = F.col("size")
     many = grams.where(size > 1)
     cuts = many.select("lang", "size", "phrase", "f", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
