@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +19,8 @@ NONE = np.iinfo(np.int32).max
 IDS = "<u4"
 #: Words up to this length are kept in a worker's cache.
 CACHED_LENGTH = 64
+#: Texts that a task works on at a time.
+SLICE = 256
 
 
 def _one_bad_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -99,7 +101,7 @@ class PieceModel:
         self.silent[list(control)] = True
         self.opens = np.array([name.startswith(SPACE) and i in score for i, name in enumerate(names)])
         self.cache: dict[str, bytes] = {}
-        self.max_words = 500_000
+        self.max_words = 250_000
 
     # the pair table: open addressing, a few times more slots than pairs
 
@@ -306,39 +308,60 @@ def model_for(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, work) -> DataFrame:
-    """``df`` with column ``name`` made from ``source`` by ``work(list) -> list``, batch by batch."""
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind)])
+def _with_columns(df: DataFrame, keep: list[str] | None, steps: list[tuple[str, T.DataType, str, Callable]]) -> DataFrame:
+    """``df`` with a column (name, type, source, work) for each step, made by ``work(list) -> list`` in the same pass.
+
+    A batch goes through in slices, so that a task holds the lists of a few hundred texts only.
+    """
+    made = [name for name, *_ in steps]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
+    sent = list(dict.fromkeys([*kept, *(source for *_, source, _ in steps if source in df.columns)]))
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind, *_ in steps])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(work(batch.column(source).to_pylist()), pa.string() if kind == T.StringType() else pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [made], [*kept, name])
-
-    return df.mapInArrow(run, schema)
-
-
-def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+            for lo in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(lo, SLICE)
+                new: dict[str, list] = {}
+                for name, _, source, work in steps:
+                    new[name] = work(new[source] if source in new else rows.column(source).to_pylist())
+                columns = [rows.column(c) for c in kept]
+                columns += [pa.array(new[n], pa.string() if kind == T.StringType() else pa.binary()) for n, kind, *_ in steps]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
+
+    return df.select(*sent).mapInArrow(run, schema)
+
+
+def encode_pieces(
+    docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """``docs`` with the ids of every whole text as binary: little-endian unsigned 32-bit, begin and end id included.
 
     The ids are those of the library's ``encode`` with begin and end and without sampling, for BPE models without
-    user-defined symbols.  A text is cut into words where no piece can reach across; each distinct word of a batch is
-    merged once, all of them in the same rounds over flat arrays.  A null or empty text holds begin and end only.
-    A column of the name ``ids_col`` is replaced; all other columns, repeated rows and null identifiers stay as they
-    are; an empty table gives an empty table.  Texts of any length are encoded whole; a word is never split, and one
-    without any white space of a million characters takes as many rounds as it has different merges.
+    user-defined symbols.  A text is cut into words where no piece can reach across; the distinct words of a few
+    hundred texts are merged together, all in the same rounds over flat arrays.  ``decoded_col`` names a column for
+    the text decoded from these ids, made in the same pass.
+
+    A null or empty text holds begin and end only.  A column of the name of a new one is replaced; all other columns
+    (or those of ``keep``), repeated rows and null identifiers stay as they are; an empty table gives an empty table.
+    Texts of any length are encoded whole; a word is never split, and one without any white space of a million
+    characters takes as many rounds as it has different merges.
     """
 
-    def work(texts: list[str | None]) -> list[bytes]:
+    def encode(texts: list[str | None]) -> list[bytes]:
         model = model_for(model_path)
-        ends = [np.array([i], IDS).tobytes() for i in (model.begin, model.end)]
-        made = []
-        for at in range(0, len(texts), 256):  # the words of one group are in the cache of the next
-            made += model.encode([t or "" for t in texts[at : at + 256]])
-        return [ends[0] + ids + ends[1] for ids in made]
+        first, last = (np.array([i], IDS).tobytes() for i in (model.begin, model.end))
+        return [first + ids + last for ids in model.encode([t or "" for t in texts])]
+
+    steps = [(ids_col, T.BinaryType(), text_col, encode)]
+    if decoded_col:
+        steps.append((decoded_col, T.StringType(), ids_col, _decoder(model_path)))
+    return _with_columns(docs, keep, steps)
+
 
-    return _with_column(docs, ids_col, T.BinaryType(), text_col, work)
+def _decoder(model_path: str) -> Callable[[list], list]:
+    return lambda rows: model_for(model_path).decode([r or b"" for r in rows])
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -348,6 +371,4 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", text_c
     each byte that is not becomes U+FFFD.  Null ids count as none and give the empty text; an id outside the
     vocabulary raises.  A column of the name ``text_col`` is replaced; the others stay.
     """
-    return _with_column(
-        docs, text_col, T.StringType(), ids_col, lambda rows: model_for(model_path).decode([r or b"" for r in rows])
-    )
+    return _with_columns(docs, None, [(text_col, T.StringType(), ids_col, _decoder(model_path))])

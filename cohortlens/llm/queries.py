@@ -80,8 +80,8 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizer("piece_bpe_32k.model")
-    encoded = pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    decoded = pieces.decode_pieces(encoded.select("doc_id", "ids"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = pieces.encode_pieces(docs, model, decoded_col="decoded", keep=["doc_id"])
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
