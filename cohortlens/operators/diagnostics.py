@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.quantiles import exact_quantiles, running_totals
-from cohortlens.functions.staging import attach, null_safe
+from cohortlens.functions.staging import attach, null_safe, stage
 from cohortlens.functions.tails import Z95, chi2_p, chi2_sf, norm_sf
 from cohortlens.operators.logistic import Factor, Model, Square, fit_models, score
 
@@ -16,20 +16,27 @@ def usable(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
+def _weight(n: str | None) -> Column:
+    return F.col(n).cast("double") if n else F.lit(1)
+
+
 def goodness_of_fit(
-    df: DataFrame, y: str, p: str, n_parameters: int, p_values: bool = True
+    df: DataFrame, y: str, p: str, n_parameters: int | Column, p_values: bool = True,
+    by: list[str] = (), n: str | None = None,
 ) -> DataFrame:
     """Deviance and Pearson chi-squared against the residual degrees of freedom.
 
     Rows without an outcome or a fitted probability are left out, here and in the other diagnostics.
+    ``by`` keeps several models apart; ``n`` names the number of rows that a row stands for.
     """
     df = usable(df, y, p)
-    yc, pc = F.col(y).cast("double"), F.col(p)
+    yc, pc, w = F.col(y).cast("double"), F.col(p), _weight(n)
     loss = F.when(yc == 1, -F.ln(pc)).otherwise(-F.ln(1 - pc))
-    out = df.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(2 * loss).alias("deviance"),
-        F.sum((yc - pc) ** 2 / (pc * (1 - pc))).alias("pearson"),
-    ).withColumn("df", F.col("n") - n_parameters)
+    k = n_parameters if isinstance(n_parameters, Column) else F.lit(n_parameters)
+    out = df.groupBy(*by).agg(
+        F.sum(w).cast("long").alias("n"), F.sum(2 * w * loss).alias("deviance"),
+        F.sum(w * (yc - pc) ** 2 / (pc * (1 - pc))).alias("pearson"),
+    ).withColumn("df", F.col("n") - k)
     if not p_values:
         return out
     return out.withColumns(
@@ -40,6 +47,12 @@ def goodness_of_fit(
     )
 
 
+def parameters_of(models: list[Model], extra: dict[str, int] | None = None) -> Column:
+    """Number of coefficients by ``model_id``, for ``goodness_of_fit``; ``extra`` adds variances."""
+    pairs = [x for m in models for x in (F.lit(m.model_id), F.lit(len(m.beta) + (extra or {}).get(m.model_id, 0)))]
+    return F.create_map(*pairs)[F.col("model_id")]
+
+
 def hosmer_lemeshow(df: DataFrame, y: str, p: str, groups: int = 10, p_values: bool = True):
     """Observed against expected counts in quantile groups of the fitted probability."""
     df = usable(df, y, p)
@@ -60,35 +73,43 @@ def hosmer_lemeshow(df: DataFrame, y: str, p: str, groups: int = 10, p_values: b
     return out.withColumn("p", chi2_p(F.col("chisq"), F.col("df"))) if p_values else out
 
 
-def binned_residuals(df: DataFrame, y: str, p: str, bins: int | None = None, reach: float = 2.0):
+def binned_residuals(
+    df: DataFrame, y: str, p: str, bins: int | None = None, reach: float = 2.0, by: list[str] = (), n: str | None = None
+) -> DataFrame:
     """Mean residual per equal-count bin of the fitted probability with its error bounds.
 
-    By default floor(sqrt(n)) bins; equal probabilities always share a bin.
+    By default floor(sqrt(n)) bins; equal probabilities always share a bin.  ``by`` and ``n`` as in
+    ``goodness_of_fit``.
     """
+    keys = [*by, "_whole"]
     r = F.col(y).cast("double") - F.col(p)
-    rows = df.select(F.col(p).alias("_p"), r.alias("_r")).where(F.col("_r").isNotNull())
-    n = rows.count()
-    k = bins or max(int(np.floor(np.sqrt(n))), 1)
-    curve = running_totals(
-        rows, "_p", {"n": F.count(F.lit(1)), "r1": F.sum("_r"), "r2": F.sum(F.col("_r") ** 2)}
-    )
+    rows = df.select(
+        *by, F.lit(0).alias("_whole"), F.col(p).alias("_p"), r.alias("_r"), _weight(n).alias("_n")
+    ).where(F.col("_r").isNotNull())
+    curve = stage(running_totals(
+        rows, "_p",
+        {"n": F.sum("_n"), "r1": F.sum(F.col("_n") * F.col("_r")), "r2": F.sum(F.col("_n") * F.col("_r") ** 2)}, keys,
+    ))
+    total = curve.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    k = F.lit(bins) if bins else F.greatest(F.floor(F.sqrt("_total")), F.lit(1))
+    placed = null_safe(curve, total, keys, "inner").withColumn("_k", k.cast("long"))
     label = F.least(
-        F.lit(k - 1), F.ceil((F.col("n_before") + 1) * F.lit(k) / F.lit(float(n))).cast("long") - 1
+        F.col("_k") - 1, F.ceil((F.col("n_before") + 1) * F.col("_k") / F.col("_total").cast("double")).cast("long") - 1
     )
-    per = curve.groupBy(label.alias("bin")).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("_p") * F.col("n")) / F.sum("n")).alias("mean_p"),
+    per = placed.groupBy(*by, label.alias("bin")).agg(
+        F.sum("n").alias("_m"), (F.sum(F.col("_p") * F.col("n")) / F.sum("n")).alias("mean_p"),
         (F.sum("r1") / F.sum("n")).alias("mean_resid"),
         F.try_divide(F.sum("r2") - F.sum("r1") ** 2 / F.sum("n"), F.sum("n") - 1).alias("var"),
-    )
+    ).withColumn("n", F.col("_m").cast("long"))
     se = reach * F.sqrt(F.greatest("var", F.lit(0.0))) / F.sqrt("n")
-    return per.select("bin", "n", "mean_p", "mean_resid", se.alias("bound")).withColumn(
+    return per.select(*by, "bin", "n", "mean_p", "mean_resid", se.alias("bound")).withColumn(
         "inside", F.abs("mean_resid") <= F.col("bound")
     )
 
 
-def share_inside(binned: DataFrame) -> DataFrame:
+def share_inside(binned: DataFrame, by: list[str] = ()) -> DataFrame:
     """Share of bins whose mean residual lies within its bounds."""
-    return binned.agg(
+    return binned.groupBy(*by).agg(
         F.count(F.lit(1)).alias("bins"), F.avg(F.col("inside").cast("double")).alias("inside")
     )
 
@@ -110,19 +131,23 @@ def performance(df: DataFrame, y: str, p: str, n_parameters: int) -> DataFrame:
     )
 
 
-def collinearity(df: DataFrame, model: Model) -> DataFrame:
-    """Generalised variance inflation factor and tolerance per term, from the fitted information."""
-    v = model.vcov[1:, 1:]
-    d = np.sqrt(np.diag(v))
-    r = v / np.outer(d, d)
-    columns = [c[1] for c in model.coding[1:]]
+def collinearity(df: DataFrame, *models: Model) -> DataFrame:
+    """Generalised variance inflation factor and tolerance per term, from the fitted information.
+
+    Any fit with a covariance will do: likelihood, bias-reduced, or the fixed part of a mixed model.
+    """
     rows = []
-    for column in dict.fromkeys(columns):
-        own = np.array([c == column for c in columns])
-        rest = np.linalg.det(r[np.ix_(~own, ~own)]) if (~own).any() else 1.0
-        gvif = np.linalg.det(r[np.ix_(own, own)]) * rest / np.linalg.det(r)
-        k = int(own.sum())
-        rows.append((model.model_id, column, k, float(gvif), float(gvif ** (1 / (2 * k))), float(1 / gvif)))
+    for model in models:
+        v = model.vcov[1:, 1:]
+        d = np.sqrt(np.diag(v))
+        r = v / np.outer(d, d)
+        columns = [c[1] for c in model.coding[1:]]
+        for column in dict.fromkeys(columns):
+            own = np.array([c == column for c in columns])
+            rest = np.linalg.det(r[np.ix_(~own, ~own)]) if (~own).any() else 1.0
+            gvif = np.linalg.det(r[np.ix_(own, own)]) * rest / np.linalg.det(r)
+            k = int(own.sum())
+            rows.append((model.model_id, column, k, float(gvif), float(gvif ** (1 / (2 * k))), float(1 / gvif)))
     return df.sparkSession.createDataFrame(
         rows, "model_id string, term string, df int, vif double, se_factor double, tolerance double"
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -263,6 +264,23 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def fitted_patterns(df: DataFrame, models: list[Model]) -> DataFrame:
+    """(model_id, y, p_hat, hat, n): the outcome and covariate patterns of each model with their fitted probability.
+
+    The rows are collapsed once for all models.  Hat values follow the model's own information, so for a bias-reduced
+    fit they are those of the penalised likelihood.
+    """
+    table = patterns(df, [c for m in models for c in (m.outcome, *m.columns)])
+    parts = []
+    for m in models:
+        scored = score(table, m)
+        parts.append(scored.select(
+            F.lit(m.model_id).alias("model_id"), F.col(m.outcome).cast("double").alias("y"), "p_hat", "hat",
+            F.col("_n").alias("n"),
+        ))
+    return reduce(DataFrame.union, parts)
+
+
 # ---- separation ----------------------------------------------------------------------------------
 
 

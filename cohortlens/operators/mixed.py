@@ -1,7 +1,8 @@
 """Mixed logistic models with random intercepts per cluster, or per household within cluster.
 
 The marginal likelihood is the Laplace approximation at the conditional modes.  Patterns of
-(covariates, outcome) per household are staged once.  Each step is one Spark job: the patterns meet
+(covariates, outcome) per household are staged once and packed by cluster (``mixed_blocks``).  Where a
+cluster is too large for that, each step is one Spark job: the patterns meet
 the current modes in an equi-join, are summed per household (a hot cluster is reduced on the map
 side and split by the join), and the household sums are staged.  A second small job reduces them
 to p x p sums, from which coefficients, standard deviations and all modes move together; the new
@@ -13,6 +14,7 @@ With u, v standard normal effects, the linear predictor is x'beta + s_b v[cluste
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from cohortlens.functions.staging import null_safe, stage
 from cohortlens.functions.sums import array_sums
 from cohortlens.functions.tails import Z95, norm_sf
 from cohortlens.operators.logistic import Model, Term, design_columns, fit_models, patterns
+from cohortlens.operators.mixed_blocks import Search, Spec, fitted, joint_sums, pack, search
 
 
 @dataclass
@@ -38,6 +41,8 @@ class MixedModel:
     fixed_variance: float = float("nan")
     n_clusters: int = 0
     path: list = field(default_factory=list)
+    #: (model_id, y, p_hat, n) per pattern, fitted at the conditional modes; models of one sweep share it
+    fitted: DataFrame | None = None
 
 
 _LEVELS = ("_cluster", "_household")
@@ -118,53 +123,13 @@ def _stack(series: pd.Series) -> np.ndarray:
 
 
 def _totals(full: DataFrame, m: MixedModel, p: int) -> dict[str, np.ndarray]:
-    """Global sums for one joint step, from household rows that carry their cluster's sums.
-
-    The log determinant of a cluster is L = Σ log D_h + log(1 + b² A) with D_h = 1 + c² W_h and
-    A = Σ W_h / D_h; q_h below is its derivative in W_h.  Derivatives of the modes follow from
-    differentiating their estimating equations.
-    """
+    """Global sums for one joint step, from household rows that carry their cluster's sums."""
     b, c = (float(s) for s in m.sd)
+    plain = ["w", "g", "t", "u", "v", "ca", "ch", "cg", "cwr", "cwu", "cwgd", "l"]
 
     def sums(h: pd.DataFrame) -> dict[str, np.ndarray]:
-        w, g, t, u, v = (h[k].to_numpy(dtype=float) for k in ("w", "g", "t", "u", "v"))
-        s, dq, r = _stack(h["s"]), _stack(h["q"]), _stack(h["r"])
-        big_s, a = _stack(h["cs"]), h["ca"].to_numpy(dtype=float)
-        d, e = 1 + c * c * w, 1 + b * b * a
-        one = 1.0 / h["ch"].to_numpy(dtype=float)  # share of the cluster carried by this household
-        q = c * c / d + b * b / e / d**2
-        ru = c * g - u
-        rv = b * h["cg"].to_numpy(dtype=float) - v - b * c * h["cwr"].to_numpy(dtype=float)
-        # modes in beta: dv = -b S / e, du = -(c s + b c W dv) / D
-        dv = -b * big_s / e[:, None]
-        du = -(c * s + b * c * w[:, None] * dv) / d[:, None]
-        slope = dq + t[:, None] * (b * dv + c * du)
-        grad = r - 0.5 * q[:, None] * slope
-        schur = -(c * c / d)[:, None, None] * s[:, :, None] * s[:, None, :]
-        schur -= (one * b * b / e)[:, None, None] * big_s[:, :, None] * big_s[:, None, :]
-        back = s * (c * ru / d)[:, None] + big_s * (one * b * rv / e)[:, None]
-        # modes in b: direct change v of the predictor, plus Σ g in the equation of v
-        wu, gg = h["cwu"].to_numpy(dtype=float), h["cg"].to_numpy(dtype=float)
-        dvb = (gg - b * v * a) / e
-        dub = -(c * w * (v + b * dvb)) / d
-        lb = 2 * b * a / e * one
-        gb = v * g - 0.5 * lb - 0.5 * q * t * (v + b * dvb + c * dub)
-        # modes in c: direct change u, plus g in the equation of u
-        wg = h["cwgd"].to_numpy(dtype=float)
-        dvc = (-b * (wu + c * wg)) / e
-        duc = (g - c * w * u - b * c * w * dvc) / d
-        w2 = w * w / d**2
-        lc = 2 * c * w / d - b * b / e * 2 * c * w2
-        gc = u * g - 0.5 * lc - 0.5 * q * t * (u + b * dvc + c * duc)
-        ll = h["l"].to_numpy(dtype=float) - 0.5 * u * u - 0.5 * one * v * v
-        ll = ll - 0.5 * np.log(d) - 0.5 * one * np.log(e)
-        # expected information about the log variances
-        ib, ic = 0.5 * one * (b * b * a / e) ** 2, 0.5 * (c * c * w / d) ** 2
-        return {
-            "ll": np.array([v.sum() for v in (ll, one, gb, gc, ib, ic)]), "grad": grad.sum(0),
-            "back": back.sum(0), "schur": schur.sum(0).ravel(),
-            "mode": np.array([np.sum(ru * ru) + np.sum(one * rv * rv)]),
-        }
+        columns = {k: h[k].to_numpy(dtype=float) for k in plain} | {k: _stack(h[k]) for k in ("s", "q", "r", "cs")}
+        return joint_sums(columns, b, c)
 
     return array_sums(full, sums)
 
@@ -198,13 +163,81 @@ def fit_mixed(
     df: DataFrame, outcome: str, terms: list[Term], cluster: str, household: str | None = None,
     sd0: float = 0.5, max_steps: int = 80, tol: float = 1e-3, model_id: str | None = None,
 ) -> MixedModel:
-    """Laplace fit with a random intercept per cluster, and per household within it if given.
+    """Laplace fit with a random intercept per cluster, and per household within it if given."""
+    spec = [(model_id or outcome, outcome, list(terms))]
+    return fit_mixed_models(df, spec, cluster, household, sd0, max_steps, tol)[0]
+
+
+def fit_mixed_models(
+    df: DataFrame, models: list[tuple[str, str, list[Term]]], cluster: str, household: str | None = None,
+    sd0: float = 0.5, max_steps: int = 80, tol: float = 1e-3, largest_cluster: int = 200_000,
+) -> list[MixedModel]:
+    """All (model id, outcome, terms) in the same passes; rows missing a used column of a model are left out of it.
+
+    Patterns are packed by cluster, so that each pass is one map over the packed rows and sends p x p sums to the
+    driver.  Clusters of more than ``largest_cluster`` patterns do not fit a task; then every model is fitted by joins of
+    patterns and modes, which split a cluster over many tasks.  Both end at the same optimum.  A variance that the data
+    drive to zero ends at a small bound; a fit that does not settle says so in ``converged``.
+    """
+    fixed = [Model(key, outcome, list(terms), "ml") for key, outcome, terms in models]
+    keys = [cluster, *([household] if household else [])]
+    columns = list(dict.fromkeys(c for m in fixed for c in (m.outcome, *m.columns)))
+    used = df.dropna(subset=keys).select(
+        F.col(cluster).alias("_cluster"), (F.col(household) if household else F.lit(0)).alias("_household"), *columns
+    )
+    collapsed = patterns(used, used.columns)
+    most = collapsed.groupBy("_cluster").count().agg(F.max("count")).first()[0] or 0
+    if most > largest_cluster:
+        return [_fit_by_joins(df, m.outcome, m.terms, cluster, household, sd0, max_steps, tol, m.model_id) for m in fixed]
+    fit_models(collapsed, fixed, collapsed=True)
+    outcomes = list(dict.fromkeys(m.outcome for m in fixed))
+    design: dict[tuple, tuple[int, object]] = {}
+    for m in fixed:
+        for code, column in zip(m.coding, design_columns(m)):
+            design.setdefault(code, (len(design), column))
+    blocks = pack(collapsed, [F.col(o) for o in outcomes], [c for _, c in design.values()])
+    searches = [
+        Search(Spec(m.model_id, outcomes.index(m.outcome), [design[code][0] for code in m.coding], m.beta.copy(),
+                    np.array([sd0, sd0 if household else 0.0])), bool(household))
+        for m in fixed
+    ]
+    search(blocks, searches, len(outcomes), len(design), max_steps, tol)
+    variance = _predictor_variance(collapsed, fixed, [s.spec.beta for s in searches])
+    scored = fitted(blocks, [s.spec for s in searches], len(outcomes), len(design))
+    out = []
+    for m, s in zip(fixed, searches):
+        m.beta, m.information = s.spec.beta, s.information
+        m.vcov = np.linalg.pinv(s.information, hermitian=True)
+        m.converged = s.converged
+        out.append(MixedModel(m, s.spec.sd, bool(household), float(s.loglik), s.steps, s.converged,
+                              variance[m.model_id], int(round(s.clusters)), fitted=scored))
+    return out
+
+
+def _predictor_variance(collapsed: DataFrame, models: list[Model], betas: list[np.ndarray]) -> dict[str, float]:
+    """Variance of the fixed predictor over the rows of each model, all in one pass."""
+    sums = []
+    for i, (m, beta) in enumerate(zip(models, betas)):
+        eta = sum((float(b) * x for b, x in zip(beta, design_columns(m))), F.lit(0.0))
+        n = F.when(F.col(m.outcome).isNotNull() & eta.isNotNull(), F.col("_n"))
+        sums += [F.sum(n).alias(f"n{i}"), F.sum(n * eta).alias(f"a{i}"), F.sum(n * eta * eta).alias(f"b{i}")]
+    got = collapsed.agg(*sums).first()
+    return {
+        m.model_id: got[f"b{i}"] / got[f"n{i}"] - (got[f"a{i}"] / got[f"n{i}"]) ** 2 for i, m in enumerate(models)
+    }
+
+
+def _fit_by_joins(
+    df: DataFrame, outcome: str, terms: list[Term], cluster: str, household: str | None,
+    sd0: float, max_steps: int, tol: float, model_id: str,
+) -> MixedModel:
+    """The fit for clusters of any size.
 
     Coefficients and modes take Newton steps for the current deviations (X'WX is renewed with
     large change of them); the variances follow their own gradient by scoring steps once the inner
-    equations hold.  A variance that the data drive to zero ends at a small bound.
+    equations hold.
     """
-    fixed = Model(model_id or outcome, outcome, list(terms), "ml")
+    fixed = Model(model_id, outcome, list(terms), "ml")
     keys = [cluster, *([household] if household else [])]
     used = df.dropna(subset=[outcome, *fixed.columns, *keys]).select(
         F.col(cluster).alias("_cluster"),
@@ -280,6 +313,11 @@ def fit_mixed(
         F.sum("_n").alias("n"), F.sum(F.col("_n") * eta).alias("a"), F.sum(F.col("_n") * eta * eta).alias("b")
     ).first()
     m.fixed_variance = moments["b"] / moments["n"] - (moments["a"] / moments["n"]) ** 2
+    b, c = (float(s) for s in m.sd)
+    m.fitted = table.join(modes, list(_LEVELS)).select(
+        F.lit(model_id).alias("model_id"), F.col("_y").alias("y"),
+        (1 / (1 + F.exp(-(eta + b * F.col("v") + c * F.col("u"))))).alias("p_hat"), F.col("_n").alias("n"),
+    )
     return m
 
 
@@ -287,17 +325,14 @@ def mixed_sweep(
     df: DataFrame, outcomes: list[str], covariates: list[Term], cluster: str,
     household: str | None = None, adjusted: bool = False,
 ) -> list[MixedModel]:
-    """One mixed model per outcome and covariate, and on request the adjusted one."""
-    out = []
+    """One mixed model per outcome and covariate, and on request the adjusted one, all in the same passes."""
+    models = []
     for o in outcomes:
         sets = {getattr(t, "column", t): [t] for t in covariates}
         if adjusted:
             sets["adjusted"] = list(covariates)
-        out += [
-            fit_mixed(df, o, terms, cluster, household, model_id=f"{o}~{name}")
-            for name, terms in sets.items()
-        ]
-    return out
+        models += [(f"{o}~{name}", o, terms) for name, terms in sets.items()]
+    return fit_mixed_models(df, models, cluster, household)
 
 
 def _next_variances(s, g, info, free, tried, last):
@@ -346,6 +381,11 @@ def mixed_odds_ratios(df: DataFrame, models: list[MixedModel]) -> DataFrame:
     )
 
 
+def fitted_rows(models: list[MixedModel]) -> DataFrame:
+    """(model_id, y, p_hat, n) of all models; those fitted together are read in one pass."""
+    return reduce(DataFrame.union, {id(m.fitted): m.fitted for m in models}.values())
+
+
 def mixed_performance(df: DataFrame, models: list[MixedModel]) -> DataFrame:
     """AIC, BIC, marginal and conditional R², and the intraclass correlation."""
     rows = []

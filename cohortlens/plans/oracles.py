@@ -296,6 +296,26 @@ def oracle_sql() -> dict[str, str]:
             round(exp(b + {Z} * s), 4) AS or_high, (SELECT CAST(sum(n) AS BIGINT) FROM level) AS n,
             (SELECT CAST(sum(k) AS BIGINT) FROM level) AS events FROM coef"""
 
+    # six plain EM steps of two components from fixed starts
+    signals = ["ama1", "csp", "glurp0", "hrp2", "lsa1", "pfmsp1", "pmmsp1", "pomsp1", "pvmsp1"]
+    em = ["value AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS signal, ln({c}) AS x FROM keyed WHERE {c} > 0" for c in signals) + ")",
+        "q0 AS (SELECT DISTINCT signal, 0.5 AS w, 4.0 AS m1, 1.0 AS s1, 6.0 AS m2, 1.0 AS s2, 0.0 AS ll FROM value)"]
+    for step in range(1, 7):
+        em.append(f"""part{step} AS (SELECT signal, x, w * exp(-(x - m1) * (x - m1) / (2 * s1)) / sqrt(2 * pi() * s1) AS f1,
+            (1 - w) * exp(-(x - m2) * (x - m2) / (2 * s2)) / sqrt(2 * pi() * s2) AS f2 FROM value JOIN q{step - 1} USING (signal)),
+        sum{step} AS (SELECT signal, count(*) AS n, sum(ln(f1 + f2)) AS ll, sum(f1 / (f1 + f2)) AS a, sum(f2 / (f1 + f2)) AS b,
+            sum(x * f1 / (f1 + f2)) AS ax, sum(x * f2 / (f1 + f2)) AS bx, sum(x * x * f1 / (f1 + f2)) AS axx,
+            sum(x * x * f2 / (f1 + f2)) AS bxx FROM part{step} GROUP BY signal),
+        q{step} AS (SELECT signal, a / n AS w, ax / a AS m1, axx / a - (ax / a) * (ax / a) AS s1, bx / b AS m2,
+            bxx / b - (bx / b) * (bx / b) AS s2, ll FROM sum{step})""")
+    o["mixture_em"] = f"""{BASE}, {", ".join(em)},
+        side AS (SELECT signal, w AS weight, m1 AS mean, s1 AS variance, ll FROM q6
+            UNION ALL SELECT signal, 1 - w, m2, s2, ll FROM q6)
+        SELECT signal, CAST(row_number() OVER (PARTITION BY signal ORDER BY mean) AS INTEGER) AS component,
+            round(weight, 6) AS weight, round(mean, 6) AS mean, round(variance, 6) AS variance, round(-2 * ll, 2) AS minus2ll
+        FROM side"""
+
     # filters
     o["inspect_signals"] = f"""{BASE} SELECT ptid, varunit, round(gst, 6) AS gst, round(pomsp1, 6) AS pomsp1
         FROM keyed WHERE pomsp1 < 0.5 OR gst > 500 OR gst IS NULL"""

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -803,9 +804,8 @@ def infection_sweep(spark, sf_dir):
     return sweeps[0].unionByName(sweeps[1])
 
 
-@query
-def case_models(spark, sf_dir):
-    """The adjusted bias-reduced model of each case set: both species against Pf alone, all three against negatives."""
+def _case_fits(spark, sf_dir):
+    """(comparison, rows, adjusted bias-reduced model): both species against Pf alone, all three against negatives."""
     lab = stage(lab_with_covariates(spark, sf_dir, view.all_samples(spark, sf_dir)))
     sets = {
         "pm_vs_pf": flt.case_or_pf_mono(lab, "pcr_pm"), "po_vs_pf": flt.case_or_pf_mono(lab, "pcr_po"),
@@ -813,13 +813,43 @@ def case_models(spark, sf_dir):
         "po_vs_negative": flt.case_or_negative(lab, "pcr_po"),
         "pf_vs_negative": flt.case_or_negative(lab, "pcr_pf"),
     }
-    tables = []
     for name, df in sets.items():
-        fitted = M.fit_logistic(df, f"pcr_{name[:2]}", _terms(), kind="firth")
-        tables.append(M.odds_ratios(df, [fitted]).withColumn("comparison", F.lit(name)))
+        yield name, df, M.fit_models(df, [M.Model(name, f"pcr_{name[:2]}", _terms(), "firth")])[0]
+
+
+@query
+def case_models(spark, sf_dir):
+    tables = []
+    for name, df, model in _case_fits(spark, sf_dir):
+        model.model_id = model.outcome
+        tables.append(M.odds_ratios(df, [model]).withColumn("comparison", F.lit(name)))
     return reduce(DataFrame.unionByName, tables)
 
 
+def _case_patterns(spark, sf_dir):
+    fits = list(_case_fits(spark, sf_dir))
+    rows = reduce(DataFrame.union, [M.fitted_patterns(df, [m]) for _, df, m in fits])
+    return rows, [m for *_, m in fits]
+
+
+@query
+def firth_gof(spark, sf_dir):
+    rows, models = _case_patterns(spark, sf_dir)
+    return D.goodness_of_fit(rows, "y", "p_hat", D.parameters_of(models), by=["model_id"], n="n")
+
+
+@query
+def firth_binned(spark, sf_dir):
+    rows, _ = _case_patterns(spark, sf_dir)
+    return D.binned_residuals(rows, "y", "p_hat", by=["model_id"], n="n")
+
+
+@query
+def firth_collinearity(spark, sf_dir):
+    fits = list(_case_fits(spark, sf_dir))
+    return D.collinearity(fits[0][1], *[m for *_, m in fits])
+
+
 def _saturated(spark, sf_dir, kind):
     df = model_persons(view.persons(spark, sf_dir))
     fitted = M.fit_logistic(df, "pmpos", [M.factor("wealthquintile", (1, 2, 3, 4, 5))], kind=kind)
@@ -895,6 +925,25 @@ def mixture2(spark, sf_dir):
     return N.mixture_table(df, N.fit_mixtures(df, k))
 
 
+#: Components from which ``mixture_em`` takes its plain steps: weight, mean and variance.
+EM_START = [(0.5, 4.0, 1.0), (0.5, 6.0, 1.0)]
+EM_STEPS = 6
+
+
+@query
+def mixture_em(spark, sf_dir):
+    """Plain EM steps of two components from fixed starts: the pass itself, without the search around it."""
+    df = view.persons(spark, sf_dir)
+    w, mean, variance = (np.array(x) for x in zip(*EM_START))
+    start = {s: N.Mixture(s, w, mean, variance) for s in N_SIGNALS}
+    fits = N.fit_mixtures(df, dict.fromkeys(N_SIGNALS, 2), start=start, em_steps=EM_STEPS)
+    table = N.mixture_table(df, fits)
+    return table.select(
+        "signal", "component", *[F.round(c, 6).alias(c) for c in ("weight", "mean", "variance")],
+        F.round("minus2ll", 2).alias("minus2ll"),
+    )
+
+
 @query
 def mixture_density(spark, sf_dir):
     df = view.persons(spark, sf_dir)
@@ -914,9 +963,51 @@ def glmm_nested(spark, sf_dir):
     return X.mixed_odds_ratios(df, [X.fit_mixed(df, "clustered", _terms(), "varunit", "a1qnumber")])
 
 
+ANTIGENS = ["pmpos", "popos", "pvmsp1pos"]
+
+
+def _sweep(spark, sf_dir):
+    """Per antigen the six one-covariate mixed models and the adjusted one, all in the same passes."""
+    df = P.antibody_flags(model_persons(view.persons(spark, sf_dir)))
+    return df, X.mixed_sweep(df, ANTIGENS, _terms(), "varunit", adjusted=True)
+
+
 @query
-def glmm_bivariate(spark, sf_dir):
-    df = model_persons(view.persons(spark, sf_dir))
+def glmm_sweep(spark, sf_dir):
+    return X.mixed_odds_ratios(*_sweep(spark, sf_dir))
+
+
+@query
+def glmm_gof(spark, sf_dir):
+    df, models = _sweep(spark, sf_dir)
+    size = D.parameters_of([m.fixed for m in models], {m.fixed.model_id: 1 + m.nested for m in models})
+    return D.goodness_of_fit(X.fitted_rows(models), "y", "p_hat", size, by=["model_id"], n="n")
+
+
+@query
+def glmm_binned(spark, sf_dir):
+    df, models = _sweep(spark, sf_dir)
+    return D.binned_residuals(X.fitted_rows(models), "y", "p_hat", by=["model_id"], n="n")
+
+
+@query
+def glmm_collinearity(spark, sf_dir):
+    df, models = _sweep(spark, sf_dir)
+    return D.collinearity(df, *[m.fixed for m in models if m.fixed.model_id.endswith("adjusted")])
+
+
+def _bivariate(spark, sf_dir):
+    df = P.antibody_flags(model_persons(view.persons(spark, sf_dir)))
     materials = [M.factor(c) for c in ("roof_mat", "wall_mat", "water_source")]
-    models = X.mixed_sweep(df, ["clustered"], ["ahmember", "livestock", "aircon", "electric", *materials], "varunit")
-    return X.mixed_performance(df, models)
+    covariates = ["ahmember", "livestock", "aircon", "electric", *materials]
+    return df, X.mixed_sweep(df, [*ANTIGENS, "clustered"], covariates, "varunit")
+
+
+@query
+def glmm_bivariate(spark, sf_dir):
+    return X.mixed_odds_ratios(*_bivariate(spark, sf_dir))
+
+
+@query
+def glmm_performance(spark, sf_dir):
+    return X.mixed_performance(*_bivariate(spark, sf_dir))

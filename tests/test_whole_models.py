@@ -37,16 +37,17 @@ def test_case_models_read_all_orders(spark, lab):
     assert got == want
 
 
-def test_glmm_bivariate_fits_every_covariate(spark, monkeypatch):
-    fitted = {}
+def test_bivariate_sweep_fits_every_covariate(spark, monkeypatch):
+    asked = []
 
-    def fit(df, outcome, terms, cluster, household=None, model_id=None):
-        column = getattr(terms[0], "column", terms[0])
-        fitted[model_id] = df.where(f"{column} IS NOT NULL AND {outcome} IS NOT NULL").limit(1).count()
-        return model_id
+    def sweep(df, models, cluster, household=None):
+        for key, outcome, terms in models:
+            column = getattr(terms[0], "column", terms[0])
+            assert df.where(f"{column} IS NOT NULL AND {outcome} IS NOT NULL").limit(1).count() == 1
+            asked.append(key)
+        return []
 
-    monkeypatch.setattr(registry.X, "fit_mixed", fit)
-    monkeypatch.setattr(registry.X, "mixed_performance", lambda df, models: models)
+    monkeypatch.setattr(registry.X, "fit_mixed_models", sweep)
     covariates = ["ahmember", "livestock", "roof_mat", "wall_mat", "aircon", "electric", "water_source"]
-    assert sorted(registry.glmm_bivariate(spark, SF)) == sorted(f"clustered~{c}" for c in covariates)
-    assert set(fitted.values()) == {1}
+    registry._bivariate(spark, SF)
+    assert sorted(asked) == sorted(f"{o}~{c}" for o in [*registry.ANTIGENS, "clustered"] for c in covariates)
