@@ -116,8 +116,8 @@ def candidate_pairs(buckets: DataFrame, masks: np.ndarray, limit: int, step: int
     two blocks of a large bucket, only pairs across the blocks count.
     """
 
-    def pairs_of(key, own, table, uid, signs) -> tuple[np.ndarray, np.ndarray]:
-        first, second = [], []
+    def pairs_of(key, own, table, uid, signs) -> Iterator[pa.RecordBatch]:
+        first, second, held = [], [], 0
         start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
         size = np.diff(np.append(start, len(uid)))
         behind = np.repeat(start + size, size) - np.arange(len(uid)) - 1  # rows of the bucket after this one
@@ -143,16 +143,23 @@ def candidate_pairs(buckets: DataFrame, masks: np.ndarray, limit: int, step: int
                     fresh[live] = ((x[live] & masks[t]) != 0).any(axis=1)
                 first.append(uid[i[fresh]])
                 second.append(uid[j[fresh]])
+                held += int(fresh.sum())
+                if held >= step:
+                    yield ordered(first, second)
+                    first, second, held = [], [], 0
             shift += 1
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *first]), np.concatenate([empty, *second])
+        if held:
+            yield ordered(first, second)
+
+    def ordered(first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(first), np.concatenate(second)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(rows: list[np.ndarray]) -> pa.RecordBatch:
+        def solved(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key, part, own, table, uid = rows[:5]
             signs = np.stack(rows[5:], axis=1).view(np.uint64)
-            a, b = pairs_of(np.stack([key, part], axis=1), own, table, uid, signs)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield from pairs_of(np.stack([key, part], axis=1), own, table, uid, signs)
 
         held: list[np.ndarray] | None = None
         for batch in batches:
@@ -163,28 +170,62 @@ def candidate_pairs(buckets: DataFrame, masks: np.ndarray, limit: int, step: int
             change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
             if len(change):
                 end = int(change[-1]) + 1
-                yield solved([c[:end] for c in held])
+                yield from solved([c[:end] for c in held])
                 held = [c[end:] for c in held]
         if held is not None and len(held[0]):
-            yield solved(held)
+            yield from solved(held)
 
     return buckets.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, units: DataFrame, cosine: float) -> DataFrame:
-    """The pairs whose cosine in double precision reaches ``cosine``."""
+def verified(pairs: DataFrame, units: DataFrame, cosine: float, most: int = 200_000) -> DataFrame:
+    """What the pairs whose cosine in double precision reaches ``cosine`` add up to, task by task.
+
+    Rows (a, b, others): with b a link of a spanning forest of the task's links, without b the number of vectors that
+    a is linked with there.  A task so returns a few rows per vector that it meets, however many links there are; after
+    ``most`` vectors it starts afresh, which only repeats forest links and splits counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                float(np.frombuffer(x.as_buffer()) @ np.frombuffer(y.as_buffer())) >= cosine
-                for x, y in zip(batch.column(2), batch.column(3))
-            ]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        root: dict[int, int] = {}
+        others: dict[int, int] = {}
+        edges: list[tuple[int, int]] = []
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        def told() -> pa.RecordBatch:
+            a, b = [e[0] for e in edges], [e[1] for e in edges]
+            columns = [[*a, *others], b + [None] * len(others), [None] * len(edges) + list(others.values())]
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "others"])
+            root.clear()
+            others.clear()
+            edges.clear()
+            return out
 
-    both = pairs.join(units.select(F.col("uid").alias("a"), F.col("unit").alias("x")), "a")
-    both = both.join(units.select(F.col("uid").alias("b"), F.col("unit").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            a, b, x, y, of_a, of_b = batch.columns
+            for i, j, u, v, m, n in zip(a.to_pylist(), b.to_pylist(), x, y, of_a.to_pylist(), of_b.to_pylist()):
+                if float(np.frombuffer(u.as_buffer()) @ np.frombuffer(v.as_buffer())) < cosine:
+                    continue
+                others[i] = others.get(i, 0) + n
+                others[j] = others.get(j, 0) + m
+                p, q = find(i), find(j)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    edges.append((i, j))
+            if len(others) >= most:
+                yield told()
+        if others:
+            yield told()
+
+    side = lambda name, unit, copies: units.select(
+        F.col("uid").alias(name), F.col("unit").alias(unit), F.col("copies").alias(copies)
+    )
+    both = pairs.join(side("a", "x", "of_a"), "a").join(side("b", "y", "of_b"), "b")
+    return both.select("a", "b", "x", "y", "of_a", "of_b").mapInArrow(run, "a long, b long, others long")
 
 
 def near_vectors(
@@ -229,12 +270,9 @@ def near_vectors(
     rows = rows.select("key", part.alias("part"), side.alias("own"), "table", "uid", *[f"s{w}" for w in range(WORDS)])
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
     pairs = scratch.write(candidate_pairs(rows, masks, sign_limit(cosine)), "pairs")
-    links = scratch.write(verified(pairs, reps, cosine), "links")
-    labels = components(links, scratch)
-
-    copies = reps.select("uid", "copies")
-    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = ends.join(copies.withColumnRenamed("uid", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    linked = scratch.write(verified(pairs, reps, cosine), "linked")
+    labels = components(linked.where("b IS NOT NULL").select("a", "b"), scratch)
+    degrees = linked.where("b IS NULL").groupBy("a").agg(F.sum("others").alias("others"))
     degrees = scratch.write(degrees, "degrees")
     members = features.select("uid", "vec_id", *same).join(classes, same, "left")
     members = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degrees.withColumnRenamed("a", "rep"), "rep", "left")
