@@ -235,7 +235,7 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 192,
-    max_group: int = 2048, keep_bytes: bool = False,
+    max_group: int = 128, keep_bytes: bool = False,
 ) -> DataFrame:
     """Remove every byte of a string of ``length`` bytes that also starts anywhere else, in the same text or another.
 
