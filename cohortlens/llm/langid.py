@@ -163,27 +163,27 @@ class LanguageModel:
 
 
 def train(
-    labelled: DataFrame, grams: NGrams = NGrams(), per_language: int = 1000, max_languages: int = 200, epochs: int = 4,
+    labelled: DataFrame, grams: NGrams = NGrams(), per_language: int = 1000, epochs: int = 4,
     calibration: float = 0.2, seed: int = 23,
 ) -> LanguageModel:
     """Fit a model on ``labelled`` (id, text, lang; text and lang not null).
 
     Document frequencies come from all rows.  The weights are fitted on a sample of about ``per_language`` rows for
-    each of the ``max_languages`` most frequent languages (a documented bound; rarer languages beyond it
-    are not learned), drawn by a hash of the identifier, and one in five of them only sets the temperature.
+    every language (the documented bound), drawn by a hash of identifier and text, so rows that share an identifier or
+    have none are drawn one by one; one in five of them only sets the temperature.
     The fit runs in one task over that bounded sample; ties in the sample's order go by text.
     """
     total, df = document_frequencies(labelled.select("text"), grams)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = labelled.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return LanguageModel(grams, [], idf, np.zeros((grams.size, 0), np.float32), 1.0)
     rates = {r["lang"]: per_language / r["count"] for r in found}
     rate = F.element_at(F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    order = fraction_of(F.col("id").cast("string"), seed=seed)
-    sample = labelled.withColumn("u", order).where(F.col("u") < rate)
-    sample = sample.withColumn("v", fraction_of(F.col("id").cast("string"), seed=seed + 1)).select("v", "text", "lang")
+    row = [F.col("id").cast("string"), F.col("text")]
+    sample = labelled.withColumn("u", fraction_of(*row, seed=seed)).where(F.col("u") < rate)
+    sample = sample.withColumn("v", fraction_of(*row, seed=seed + 1)).select("v", "text", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
