@@ -92,3 +92,19 @@ def test_sketch_never_loses_similar_sets():
             differ = int(np.unpackbits((hasher.odd_sketch(a) ^ hasher.odd_sketch(b)).view(np.uint8)).sum())
             assert differ <= limit and (hasher.band_keys(a) == hasher.band_keys(b)).any()
             rng.shuffle(pool)
+
+
+def test_reference_sql_parts_words_like_the_operator(spark):
+    import duckdb
+
+    from cohortlens.llm import sql
+
+    rows = [(1, "a\r\nb\r\nc\r\nd"), (2, "a b c d"), (3, "a\x0bb\x0cc\td e"), (4, "A B C D"), (5, None), (6, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute(sql.OP10).fetchall())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.near_duplicates(docs, words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, out.collect())) == want
+    assert [r[2] for r in want] == [1, 1, 3, 1, 5, 6]
