@@ -2,100 +2,125 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.staging import null_safe, stage
 
 
+#: Cells into which a range of values is split at a time.
+_SPLIT = 1024
+
+
+def _octave(x: Column) -> Column:
+    """Sign and eighth of an octave of a number, in its order; zero is 0."""
+    part = F.floor(F.least(F.log2(F.abs(x)) * 8, F.lit(20_000.0))) + 20_000
+    return F.when(x > 0, part).when(x < 0, -part).otherwise(F.lit(0)).cast("long")
+
+
+def select_values(
+    values: DataFrame, targets: DataFrame, by: list[str], spans: DataFrame, small: int = 20_000
+) -> DataFrame:
+    """Per target the smallest value whose cumulative mass reaches it, as ``(by, _t, _v)``.
+
+    ``values`` has ``_x`` and its mass ``_m``; ``targets`` has a number ``_t`` and a mass ``_goal``; ``spans`` the
+    smallest and largest value ``_lo``, ``_hi`` and the number ``_size`` of values per group.  All enclosures narrow
+    together: a pass over the values counts the cells of every enclosure, first by octaves and then by even parts
+    of its range, and each target goes on in the cell that holds it, until no enclosure holds more than ``small`` values
+    unless they are equal.  The last pass takes the values inside one by one.  Only cells leave the map side, and
+    nothing depends on the accuracy of a sketch.  ``by`` must not be empty; ``values`` should be staged.
+    """
+    where = [*by, "_lo", "_hi"]
+    at = stage(null_safe(targets, spans, by, "inner").withColumn("_base", F.lit(0.0)))
+    first = True
+    while True:
+        wide = at.where((F.col("_size") > small) & (F.col("_lo") < F.col("_hi")))
+        if wide.isEmpty():
+            break
+        x = F.col("_x")
+        ratio = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        digit = _octave(x) if first else F.least(F.floor(ratio * _SPLIT), F.lit(_SPLIT - 1))
+        first = False
+        cells = _inside(values, wide, by).groupBy(*where, digit.alias("_d")).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("_m").alias("_m"), F.min("_x").alias("_a"), F.max("_x").alias("_b")
+        )
+        found = _reached(cells, wide, by, "_d").select(
+            *by, "_t", "_goal", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), F.col("_n").alias("_size"),
+            F.col("_before").alias("_base"),
+        )
+        rest = at.where((F.col("_size") <= small) | (F.col("_lo") >= F.col("_hi")))
+        at = stage(rest.select(*found.columns).union(found))
+    cells = _inside(values, at, by).groupBy(*where, "_x").agg(F.sum("_m").alias("_m"))
+    return _reached(cells, at, by, "_x").select(*by, "_t", F.col("_x").alias("_v"))
+
+
+def _inside(values: DataFrame, at: DataFrame, by: list[str]) -> DataFrame:
+    """The values that lie in an enclosure; enclosures of a group are the same or apart."""
+    spans = at.select(*by, "_lo", "_hi").distinct()
+    return null_safe(values, spans, by, "inner").where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+
+
+def _reached(cells: DataFrame, at: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Per target the first cell of its enclosure at which the cumulative mass reaches the goal."""
+    where = [*by, "_lo", "_hi"]
+    line = Window.partitionBy(*where).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = stage(cells.withColumn("_run", F.sum("_m").over(line)))
+    tops = run.groupBy(*where).agg(F.max("_run").alias("_top"))
+    goals = null_safe(at.select(*where, "_t", "_goal", "_base"), tops, where, "inner")
+    # rounding of sums may leave a goal just above all mass; the last cell holds it then
+    goals = goals.withColumn("_need", F.least(F.col("_goal") - F.col("_base"), F.col("_top")))
+    met = null_safe(run, goals, where, "inner").where(F.col("_run") >= F.col("_need"))
+    kept = [c for c in run.columns if c not in (*where, "_run", order)]
+    best = met.groupBy(*where, "_t", "_goal", "_base").agg(
+        F.min(F.struct(F.col("_run"), F.col(order), *[F.col(c) for c in kept])).alias("_c")
+    )
+    return best.select(
+        *by, "_t", "_goal", F.col(f"_c.{order}").alias(order), *[F.col(f"_c.{c}").alias(c) for c in kept],
+        (F.col("_base") + F.col("_c._run") - F.col("_c._m")).alias("_before"),
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, value: str, probs: list[float], by: list[str] = (), accuracy: int = 10_000,
-    also: dict[str, Column] | None = None,
+    df: DataFrame, value: str, probs: list[float], by: list[str] = (), also: dict[str, Column] | None = None,
+    small: int = 20_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as ``(by, n, q array)``.
 
     ``also`` holds further aggregates of the value (named ``_x``), taken in the first pass; with
-    them, groups without any value are kept.
-
-    A mergeable sketch first gives, for every probability, two values that enclose the wanted
-    order statistics.  The second pass counts: values inside an enclosure keep their identity,
-    all others are only counted in the gap they fall in, so about ``4 n / accuracy`` values per
-    probability leave the map side.  An answer outside its enclosure raises an error.
+    them, groups without any value are kept.  The values are staged once; the order statistics
+    come from ``select_values``.
     """
     by = list(by)
-    eps = 2.0 / accuracy
-    marks = [min(1.0, max(0.0, p + s * eps)) for p in probs for s in (-1, 1)]
-    rows = df.select(
-        *by, F.lit(0).alias("_whole"), F.col(value).cast("double").alias("_x")
-    )
     keys = by + ["_whole"]
     also = also or {}
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        F.percentile_approx("_x", marks, accuracy).alias("_m"),
+    rows = stage(df.select(*by, F.lit(0).alias("_whole"), (F.col(value).cast("double") + 0.0).alias("_x")))
+    facts = stage(rows.groupBy(*keys).agg(
+        F.count("_x").alias("_size"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
         *[e.alias(name) for name, e in also.items()],
-    )
-    small = F.col("_n") < 2 * accuracy
-    bounds = []
+    ))
+    held = facts.where(F.col("_size") > 0)
+    goals = []
     for i, p in enumerate(probs):
-        lo = F.when(small | F.lit(p <= eps), F.col("_min")).otherwise(F.col("_m")[2 * i])
-        hi = F.when(small | F.lit(p >= 1 - eps), F.col("_max")).otherwise(F.col("_m")[2 * i + 1])
-        bounds += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    staged = stage(sketch.select(*keys, "_n", *bounds, *also))
-    enclosed = staged.drop(*also)
-    rows = rows.where(F.col("_x").isNotNull())
-
-    x = F.col("_x")
-    inside = reduce(
-        Column.__or__,
-        [x.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(probs))],
-    )
-    passed = [F.when(F.col(f"_hi{i}") < x, F.col(f"_hi{i}")) for i in range(len(probs))]
-    gap = F.greatest(*passed, F.lit(None).cast("double"))
-    cells = (
-        null_safe(rows, enclosed, keys, "inner")
-        .select(
-            *keys, "_n", (~inside).alias("_gap"), F.when(inside, x).otherwise(gap).alias("_v")
-        )
-        .groupBy(*keys, "_n", "_v", "_gap")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    # enclosed values grow with the data, so their ranks come from slices, not from one window
-    ranked = running_totals(
-        cells.select(*keys, "_n", F.struct("_v", "_gap").alias("_at"), "_c"), "_at",
-        {"_c": F.sum("_c")}, keys + ["_n"],
-    )
-    ranked = ranked.select(
-        *keys, "_n", "_at._v", "_at._gap", (F.col("_c_before") + F.col("_c")).alias("_cum")
+        rank = F.floor((F.col("_size") - 1) * F.lit(float(p))) + 1
+        for side, goal in enumerate((rank, F.least(rank + 1, F.col("_size")))):
+            goals.append(F.struct(F.lit(2 * i + side).alias("_t"), goal.cast("double").alias("_goal")))
+    targets = held.select(*keys, F.explode(F.array(*goals)).alias("_g")).select(*keys, "_g.*")
+    values = rows.where(F.col("_x").isNotNull()).withColumn("_m", F.lit(1.0))
+    chosen = select_values(values, targets, keys, held.select(*keys, "_lo", "_hi", "_size"), small)
+    wide = chosen.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_t") == t, F.col("_v"))).alias(f"_v{t}") for t in range(2 * len(probs))]
     )
-    picks = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        k = F.floor(h)
-        at = F.struct("_v", "_gap")
-        picks += [
-            F.min(F.when(F.col("_cum") >= k + 1, at)).alias(f"_a{i}"),
-            F.min(F.when(F.col("_cum") >= F.least(k + 2, F.col("_n")), at)).alias(f"_b{i}"),
-        ]
-    picked = ranked.groupBy(*keys, "_n").agg(*picks)
-
-    def known(c: str) -> Column:
-        return F.when(~F.col(f"{c}._gap"), F.col(f"{c}._v")).otherwise(
-            F.raise_error(F.lit("quantile left its enclosure; raise accuracy")).cast("double")
-        )
-
     q = []
     for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        a, b = known(f"_a{i}"), known(f"_b{i}")
+        h = (F.col("_size") - 1) * F.lit(float(p))
+        a, b = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
         q.append(a + (h - F.floor(h)) * (b - a))
-    if not also:
-        return picked.select(*by, F.col("_n").alias("n"), F.array(*q).alias("q"))
-    answers = picked.select(*keys, F.array(*q).alias("q"))
-    facts = staged.select(*keys, F.col("_n").alias("n"), *also)
-    return null_safe(facts, answers, keys).select(*by, "n", *also, "q")
+    facts = facts if also else held
+    out = null_safe(facts, wide, keys, "left" if also else "inner")
+    answer = F.array(*q)
+    if also:
+        answer = F.when(F.col("_size") > 0, answer)
+    return out.select(*by, F.col("_size").alias("n"), *also, answer.alias("q"))
 
 
 def running_totals(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.nulls import ratio
-from cohortlens.functions.quantiles import running_totals
+from cohortlens.functions.quantiles import select_values
 from cohortlens.functions.staging import distinct_levels, null_safe, stage
 from cohortlens.functions.tails import Z95, t_ppf
 from cohortlens.operators.tables import cross_table, share_of_total
@@ -305,41 +305,52 @@ def survey_quantiles(
     """Weighted quantiles: the smallest value whose weighted distribution reaches p.
 
     The interval inverts the distribution at p ± t·se, with se the design-based error of the share
-    of persons at or below the quantile.
+    of persons at or below the quantile.  Values are selected by narrowing enclosures, so persons are
+    not shuffled; rows without weight or value hold no mass.
     """
     probs = list(probs)
-    cells = _cells(design, [column], {})
-    weights = cells.table.where(F.col(column).isNotNull()).withColumn("_w", F.col("_w") * F.col("_f"))
-    curve = stage(running_totals(weights, column, {"w": F.sum("_w")}))
-    total = curve.agg(F.sum("w")).first()[0]
-
-    def invert(ps: list[float]) -> list:
-        reached = F.col("w_before") + F.col("w")
-        row = curve.agg(
-            *[
-                F.min(F.when(reached >= min(max(p, 0.0), 1.0) * total * (1 - 1e-12), F.col(column)))
-                for p in ps
-            ]
-        ).first()
-        return list(row)
+    d = design
+    cells = _cells(d, [], {})
+    rows = d.df.where(F.col(column).isNotNull()).select(
+        F.lit(0).alias("_whole"), (F.col(column).cast("double") + 0.0).alias("_x"),
+        F.col(d.strata).alias(_H), F.col(d.psu).alias(_I), F.col(d.weight).cast("double").alias("_m"),
+    )
+    if d.rescale:
+        factor = cells.table.select(_H, _I, "_f")
+        rows = null_safe(rows, factor, [_H, _I], "inner").withColumn("_m", F.col("_m") * F.col("_f"))
+    values = stage(rows.where("_m > 0").select("_whole", "_x", _H, _I, "_m"))
+    span = stage(values.groupBy("_whole").agg(
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_size"), F.sum("_m").alias("_w"),
+    ))
+    head = span.first()
+    if head is None:
+        raise ValueError(f"{column}: no row with a value and a weight")
+
+    def invert(ps: list[float]) -> list[float]:
+        goals = [(i, min(max(p, 0.0), 1.0) * head["_w"] * (1 - 1e-12)) for i, p in enumerate(ps)]
+        targets = d.df.sparkSession.createDataFrame(goals, "_t int, _goal double").withColumn("_whole", F.lit(0))
+        got = select_values(values.select("_whole", "_x", "_m"), targets, ["_whole"], span.drop("_w")).collect()
+        found = {r["_t"]: r["_v"] for r in got}
+        return [found[i] for i in range(len(ps))]
 
     points = invert(probs)
     sums = []
     for i, q in enumerate(points):
-        under = F.sum(F.when(F.col(column) <= F.lit(q), F.col("_w")).otherwise(0.0))
-        sums += [F.sum("_n").alias(f"_c{i}"), F.sum("_w").alias(f"_w{i}"), under.alias(f"_y{i}")]
-    wide = weights.groupBy(_H, _I).agg(*sums)
+        under = F.sum(F.when(F.col("_x") <= F.lit(q), F.col("_m")).otherwise(0.0))
+        sums += [F.count(F.lit(1)).alias(f"_c{i}"), F.sum("_m").alias(f"_w{i}"), under.alias(f"_y{i}")]
+    wide = values.groupBy(_H, _I).agg(*sums)
     names = [str(i) for i in range(len(points))]
-    rows = _estimate(design, cells, wide, [], names, "mean").select("outcome", "se").collect()
-    se = {int(r["outcome"]): r["se"] for r in rows}
+    spread = _estimate(design, cells, wide, [], names, "mean").select("outcome", "se").collect()
+    se = {int(r["outcome"]): r["se"] for r in spread}
     t = t_ppf(0.5 + level / 2, cells.n_psu - cells.n_strata)
     low = invert([p - t * se[i] for i, p in enumerate(probs)])
     high = invert([p + t * se[i] for i, p in enumerate(probs)])
-    kind = design.df.schema[column].dataType.simpleString()
-    return design.df.sparkSession.createDataFrame(
+    kind = design.df.schema[column].dataType
+    out = design.df.sparkSession.createDataFrame(
         [(float(p), q, a, b, se[i]) for i, (p, q, a, b) in enumerate(zip(probs, points, low, high))],
-        f"p double, quantile {kind}, ci_low {kind}, ci_high {kind}, se double",
+        "p double, quantile double, ci_low double, ci_high double, se double",
     )
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("quantile", "ci_low", "ci_high")})
 
 
 def area_counts(design: Design, area: str, outcomes: list[str]) -> DataFrame:

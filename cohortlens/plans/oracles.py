@@ -475,12 +475,25 @@ def oracle_sql() -> dict[str, str]:
         SELECT lga, outcome, n, round(estimate, 5) AS estimate, round(se, 5) AS se,
         round(CASE WHEN estimate <> 0 THEN se / estimate END * 100, 5) AS rse FROM est"""
     for name, col in (("svy_quantiles", "age"), ("svy_signal_quantiles", "pvmsp1")):
-        value = "quantile" if col == "age" else "round(quantile, 6) AS quantile"
+        shown = (lambda c: c) if col == "age" else (lambda c: f"round({c}, 6)")
+        under = (f"SELECT p, varstrat AS h, varunit AS i, wt, CASE WHEN {col} <= quantile THEN 1.0 ELSE 0.0 END AS y "
+                 f"FROM weighted, q WHERE {col} IS NOT NULL")
+        # the t quantile by its expansion in 1 / df around the normal one
+        t = (f"({Z} + ({Z} ^ 3 + {Z}) / (4 * df) + (5 * {Z} ^ 5 + 16 * {Z} ^ 3 + 3 * {Z}) / (96 * df ^ 2) "
+             f"+ (3 * {Z} ^ 7 + 19 * {Z} ^ 5 + 17 * {Z} ^ 3 - 15 * {Z}) / (384 * df ^ 3))")
         o[name] = f"""{WEIGHTED}, f AS (SELECT {col} AS x, sum(wt) AS w FROM weighted WHERE {col} IS NOT NULL
             GROUP BY 1), c AS (SELECT x, sum(w) OVER (ORDER BY x) AS cw, sum(w) OVER () AS tw FROM f),
             q AS ({" UNION ALL ".join(
                 f"SELECT {p}::DOUBLE AS p, min(x) AS quantile FROM c WHERE cw >= {p} * tw * (1 - 1e-12)"
-                for p in (0, 0.25, 0.5, 0.75, 1))}) SELECT p, {value} FROM q"""
+                for p in (0, 0.25, 0.5, 0.75, 1))}), {_variance(under, "p")},
+            free AS (SELECT (SELECT count(DISTINCT varunit) - count(DISTINCT varstrat) FROM weighted)::DOUBLE AS df),
+            reach AS (SELECT p, quantile, se, greatest(p - {t} * se, 0) AS lo, least(p + {t} * se, 1) AS hi
+                FROM est JOIN q USING (p), free),
+            low AS (SELECT p, min(x) AS ci_low FROM reach, c WHERE cw >= lo * tw * (1 - 1e-12) GROUP BY p),
+            high AS (SELECT p, min(x) AS ci_high FROM reach, c WHERE cw >= hi * tw * (1 - 1e-12) GROUP BY p)
+            SELECT p, {shown("quantile")} AS quantile, {shown("ci_low")} AS ci_low, {shown("ci_high")} AS ci_high,
+                round(se, 6) AS se
+            FROM reach JOIN low USING (p) JOIN high USING (p)"""
     domains = " UNION ALL ".join(
         _long(MSP1_POS, f"'{d}' AS domain, CAST({d} AS VARCHAR) AS level") for d in ("ahzone", "ahstate", "lga"))
     o["svy_sweep"] = f"""{WEIGHTED}, {_variance(domains, "domain, level, outcome")}

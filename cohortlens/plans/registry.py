@@ -468,13 +468,13 @@ def svy_rse_by_area(spark, sf_dir):
 @query
 def svy_quantiles(spark, sf_dir):
     out = V.survey_quantiles(design(view.persons(spark, sf_dir)), "age")
-    return out.select("p", "quantile")
+    return out.withColumn("se", F.round("se", 6))
 
 
 @query
 def svy_signal_quantiles(spark, sf_dir):
     out = V.survey_quantiles(design(view.persons(spark, sf_dir)), "pvmsp1")
-    return rounded(out.select("p", "quantile"))
+    return rounded(out)
 
 
 @query
