@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -10,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def staging_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only in local mode."""
+    """Shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where driver and tasks are one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
     return context.getCheckpointDir()
@@ -53,11 +54,6 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left")
     return null_safe(df, stage(stats), keys, how)
 
 
-def distinct_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list:
-    """Sorted non-null levels of a categorical column; more than ``max_levels`` is an error."""
-    rows = (
-        df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
-    )
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels: not a categorical column")
-    return sorted(r[0] for r in rows)
+def distinct_levels(df: DataFrame, column: str) -> list:
+    """Sorted non-null levels of a column whose levels become columns or coefficients, hence go to the driver."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().toLocalIterator())

@@ -83,7 +83,7 @@ def _coding(df: DataFrame, model: Model, known: dict) -> list[tuple[str, str, st
     for term in model.terms:
         if isinstance(term, Factor):
             if term.levels is None and term.column not in known:
-                known[term.column] = distinct_levels(df, term.column, 100)
+                known[term.column] = distinct_levels(df, term.column)
             levels = term.levels or known[term.column]
             out += [(f"{term.column}[{v}]", term.column, "level", v) for v in levels[1:]]
         elif isinstance(term, Square):

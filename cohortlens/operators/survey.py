@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.nulls import ratio
 from cohortlens.functions.quantiles import select_values
-from cohortlens.functions.staging import distinct_levels, null_safe, stage
+from cohortlens.functions.staging import null_safe, stage
 from cohortlens.functions.tails import Z95, t_ppf
 from cohortlens.operators.tables import cross_table, share_of_total
 
@@ -200,6 +200,11 @@ def _estimate(
         lonely("ty").alias("lY"), lonely("tw").alias("lN"), lonely("YY").alias("lYY"),
         lonely("YN").alias("lYN"), lonely("NN").alias("lNN"),
     )
+    return _ratio(total, design, cells, by, stat)
+
+
+def _ratio(total: DataFrame, design: Design, cells: _Cells, by: list[str], stat: str) -> DataFrame:
+    """Estimate and error from the sums A, B, C of the clusters and those of single-cluster strata (l…)."""
     if design.lonely == "adjust":
         k, lone = F.lit(float(cells.n_psu)), F.lit(float(cells.n_lonely))
         my, mn = F.col("sy") / k, F.col("sw") / k
@@ -262,10 +267,51 @@ def survey_levels(
     design: Design, column: str, levels: list | None = None, by: list[str] = (),
     vartype: tuple[str, ...] = ("se", "ci"),
 ) -> DataFrame:
-    """Weighted share of every level of a categorical column."""
-    levels = levels or distinct_levels(design.df, column)
-    shares = {str(v): (F.col(column) == F.lit(v)).cast("int") for v in levels}
-    return survey_mean(design, shares, by, vartype).withColumnRenamed("outcome", "level")
+    """Weighted share of every level of a categorical column, in every domain of ``by``.
+
+    Levels are rows, not columns, so there may be thousands: one scan sums them by level, stratum and cluster.
+    """
+    by, key = list(by), [*by, column]
+    cells = _cells(design, key, {})
+    table = cells.table.where(F.col(column).isNotNull()).withColumn("sy", F.col("_w") * F.col("_f"))
+    cluster = table.groupBy(*by, _H, _I).agg(F.sum("_n").alias("c"), F.sum("sy").alias("sw"))
+    y, w = F.col("sy"), F.col("sw")
+    # a cluster without a level adds nothing to A and B, so only levels that occur in it have a row
+    level_h = null_safe(table, cluster.drop("c"), [*by, _H, _I], "inner").groupBy(*key, _H).agg(
+        F.sum(y).alias("ty"), F.sum(y * y).alias("YY"), F.sum(y * w).alias("YN")
+    )
+    domain_h = stage(null_safe(
+        cluster.groupBy(*by, _H).agg(F.sum("c").alias("c"), F.sum(w).alias("tw"), F.sum(w * w).alias("NN")),
+        cells.strata, [_H], "inner",
+    ))
+    nh, many = F.col("_nh").cast("double"), F.col("_nh") > 1
+    scale = F.try_divide(nh, nh - 1)
+
+    def centred(cross: str, a: str, b: str) -> Column:
+        return F.sum(F.when(many, scale * (F.col(cross) - F.col(a) * F.col(b) / nh)).otherwise(0.0))
+
+    def lonely(name: str) -> Column:
+        return F.sum(F.when(~many, F.col(name)).otherwise(0.0))
+
+    sums = {
+        "sy": F.sum("ty"), "A": centred("YY", "ty", "ty"), "B": centred("YN", "ty", "tw"), "lY": lonely("ty"),
+        "lYY": lonely("YY"), "lYN": lonely("YN"),
+    }
+    per_level = null_safe(level_h, domain_h.drop("c", "NN"), [*by, _H], "inner").groupBy(*key).agg(
+        *[e.alias(name) for name, e in sums.items()]
+    )
+    per_domain = domain_h.groupBy(*by).agg(
+        F.sum("c").alias("n"), F.sum("tw").alias("sw"), centred("NN", "tw", "tw").alias("C"),
+        lonely("tw").alias("lN"), lonely("NN").alias("lNN"),
+    )
+    kind = design.df.schema[column].dataType
+    if levels:
+        grid = per_domain.withColumn(column, F.explode(F.array(*[F.lit(v).cast(kind) for v in levels])))
+    else:
+        grid = per_domain.crossJoin(table.select(column).distinct())  # the result has these rows
+    total = null_safe(grid, per_level, key).fillna(0.0, list(sums))
+    total = total.withColumn("level", F.col(column).cast("string")).drop(column)
+    return _interval(_ratio(total, design, cells, [*by, "level"], "mean"), vartype)
 
 
 def survey_sweep(

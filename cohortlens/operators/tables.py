@@ -52,7 +52,7 @@ def cross_table(
 ) -> DataFrame:
     """Two- or three-way table in long form, zero-filled over all level combinations.
 
-    Levels are categorical (checked to be few) or given.  ``value`` replaces the row count by a
+    Levels are those that occur, however many, or given ones.  ``value`` replaces the row count by a
     sum, for weighted tables.
     """
     levels = levels or {}
@@ -64,14 +64,12 @@ def cross_table(
     counted = stage(counted)
     grid = None
     for name in columns:
-        values = list(levels.get(name) or distinct_levels(counted, name))
-        if include_null and counted.where(F.col(name).isNull()).limit(1).count():
-            values.append(None)
-        kind = df.schema[name].dataType
-        items = F.explode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(name)
-        grid = (
-            df.sparkSession.range(1).select(items) if grid is None else grid.select("*", items)
-        )
+        found = counted.select(name).distinct()
+        if levels.get(name):
+            given = F.array(*[F.lit(v).cast(df.schema[name].dataType) for v in levels[name]])
+            found = found.where(F.col(name).isNull()).union(df.sparkSession.range(1).select(F.explode(given).alias(name)))
+        # every combination is a row of the result
+        grid = found if grid is None else grid.crossJoin(found)
     filled = null_safe(grid, counted, columns)
     return filled.withColumn(out, F.coalesce(out, F.lit(0).cast(counted.schema[out].dataType)))
 

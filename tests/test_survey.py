@@ -93,13 +93,13 @@ def test_weighted_quantiles(spark):
     assert (got[0.0]["quantile"], got[1.0]["quantile"]) == (0, 6)
 
 
-def test_exact_quantiles_beyond_the_sketch(spark):
+def test_exact_quantiles_narrow_large_groups(spark):
     rng = np.random.default_rng(0)
     x = np.round(rng.lognormal(size=60_000), 3)
     x[:20_000] = 1.5  # a third of all rows share one value
     df = spark.createDataFrame(pd.DataFrame({"g": np.arange(60_000) % 2, "x": x}))
     probs = [0, 0.01, 0.25, 0.5, 0.9, 1]
-    got = exact_quantiles(df, "x", probs, ["g"], accuracy=200).collect()
+    got = exact_quantiles(df, "x", probs, ["g"], small=200).collect()
     for r in got:
         want = np.quantile(x[np.arange(60_000) % 2 == r["g"]], probs)
         assert r["q"] == pytest.approx(list(want), rel=1e-12)
