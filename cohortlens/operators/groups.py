@@ -99,11 +99,20 @@ def sorted_desc(df: DataFrame, *columns: str) -> DataFrame:
 # ---- joins ------------------------------------------------------------------------------------
 
 
-def left_join(left: DataFrame, right: DataFrame, key: str, check: bool = False) -> DataFrame:
-    """Attach the columns of ``right``; with ``check``, a repeated key on the right is an error."""
-    if check and repeated_keys(right, [key]).limit(1).count():
-        raise ValueError(f"{key} is not unique on the right side")
-    return null_safe(left, right, [key])
+def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Attach the columns of ``right``; a repeated key on the right is an error.
+
+    Keys are counted in the shuffle that the join needs anyway, so the check costs no scan of its own.
+    """
+    columns = [c for c in right.columns if c != key]
+    counted = right.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_times"), F.first(F.struct(F.lit(0).alias("_"), *columns)).alias("_row")
+    )
+    unique = F.when(F.col("_times") == 1, True).otherwise(
+        F.raise_error(F.concat(F.lit(f"{key} is not unique on the right side: "), F.col(key).cast("string"))).cast("boolean")
+    )
+    once = counted.where(unique).select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+    return null_safe(left, once, [key])
 
 
 def membership(df: DataFrame, other: DataFrame, key: str, out: str = "is_member") -> DataFrame:

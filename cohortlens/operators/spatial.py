@@ -10,17 +10,22 @@ from cohortlens.functions.staging import null_safe, stage
 
 
 def queen_neighbours(vertices: DataFrame, snap: float = 1e-6) -> DataFrame:
-    """Directed pairs of areas that share a boundary point.
+    """Directed pairs of areas with boundary points at most ``snap`` apart.
 
-    Points are snapped to a grid and matched by an equi-join; every matched pair is a result edge.
+    Points fall into cells of that width; those of one side also stand in the eight cells around their own, so two
+    points that lie close across the edge of a cell meet in an equi-join, and their true distance decides.
     """
-    points = vertices.select(
-        "area_id", F.round(F.col("x") / snap).cast("long").alias("kx"),
-        F.round(F.col("y") / snap).cast("long").alias("ky"),
-    ).distinct()
-    a = points.select(F.col("area_id").alias("src"), "kx", "ky")
-    b = points.select(F.col("area_id").alias("dst"), "kx", "ky")
-    return a.join(b, ["kx", "ky"]).where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    points = vertices.select("area_id", "x", "y").distinct().withColumns(
+        {"cx": F.floor(F.col("x") / snap), "cy": F.floor(F.col("y") / snap)}
+    )
+    near = F.array(*[
+        F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)
+    ])
+    a = points.select(F.col("area_id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"), "cx", "cy")
+    b = points.select(F.col("area_id").alias("dst"), "x", "y", F.explode(near).alias("at")).select("dst", "x", "y", "at.*")
+    dx, dy = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
+    met = a.join(b, ["cx", "cy"]).where((F.col("src") != F.col("dst")) & (dx * dx + dy * dy <= snap * snap))
+    return met.select("src", "dst").distinct()
 
 
 def link_counts(areas: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ def eb_local(
         .withColumn("raw", ratio(F.col("r"), F.col("n")))
     )
     own = areas.select(F.col("area_id").alias("src"), F.col("area_id").alias("dst"))
-    hood = edges.select("src", "dst").unionByName(own).distinct()
+    hood = stage(edges.select("src", "dst").unionByName(own).distinct())
     member = long.withColumnRenamed("area_id", "dst")
     local = stage(
         hood.join(member, "dst").groupBy("src", "outcome").agg(

@@ -121,7 +121,7 @@ def test_merge_prefixes_and_repeated_key_is_an_error(spark):
     a = spark.createDataFrame([(1, 0.5)], "k int, ci double")
     assert G.merge_tables({"x": a, "y": a}, "k").columns == ["k", "x_ci", "y_ci"]
     with pytest.raises(ValueError):
-        G.left_join(a, a.union(a), "k", check=True)
+        G.left_join(a, a.union(a), "k").collect()
 
 
 def test_labels(spark):
