@@ -77,7 +77,7 @@ def _column(term: Term) -> str:
     return term if isinstance(term, str) else term.column
 
 
-def _coding(df: DataFrame, model: Model, known: dict) -> list[tuple[str, str, str, object]]:
+def coding(df: DataFrame, model: Model, known: dict) -> list[tuple[str, str, str, object]]:
     """Design columns as (name, column, kind, level): intercept, numbers, non-reference levels."""
     out = [(INTERCEPT, "", "one", None)]
     for term in model.terms:
@@ -171,7 +171,7 @@ def fit_models(
     table = df if collapsed else patterns(df, columns)
     known: dict = {}
     for m in models:
-        m.coding = _coding(table, m, known)
+        m.coding = coding(table, m, known)
         m.beta = np.zeros(len(m.coding))
     running = list(models)
     for step in range(max_steps):

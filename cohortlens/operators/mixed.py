@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from cohortlens.functions.staging import null_safe, stage
 from cohortlens.functions.sums import array_sums
 from cohortlens.functions.tails import Z95, norm_sf
-from cohortlens.operators.logistic import Model, Term, design_columns, fit_models, patterns
-from cohortlens.operators.mixed_blocks import Search, Spec, fitted, joint_sums, pack, search
+from cohortlens.operators.logistic import Model, Term, coding, design_columns, fit_models, patterns
+from cohortlens.operators.mixed_blocks import Search, Spec, fitted, joint_sums, one_pass, pack, search
 
 
 @dataclass
@@ -214,6 +214,30 @@ def fit_mixed_models(
     return out
 
 
+def laplace(
+    df: DataFrame, outcome: str, terms: list[Term], cluster: str, beta: list[float], sd: list[float],
+    household: str | None = None,
+) -> DataFrame:
+    """(name, value): Laplace log-likelihood at given parameters, number of clusters, and the gradient in the
+    coefficients and the deviations."""
+    fixed = Model(outcome, outcome, list(terms))
+    columns = [F.col(household) if household else F.lit(0)]
+    used = df.dropna(subset=[cluster, *([household] if household else [])]).select(
+        F.col(cluster).alias("_cluster"), columns[0].alias("_household"), outcome, *fixed.columns
+    )
+    collapsed = patterns(used, used.columns)
+    fixed.coding = coding(collapsed, fixed, {})
+    design = design_columns(fixed)
+    blocks = pack(collapsed, [F.col(outcome)], design)
+    p = len(design)
+    spec = Spec(outcome, 0, list(range(p)), np.array(beta, dtype=float), np.array(sd, dtype=float))
+    sums = one_pass(blocks, [spec], 1, p)[outcome]
+    rows = [("loglik", sums[0]), ("clusters", sums[1]), ("sd(cluster)", sums[2])]
+    rows += [("sd(household)", sums[3])] if household else []
+    rows += list(zip(fixed.names, sums[6 : 6 + p]))
+    return df.sparkSession.createDataFrame([(name, float(x)) for name, x in rows], "name string, value double")
+
+
 def _predictor_variance(collapsed: DataFrame, models: list[Model], betas: list[np.ndarray]) -> dict[str, float]:
     """Variance of the fixed predictor over the rows of each model, all in one pass."""
     sums = []

@@ -316,6 +316,47 @@ def oracle_sql() -> dict[str, str]:
             round(weight, 6) AS weight, round(mean, 6) AS mean, round(variance, 6) AS variance, round(-2 * ll, 2) AS minus2ll
         FROM side"""
 
+    # Newton steps of a slope in age: likelihood, and bias-reduced with the hat values
+    newton = ["lvl AS (SELECT CAST(age AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(pmpos) AS DOUBLE) AS k "
+              "FROM keyed WHERE pmpos IS NOT NULL AND age IS NOT NULL GROUP BY 1)",
+              "p0 AS (SELECT unnest(['ml', 'firth']) AS kind, 0.0 AS b0, 0.0 AS b1)"]
+    for i in range(1, 26):
+        newton.append(f"""mu{i} AS (SELECT kind, x, n, k, 1 / (1 + exp(-(b0 + b1 * x))) AS mu FROM lvl, p{i - 1}),
+        info{i} AS (SELECT kind, sum(n * mu * (1 - mu)) AS a, sum(n * mu * (1 - mu) * x) AS b, sum(n * mu * (1 - mu) * x * x) AS c
+            FROM mu{i} GROUP BY kind),
+        res{i} AS (SELECT kind, x, a, b, c, k - n * mu + CASE kind WHEN 'firth' THEN
+            n * mu * (1 - mu) * (c - 2 * b * x + a * x * x) / (a * c - b * b) * (0.5 - mu) ELSE 0 END AS r
+            FROM mu{i} JOIN info{i} USING (kind)),
+        move{i} AS (SELECT kind, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, sum(r) AS u, sum(r * x) AS v
+            FROM res{i} GROUP BY kind),
+        p{i} AS (SELECT kind, b0 + (c * u - b * v) / (a * c - b * b) AS b0, b1 + (a * v - b * u) / (a * c - b * b) AS b1,
+            sqrt(c / (a * c - b * b)) AS s0, sqrt(a / (a * c - b * b)) AS s1 FROM p{i - 1} JOIN move{i} USING (kind))""")
+    o["logistic_slope"] = f"""{BASE}, {", ".join(newton)},
+        side AS (SELECT kind, '(Intercept)' AS term, b0 AS b, s0 AS s FROM p25 UNION ALL SELECT kind, 'age', b1, s1 FROM p25)
+        SELECT kind, term, round(b, 5) AS estimate, round(s, 5) AS se, round(exp(b), 5) AS odds_ratio,
+            (SELECT CAST(sum(n) AS BIGINT) FROM lvl) AS n, (SELECT CAST(sum(k) AS BIGINT) FROM lvl) AS events FROM side"""
+    # conditional modes of every cluster by Newton steps, then the likelihood and its gradient
+    eta = "(-1.0 + 0.15 * x + 0.7 * v)"
+    modes = ["pat AS (SELECT varunit AS c, CAST(age AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(pmpos) AS DOUBLE) AS k "
+             "FROM keyed WHERE pmpos IS NOT NULL AND age IS NOT NULL AND varunit IS NOT NULL GROUP BY 1, 2)",
+             "v0 AS (SELECT DISTINCT c, 0.0 AS v FROM pat)"]
+    for i in range(1, 11):
+        modes.append(f"""at{i} AS (SELECT c, v, n, k, 1 / (1 + exp(-{eta})) AS mu FROM pat JOIN v{i - 1} USING (c)),
+        v{i} AS (SELECT c, any_value(v) + (0.7 * sum(k - n * mu) - any_value(v)) / (1 + 0.49 * sum(n * mu * (1 - mu))) AS v
+            FROM at{i} GROUP BY c)""")
+    o["glmm_laplace"] = f"""{BASE}, {", ".join(modes)},
+        row AS (SELECT c, v, x, n, k, {eta} AS eta, 1 / (1 + exp(-{eta})) AS mu FROM pat JOIN v10 USING (c)),
+        clu AS (SELECT c, any_value(v) AS v, sum(k * eta - n * ln(1 + exp(eta))) AS l, sum(n * mu * (1 - mu)) AS w,
+            sum(k - n * mu) AS g, sum(n * mu * (1 - mu) * (1 - 2 * mu)) AS t, sum(n * mu * (1 - mu) * x) AS sx,
+            sum(n * mu * (1 - mu) * (1 - 2 * mu) * x) AS tx, sum((k - n * mu) * x) AS gx FROM row GROUP BY c),
+        der AS (SELECT *, 1 + 0.49 * w AS e, 0.49 / (1 + 0.49 * w) AS q FROM clu),
+        tot AS (SELECT sum(l - v * v / 2 - ln(e) / 2) AS loglik, CAST(count(*) AS DOUBLE) AS clusters,
+            sum(v * g - 0.7 * w / e - 0.5 * q * t * (v + 0.7 * (g - 0.7 * v * w) / e)) AS d_sd,
+            sum(g - 0.5 * q * (t - t * 0.49 * w / e)) AS d_one, sum(gx - 0.5 * q * (tx - t * 0.49 * sx / e)) AS d_age FROM der)
+        SELECT 'loglik' AS name, round(loglik, 4) AS value FROM tot UNION ALL SELECT 'clusters', clusters FROM tot
+        UNION ALL SELECT 'sd(cluster)', round(d_sd, 4) FROM tot UNION ALL SELECT '(Intercept)', round(d_one, 4) FROM tot
+        UNION ALL SELECT 'age', round(d_age, 4) FROM tot"""
+
     # filters
     o["inspect_signals"] = f"""{BASE} SELECT ptid, varunit, round(gst, 6) AS gst, round(pomsp1, 6) AS pomsp1
         FROM keyed WHERE pomsp1 < 0.5 OR gst > 500 OR gst IS NULL"""

@@ -857,6 +857,25 @@ def _saturated(spark, sf_dir, kind):
     return rounded(M.odds_ratios(df, [fitted]).select(*kept, "n", "events"), 4)
 
 
+@query
+def logistic_slope(spark, sf_dir):
+    """One numeric covariate, by likelihood and bias-reduced."""
+    df = view.persons(spark, sf_dir)
+    models = [M.Model(kind, "pmpos", ["age"], kind) for kind in ("ml", "firth")]
+    out = M.odds_ratios(df, M.fit_models(df, models))
+    return out.select(
+        F.col("model_id").alias("kind"), "term", *[F.round(c, 5).alias(c) for c in ("estimate", "se", "odds_ratio")], "n", "events"
+    )
+
+
+@query
+def glmm_laplace(spark, sf_dir):
+    """Laplace likelihood and gradient of a mixed model at fixed parameters: the pass without the search."""
+    df = view.persons(spark, sf_dir)
+    out = X.laplace(df, "pmpos", ["age"], "varunit", [-1.0, 0.15], [0.7, 0.0])
+    return out.withColumn("value", F.round("value", 4))
+
+
 @query
 def logistic_saturated(spark, sf_dir):
     return _saturated(spark, sf_dir, "ml")
