@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
-from cohortlens.functions import constants as K
+# Fixed values, spelled out here again so that a wrong one in the operators shows.
+_IGG_CUT = {
+    "pfmsp1": 150, "ama1": 209, "glurp0": 169, "csp": 362, "hrp2": 337, "lsa1": 124, "pmmsp1": 550, "pomsp1": 362,
+    "pvmsp1": 193,
+}
+_ANTIGEN_CUT = {"hrp2_a": 633, "paldo": 1865, "pldh": 430, "pvldh": 600}
+_SPECIES = {
+    "1": (1, 0, 0), "2 (Pf Pm)": (1, 1, 0), "2 (Pf PO)": (1, 0, 1), "2(Pf Pm)": (1, 1, 0), "3 (Pf Pm PO)": (1, 1, 1),
+    "3 (Pf PM PO)": (1, 1, 1), "1 (Pm)": (0, 1, 0), "1 (PO)": (0, 0, 1), "PO": (0, 0, 1), "Pm": (0, 1, 0),
+    "2 (Pm PO)": (0, 1, 1),
+}
+_SELECTION = ["Zones", "pAldolase", "pLDH", "pLDH+/HRP2-", "PvLDH"]
+_EXPORTED = """
+ptid varstrat varunit a1qnumber hh_id a1q120 hhwgt ahmember ab_wt ag_wt ahzone ahstate ahlga age
+agegrp gender ahtype wealthquintile a1q119 a1q115 a1q108 a1q109 a1q105n a1q105a a1q101a
+pfmsp1 pvmsp1 pomsp1 pmmsp1 ama1 glurp0 csp hrp2 lsa1 hrp2_a
+pfmsp1pos pmmsp1pos pomsp1pos pvmsp1pos ama1pos glurppos csppos hrp2pos lsa1pos
+hrp2_pos pldh_pos pvldh_pos paldo_pos
+""".split()
 
 _PERSON = """
 person AS (
@@ -45,7 +63,7 @@ LEFT JOIN (SELECT l_orderkey, avg(l_extendedprice) / 50 AS pmmsp1, min(l_extende
                   min(l_extendedprice) / 40 AS pldh, sum(l_extendedprice * l_tax) / 8 AS pvldh
            FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey)"""
 
-_IGG = {**{s: f"{s}pos" for s in K.IGG_CUTOFFS}, "glurp0": "glurppos"}
+_IGG = {**{s: f"{s}pos" for s in _IGG_CUT}, "glurp0": "glurppos"}
 _ANTIGEN = {"hrp2_a": ("hrp2_1", "hrp2_pos"), "paldo": ("paldo", "paldo_pos"),
             "pldh": ("pldh", "pldh_pos"), "pvldh": ("pvldh", "pvldh_pos")}
 _AGE3 = ("CASE WHEN age >= 0 AND age < 5 THEN 1 WHEN age >= 5 AND age < 10 THEN 2 "
@@ -59,8 +77,8 @@ _FLAGGED = f"""
 flagged AS (SELECT *, {_AGE3} AS agegrp, {_AGE7} AS agegrp7,
   CAST(ahstate AS VARCHAR) || CASE WHEN ahlga < 10 THEN '0' || CAST(ahlga AS VARCHAR)
      ELSE CAST(ahlga AS VARCHAR) END AS lga_text,
-  {", ".join(f"CASE WHEN {s} > {K.IGG_CUTOFFS[s]} THEN 1 ELSE 0 END AS {f}" for s, f in _IGG.items())},
-  {", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} > {K.ANTIGEN_CUTOFFS[a]} THEN 1 ELSE 0 END AS {f}"
+  {", ".join(f"CASE WHEN {s} > {_IGG_CUT[s]} THEN 1 ELSE 0 END AS {f}" for s, f in _IGG.items())},
+  {", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} > {_ANTIGEN_CUT[a]} THEN 1 ELSE 0 END AS {f}"
              for a, (c, f) in _ANTIGEN.items())}
 FROM person),
 keyed AS (SELECT *, CAST(lga_text AS INT) AS lga FROM flagged)"""
@@ -73,10 +91,10 @@ covered AS (SELECT *, CAST(count(*) OVER (PARTITION BY varunit) AS BIGINT) AS n_
    CAST(coalesce(sum(net1_8) OVER (PARTITION BY varunit), 0) AS BIGINT) AS n_net FROM owned)"""
 
 _SPECIES_VALUES = ", ".join(
-    f"('{s}', {pf}, {pm}, {po})" for s, (pf, pm, po) in K.SPECIES_FLAGS.items()
+    f"('{s}', {pf}, {pm}, {po})" for s, (pf, pm, po) in _SPECIES.items()
 )
-_TEXTS = [*K.SPECIES_FLAGS, None, "unknown"]
-_CRITERIA = [*K.SELECTION_CODES, "Other"]
+_TEXTS = [*_SPECIES, None, "unknown"]
+_CRITERIA = [*_SELECTION, "Other"]
 
 
 def _pick(expr: str, values: list) -> str:
@@ -155,6 +173,12 @@ def _ci(digits: int, se: str = "se") -> str:
             f"round(estimate + {Z} * se, {digits}) AS ci_high")
 
 
+def _t_point(df: str) -> str:
+    """The 97.5 % point of Student's t by its expansion in 1 / df around the normal point."""
+    return (f"({Z} + ({Z} ^ 3 + {Z}) / (4 * {df}) + (5 * {Z} ^ 5 + 16 * {Z} ^ 3 + 3 * {Z}) / (96 * {df} ^ 2) "
+            f"+ (3 * {Z} ^ 7 + 19 * {Z} ^ 5 + 17 * {Z} ^ 3 - 15 * {Z}) / (384 * {df} ^ 3))")
+
+
 def _dup(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
@@ -234,14 +258,14 @@ def oracle_sql() -> dict[str, str]:
 
     # cleaning and recodes
     keep = []
-    for c in K.KEEP_COLUMNS:
-        if c in (*K.IGG_CUTOFFS, "hrp2_a"):
+    for c in _EXPORTED:
+        if c in (*_IGG_CUT, "hrp2_a"):
             keep.append(f"CAST({'hrp2_1' if c == 'hrp2_a' else c} AS FLOAT) AS {c}")
         elif c in ("hhwgt", "ab_wt", "ag_wt"):
             keep.append(f"round({c}, 6) AS {c}")
         else:
             keep.append(c)
-    logs = ", ".join(f"round(ln(CASE WHEN {s} > 0 THEN {s} END), 6) AS log{s}" for s in K.IGG_CUTOFFS)
+    logs = ", ".join(f"round(ln(CASE WHEN {s} > 0 THEN {s} END), 6) AS log{s}" for s in _IGG_CUT)
     o["clean_antibody"] = f"""{BASE} SELECT {", ".join(keep)}, agegrp7, {logs} FROM keyed
         WHERE gst <= 500 OR gst IS NULL"""
     flags = "hrp2_pos, paldo_pos, pldh_pos, pvldh_pos"
@@ -445,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(max({c}) AS FLOAT) AS max{extra.format(c)} FROM keyed {tail}""" for c in columns)
 
     o["summary"] = f"{BASE} {summarise(['gst', 'pomsp1', 'ahmember', 'a1q120'], 'ahzone')}"
-    o["profile"] = f"""{BASE} {summarise(["age", "ab_wt", *K.IGG_CUTOFFS, "gst", "a1q119"], None,
+    o["profile"] = f"""{BASE} {summarise(["age", "ab_wt", *_IGG_CUT, "gst", "a1q119"], None,
         ", CAST(count({0}) / CAST(count(*) AS DOUBLE) AS FLOAT) AS complete_rate")}"""
     o["null_counts"] = f"""{BASE} SELECT {", ".join(
         f"count(*) - count({c}) AS {c}" for c in ("a1q119", "a1q120", "gst", "age"))} FROM keyed"""
@@ -519,9 +543,7 @@ def oracle_sql() -> dict[str, str]:
         shown = (lambda c: c) if col == "age" else (lambda c: f"round({c}, 6)")
         under = (f"SELECT p, varstrat AS h, varunit AS i, wt, CASE WHEN {col} <= quantile THEN 1.0 ELSE 0.0 END AS y "
                  f"FROM weighted, q WHERE {col} IS NOT NULL")
-        # the t quantile by its expansion in 1 / df around the normal one
-        t = (f"({Z} + ({Z} ^ 3 + {Z}) / (4 * df) + (5 * {Z} ^ 5 + 16 * {Z} ^ 3 + 3 * {Z}) / (96 * df ^ 2) "
-             f"+ (3 * {Z} ^ 7 + 19 * {Z} ^ 5 + 17 * {Z} ^ 3 - 15 * {Z}) / (384 * df ^ 3))")
+        t = _t_point("df")
         o[name] = f"""{WEIGHTED}, f AS (SELECT {col} AS x, sum(wt) AS w FROM weighted WHERE {col} IS NOT NULL
             GROUP BY 1), c AS (SELECT x, sum(w) OVER (ORDER BY x) AS cw, sum(w) OVER () AS tw FROM f),
             q AS ({" UNION ALL ".join(
@@ -563,14 +585,16 @@ def oracle_sql() -> dict[str, str]:
         round(sigma / sqrt(sxx), 4) AS se_slope,
         round(intercept / (sigma * sqrt(1.0 / n + mx * mx / sxx)), 4) AS t_intercept,
         round(slope / (sigma / sqrt(sxx)), 4) AS t_slope, round(r2, 4) AS r2, round(sigma, 4) AS sigma,
-        round(slope * sxy / (sigma * sigma), 4) AS f_value FROM s"""
+        round(slope * sxy / (sigma * sigma), 4) AS f_value, CAST(n - 2 AS BIGINT) AS df FROM s"""
     o["regression_line"] = f"""{BASE}, {moments}, g AS (SELECT *, lo + range * (hi - lo) / 19.0 AS x
-        FROM s, range(20)) SELECT ahzone, round(x, 4) AS x, round(intercept + slope * x, 4) AS fit,
-        round(sigma * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx), 4) AS se FROM g"""
+        FROM s, range(20)), band AS (SELECT *, intercept + slope * x AS fit,
+            sigma * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx) AS se, {_t_point("(n - 2)")} AS t FROM g)
+        SELECT ahzone, round(x, 4) AS x, round(fit, 4) AS fit, round(se, 4) AS se, round(fit - t * se, 4) AS ci_low,
+            round(fit + t * se, 4) AS ci_high, round(r2, 4) AS r2 FROM band"""
     o["corr_test"] = f"""{BASE}, c AS (SELECT ahzone, count(*) AS n, corr(pmmsp1, pomsp1) AS r FROM keyed
         WHERE pmmsp1 IS NOT NULL AND pomsp1 IS NOT NULL GROUP BY 1), z AS (SELECT *,
         0.5 * ln((1 + r) / (1 - r)) AS z, {Z} / sqrt(n - 3) AS half FROM c)
-        SELECT ahzone, n, round(r, 4) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t,
+        SELECT ahzone, n, CAST(n - 2 AS BIGINT) AS df, round(r, 4) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t,
         round((exp(2 * (z - half)) - 1) / (exp(2 * (z - half)) + 1), 4) AS ci_low,
         round((exp(2 * (z + half)) - 1) / (exp(2 * (z + half)) + 1), 4) AS ci_high FROM z"""
 

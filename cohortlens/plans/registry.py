@@ -505,7 +505,7 @@ def svy_area_counts(spark, sf_dir):
 @query
 def ols(spark, sf_dir):
     df = view.persons(spark, sf_dir)
-    return rounded(L.ols(df, "pfmsp1", "pvmsp1", ["ahzone"], p_values=False).drop("df"), 4)
+    return rounded(L.ols(df, "pfmsp1", "pvmsp1", ["ahzone"], p_values=False), 4)
 
 
 @query
@@ -516,13 +516,13 @@ def ols_tests(spark, sf_dir):
 @query
 def regression_line(spark, sf_dir):
     out = L.regression_line(view.persons(spark, sf_dir), "pfmsp1", "pvmsp1", ["ahzone"], points=20)
-    return rounded(out.select("ahzone", "x", "fit", "se"), 4)
+    return rounded(out, 4)
 
 
 @query
 def corr_test(spark, sf_dir):
     df = view.persons(spark, sf_dir)
-    return rounded(L.correlation_test(df, "pmmsp1", "pomsp1", ["ahzone"], p_values=False).drop("df"), 4)
+    return rounded(L.correlation_test(df, "pmmsp1", "pomsp1", ["ahzone"], p_values=False), 4)
 
 
 # ---- areas --------------------------------------------------------------------------------------------
@@ -655,18 +655,29 @@ def signal_density(spark, sf_dir):
     return rounded(C.kernel_density(df, "pvmsp1", ["ahzone"]))
 
 
-@query
-def scr_vs_infection(spark, sf_dir):
+def _rates_and_infection(spark, sf_dir):
+    """Per species the seroconversion rate and the infection prevalence of every state."""
     rates = stage(C.seroconversion(view.persons(spark, sf_dir), ["pmpos", "popos"], ["ahstate"]))
     infection = infection_by_state(spark, sf_dir)
-    lines = []
+    parts = []
     for species in ("pm", "po"):
         prev = infection.select(
             "ahstate", F.try_divide(f"pcr_{species}_pos", f"pcr_{species}_n").alias("prevalence")
         )
         joined = C.seroconversion_vs_infection(rates, prev, "ahstate", f"{species}pos", "ahstate")
-        lines.append(L.ols(joined, "prevalence", "scr").withColumn("species", F.lit(species)))
-    return lines[0].unionByName(lines[1])
+        parts.append(joined.select("prevalence", "scr", F.lit(species).alias("species")))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def scr_vs_infection(spark, sf_dir):
+    return L.ols(_rates_and_infection(spark, sf_dir), "prevalence", "scr", ["species"])
+
+
+@query
+def scr_infection_line(spark, sf_dir):
+    """The fitted line and its confidence band over the range of prevalence."""
+    return L.regression_line(_rates_and_infection(spark, sf_dir), "prevalence", "scr", ["species"])
 
 
 # ---- smoothing and plot data ----------------------------------------------------------------------------
