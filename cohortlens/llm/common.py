@@ -97,10 +97,12 @@ def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return scratch.write(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
     number = F.row_number().over(Window.orderBy("_path")).cast("long")
     files = scratch.write(paths.select("_path", number.alias("_file")), "files")
-    placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
-    # one short row a file: small for any table, and a shuffle would move the texts
-    placed = placed.join(F.broadcast(files), "_path")
-    return placed.select(*docs.columns, F.expr("shiftleft(_file, 40) + _at").alias(ROW_KEY))
+    placed = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at")
+    )
+    # one short row a file: the planner sees the written size, and broadcasts it while that is small
+    placed = placed.join(files, "_path")
+    return placed.select(*[F.col("_doc")[c].alias(c) for c in docs.columns], F.expr("shiftleft(_file, 40) + _at").alias(ROW_KEY))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -198,6 +198,7 @@ class Mix:
 
         An epoch that takes all words keeps the text as it is; else the words of its blocks follow each other,
         parted by blanks.  Documents without words are not drawn.  Rows and draws meet by the mixture's ``key_col``.
+        Columns may have any name, those used here included; an empty table gives no rows.
         """
         key_col, text_col = self.names
         uses = self.slots.select("rank", "epoch", "block")
@@ -205,7 +206,11 @@ class Mix:
         drawn = drawn.groupBy("uid", "epoch").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list("block")).alias("blocks"))
         one = self.sizes.select("uid", "first", "size")
         drawn = self.scratch.write(drawn.join(one, "uid"), "drawn_texts")
-        rows = docs.join(drawn.hint("merge"), F.col(key_col) == F.col("uid")).withColumn("words", F.regexp_extract_all(text_col, F.lit(WORDS), 0))
+        # the document travels as one column, so that its columns may have any name
+        rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key_col).alias("doc_key"))
+        rows = rows.join(drawn.hint("merge"), F.col("doc_key") == F.col("uid"))
+        text = F.col("doc")[text_col]
+        rows = rows.withColumn("words", F.regexp_extract_all(text, F.lit(WORDS), 0))
         b = self.block
 
         def part(k):
@@ -216,15 +221,24 @@ class Mix:
         # `words` is used twice, so Spark keeps it as a column instead of extracting anew in the lambda
         cut = F.array_join(F.flatten(F.transform("blocks", part)), " ")
         whole = (F.col("n") == F.col("size")) | (F.size("words") == 0)
-        return rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*docs.columns)
+        made = F.when(whole, text).otherwise(cut)
+        return rows.select(*[(made if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The texts of the mixture; see ``Mix.texts``."""
+    """The texts of the mixture; see ``Mix.texts``.
+
+    Null and empty texts are not drawn, rows that repeat an identifier (or have none) are documents of their own, very
+    long texts are cut at blocks of words, and columns of any name come back as they are.
+    """
     keyed = with_row_key(docs, Scratch(docs.sparkSession))
     return Mix(keyed, key_col=ROW_KEY, **options).texts(keyed).select(*docs.columns)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the number of words the mixture takes from each; see ``Mix``."""
+    """The documents with the number of words the mixture takes from each; see ``Mix``.
+
+    Null and empty texts have size 0, a null source is the last, repeated rows are documents of their own, an empty
+    table gives no rows, and other columns are ignored.
+    """
     return Mix(docs, **options).taken()
