@@ -147,9 +147,10 @@ def collinearity(df: DataFrame, *models: Model) -> DataFrame:
             rest = np.linalg.det(r[np.ix_(~own, ~own)]) if (~own).any() else 1.0
             gvif = np.linalg.det(r[np.ix_(own, own)]) * rest / np.linalg.det(r)
             k = int(own.sum())
-            rows.append((model.model_id, column, k, float(gvif), float(gvif ** (1 / (2 * k))), float(1 / gvif)))
+            rows.append((model.model_id, column, k, float(gvif), float(gvif ** (1 / (2 * k))), float(1 / gvif),
+                         bool(model.converged)))
     return df.sparkSession.createDataFrame(
-        rows, "model_id string, term string, df int, vif double, se_factor double, tolerance double"
+        rows, "model_id string, term string, df int, vif double, se_factor double, tolerance double, converged boolean"
     )
 
 
@@ -178,9 +179,9 @@ def curvature_tests(df: DataFrame, model: Model) -> DataFrame:
         stat = max(2 * (m.loglik - base.loglik), 0.0) if rank > 0 else None
         stat = None if stat is None else float(stat)
         p = None if stat is None else float(chi2_sf(stat, 1))
-        rows.append((model.model_id, m.model_id, stat, p))
+        rows.append((model.model_id, m.model_id, stat, p, bool(base.converged and m.converged)))
     return df.sparkSession.createDataFrame(
-        rows, "model_id string, term string, chisq double, p double"
+        rows, "model_id string, term string, chisq double, p double, converged boolean"
     )
 
 

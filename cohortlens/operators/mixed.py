@@ -420,9 +420,10 @@ def mixed_performance(df: DataFrame, models: list[MixedModel]) -> DataFrame:
         rows.append(
             (m.fixed.model_id, float(-2 * m.loglik + 2 * k), float(-2 * m.loglik + k * np.log(m.fixed.n)),
              float(m.fixed_variance / total), float((m.fixed_variance + random) / total),
-             float(random / (random + noise)))
+             float(random / (random + noise)), bool(m.converged))
         )
     return df.sparkSession.createDataFrame(
         rows,
-        "model_id string, aic double, bic double, r2_marginal double, r2_conditional double, icc double",
+        "model_id string, aic double, bic double, r2_marginal double, r2_conditional double, icc double, "
+        "converged boolean",
     )

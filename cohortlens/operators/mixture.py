@@ -283,8 +283,9 @@ def mixture_density(df: DataFrame, fits: list[Mixture], log: bool = True, bins:
     )
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     mid = F.col("lo") + (F.col("bin") + 0.5) * width
-    fitted = F.lit(None).cast("double")
+    fitted, converged = F.lit(None).cast("double"), F.lit(None).cast("boolean")
     for m in fits:
+        converged = F.when(F.col("signal") == m.signal, F.lit(bool(m.converged))).otherwise(converged)
         terms = [
             float(w / np.sqrt(2 * np.pi * v)) * F.exp(-((F.col("mid") - float(mu)) ** 2) / (2 * float(v)))
             for w, mu, v in zip(m.weight, m.mean, m.variance)
@@ -294,5 +295,5 @@ def mixture_density(df: DataFrame, fits: list[Mixture], log: bool = True, bins:
     return joined.select(
         "signal", "bin", "mid", F.coalesce("n", F.lit(0)).alias("n"),
         (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density"),
-        fitted.alias("fitted"),
+        fitted.alias("fitted"), converged.alias("converged"),
     )

@@ -247,6 +247,40 @@ post AS (SELECT antigen, stratifier, level, parameter,
          FROM marg GROUP BY ALL)"""
 
 
+def _pass(n: int, cells: int = 200) -> str:
+    """Marginals over a log grid of the box of every group: ``box{n}`` to ``marg{n}``."""
+    group = "antigen, stratifier, level"
+    axis = lambda a, i: f"exp({a}_lo + ({i}) * ({a}_hi - {a}_lo) / {cells}.0)"
+    side = lambda name, a, i: (
+        f"SELECT {group}, '{name}' AS parameter, {i} AS cell, {axis(a, i)} AS low, {axis(a, f'{i} + 1')} AS high, "
+        f"sum(w) AS w FROM w{n} JOIN box{n} USING ({group}) GROUP BY ALL")
+    return f"""cells{n} AS (SELECT {group}, a.range AS i, b.range AS j, {axis("lam", "a.range + 0.5")} AS lam,
+        {axis("rho", "b.range + 0.5")} AS rho FROM box{n}, range({cells}) a, range({cells}) b),
+    ll{n} AS (SELECT {group}, i, j, sum(k * ln(lam / (lam + rho) * (1 - exp(-(lam + rho) * age)))
+        + (n - k) * ln(1 - lam / (lam + rho) * (1 - exp(-(lam + rho) * age)))) + ln(lam) + ln(rho) AS logw
+        FROM counts JOIN cells{n} USING ({group}) GROUP BY {group}, i, j, lam, rho),
+    w{n} AS (SELECT {group}, i, j, exp(logw - max(logw) OVER (PARTITION BY {group})) AS w FROM ll{n}),
+    side{n} AS ({side("lambda", "lam", "i")} UNION ALL {side("rho", "rho", "j")}),
+    marg{n} AS (SELECT {group}, parameter, CAST(cell AS INT) AS cell, low, high, w / sum(w) OVER p AS mass,
+        coalesce(sum(w) OVER (PARTITION BY {group}, parameter ORDER BY cell
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(w) OVER p, 0) AS before
+        FROM side{n} WINDOW p AS (PARTITION BY {group}, parameter))"""
+
+
+# the grid as the engine fills it: 200 cells an axis from 1e-5, then 200 over what holds all but 1e-5 of each tail
+_FINE = f"""{BASE}, counts AS ({_sero_counts(["ahzone"])}),
+box1 AS (SELECT DISTINCT antigen, stratifier, level, ln(0.00001) AS lam_lo, ln(10.0) AS lam_hi, ln(0.00001) AS rho_lo,
+    ln(10.0) AS rho_hi FROM counts), {_pass(1)},
+box2 AS (SELECT antigen, stratifier, level, {", ".join(
+    f"ln(min(low) FILTER (parameter = '{name}' AND before + mass > 1e-5)) AS {a}_lo, "
+    f"ln(max(high) FILTER (parameter = '{name}' AND before < 1 - 1e-5)) AS {a}_hi"
+    for name, a in (("lambda", "lam"), ("rho", "rho")))} FROM marg1 GROUP BY ALL), {_pass(2)},
+post AS (SELECT antigen, stratifier, level, parameter,
+    {", ".join(f"max(CASE WHEN before < {p} AND before + mass >= {p} THEN low + ({p} - before) / mass * (high - low) END) AS {n}"
+               for p, n in ((0.025, "low"), (0.5, "median"), (0.975, "high")))}
+    FROM marg2 GROUP BY ALL)"""
+
+
 def _curve(q: str, name: str) -> str:
     lam = f"max(CASE WHEN parameter = 'lambda' THEN {q} END)"
     rho = f"max(CASE WHEN parameter = 'rho' THEN {q} END)"
@@ -639,6 +673,15 @@ def oracle_sql() -> dict[str, str]:
     o["sero_curve"] = f"""{_GRID} SELECT antigen, stratifier, level, CAST(age AS INT) AS age,
         {_curve("median", "fit")}, {_curve("low", "fit_low")}, {_curve("high", "fit_high")}
         FROM post, (SELECT range AS age FROM range(15)) GROUP BY antigen, stratifier, level, age"""
+    o["sero_posterior"] = f"""{_FINE} SELECT antigen, stratifier, level, parameter,
+        {_dup(["low", "median", "high"], 5)} FROM post"""
+    o["sero_density_fine"] = f"""{_FINE} SELECT antigen, stratifier, level, parameter, cell,
+        round((low + high) / 2, 6) AS x, round(mass, 6) AS mass,
+        CASE WHEN before + mass / 2 < 0.025 THEN 'lower' WHEN before + mass / 2 > 0.975 THEN 'upper'
+        ELSE 'middle' END AS region FROM marg2"""
+    o["sero_curve_fine"] = f"""{_FINE} SELECT antigen, stratifier, level, CAST(age AS INT) AS age,
+        {_curve("median", "fit")}, {_curve("low", "fit_low")}, {_curve("high", "fit_high")}
+        FROM post, (SELECT range AS age FROM range(15)) GROUP BY antigen, stratifier, level, age"""
     o["signal_density"] = f"""{BASE}, f0 AS (SELECT ahzone, count(pvmsp1) AS n, min(pvmsp1) AS mn, max(pvmsp1) AS mx,
         stddev_samp(pvmsp1) AS sd, (quantile_cont(pvmsp1, 0.75) - quantile_cont(pvmsp1, 0.25)) / 1.34 AS iqr
         FROM person GROUP BY 1), f1 AS (SELECT *, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END

@@ -629,6 +629,27 @@ def sero_curve(spark, sf_dir):
     return rounded(C.posterior_curve(C.posterior_summary(m)), 5)
 
 
+@query
+def sero_posterior(spark, sf_dir):
+    """Both rates by zone on the grid of two passes."""
+    return rounded(C.posterior_summary(C.posterior_marginals(_zone_counts(spark, sf_dir))), 5)
+
+
+@query
+def sero_density_fine(spark, sf_dir):
+    """Mass and region of every cell of the grid of two passes."""
+    m = stage(C.posterior_marginals(_zone_counts(spark, sf_dir)))
+    keys = [*C.GROUP, "parameter", "cell"]
+    out = null_safe(C.posterior_density(m).drop("density"), m.select(*keys, "mass"), keys, "inner")
+    return out.withColumns({"x": F.round("x", 6), "mass": F.round("mass", 6)})
+
+
+@query
+def sero_curve_fine(spark, sf_dir):
+    summary = C.posterior_summary(C.posterior_marginals(_zone_counts(spark, sf_dir)))
+    return rounded(C.posterior_curve(summary), 5)
+
+
 @query
 def seroconversion(spark, sf_dir):
     return C.seroconversion(view.persons(spark, sf_dir), AREA_FLAGS, STRATA)

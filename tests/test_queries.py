@@ -9,8 +9,9 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-# covered on their own fixtures in test_models.py
-SLOW = {"glmm", "glmm_nested", "glmm_bivariate", "mixture2", "mixture_density"}
+# covered on their own fixtures in test_models.py and test_sweeps.py
+SLOW = {"glmm", "glmm_nested", "glmm_bivariate", "mixture2", "mixture_density", "glmm_binned", "glmm_collinearity",
+        "glmm_performance", "firth_binned", "firth_collinearity"}
 # tested beside their own subpackage, which may be absent
 OWN = {n for n in entry.queries() if re.match(r"(op\d+_|pipeline$)", n)}
 
