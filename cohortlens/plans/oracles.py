@@ -333,6 +333,9 @@ def oracle_sql() -> dict[str, str]:
     o["clusters_by_size"] = f"""{sizes} SELECT varunit, n, row_number() OVER (ORDER BY n DESC, varunit DESC) AS rank
         FROM sizes"""
     o["largest_clusters"] = f"{sizes} SELECT varunit, n FROM sizes ORDER BY n DESC, varunit DESC LIMIT 10"
+    o["areas_round_trip"] = f"""WITH {_SQUARES} SELECT CAST(area_id AS BIGINT) AS area_id, 'area ' || area_id AS label,
+        5::BIGINT AS points, 0 AS last_part, 0 AS last_ring, gx::DOUBLE AS min_x, (gx + 1)::DOUBLE AS max_x,
+        (5 * gx + 2)::DOUBLE AS sum_x, gy::DOUBLE AS min_y, (gy + 1)::DOUBLE AS max_y, (5 * gy + 2)::DOUBLE AS sum_y FROM sq"""
     o["table_round_trip"] = f"""{BASE} SELECT ahstate, count(*) AS n, CAST(sum(ptid) AS BIGINT) AS ids,
         count(age) AS n_age FROM keyed GROUP BY ahstate"""
 

@@ -266,6 +266,21 @@ def table_round_trip(spark, sf_dir):
     )
 
 
+@query
+def areas_round_trip(spark, sf_dir):
+    """S2 and S4: areas written as features, read back and summed up."""
+    vertices = view.area_vertices(spark, sf_dir)
+    names = vertices.select("area_id").distinct().withColumn("label", F.concat(F.lit("area "), F.col("area_id").cast("string")))
+    path = f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    io.write_areas(vertices, names, path)
+    back, attributes = io.load_areas(spark, path, "area_id", "area_id bigint, label string")
+    shape = back.groupBy("area_id").agg(
+        F.count(F.lit(1)).alias("points"), F.max("part").alias("last_part"), F.max("ring").alias("last_ring"),
+        *[f(c).alias(f"{name}_{c}") for c in ("x", "y") for name, f in (("min", F.min), ("max", F.max), ("sum", F.sum))],
+    )
+    return null_safe(attributes, shape, ["area_id"])
+
+
 @query
 def tab1(spark, sf_dir):
     return rounded(T.one_way(view.persons(spark, sf_dir), "a1q119"))
