@@ -16,6 +16,11 @@ def norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+def _terms(size: float) -> int:
+    """Most terms of a continued fraction, which needs some multiple of the root of its parameters."""
+    return 10_000 + int(50 * math.sqrt(size))
+
+
 def gamma_q(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function."""
     if x <= 0:
@@ -34,15 +39,15 @@ def gamma_q(a: float, x: float) -> float:
     c = 1 / tiny
     d = 1 / b
     h = d
-    for i in range(1, 100_000):
+    for i in range(1, _terms(a + x)):
         an = -i * (i - a)
         b += 2
         d = 1 / max(an * d + b, tiny)
         c = max(b + an / c, tiny)
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"gamma tail at ({a}, {x}) did not settle")
 
 
 def beta_i(a: float, b: float, x: float) -> float:
@@ -60,7 +65,7 @@ def beta_i(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 100_000):
+    for m in range(1, _terms(a + b)):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -71,8 +76,8 @@ def beta_i(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return front * h / a
+            return front * h / a
+    raise ArithmeticError(f"beta tail at ({a}, {b}, {x}) did not settle")
 
 
 def chi2_sf(x: float, df: float) -> float:
