@@ -90,7 +90,7 @@ def test_mixed_texts_of_odd_rows(spark):
 def test_run_and_registration(spark):
     names = set(entry.queries())
     assert {"pipeline"} | {f.__name__ for f in queries.queries().values()} <= names
-    assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 10
+    assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 13
     out = entry.queries()["pipeline"](spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     n = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchall()[0][0]
