@@ -19,17 +19,20 @@ def _octave(x: Column) -> Column:
 
 
 def select_values(
-    values: DataFrame, targets: DataFrame, by: list[str], spans: DataFrame, small: int = 20_000
+    values: DataFrame, targets: DataFrame, by: list[str], spans: DataFrame, small: int = 20_000,
+    accuracy: int = _SPLIT,
 ) -> DataFrame:
     """Per target the smallest value whose cumulative mass reaches it, as ``(by, _t, _v)``.
 
     ``values`` has ``_x`` and its mass ``_m``; ``targets`` has a number ``_t`` and a mass ``_goal``; ``spans`` the
     smallest and largest value ``_lo``, ``_hi`` and the number ``_size`` of values per group.  All enclosures narrow
-    together: a pass over the values counts the cells of every enclosure, first by octaves and then by even parts
-    of its range, and each target goes on in the cell that holds it, until no enclosure holds more than ``small`` values
-    unless they are equal.  The last pass takes the values inside one by one.  Only cells leave the map side, and
-    nothing depends on the accuracy of a sketch.  ``by`` must not be empty; ``values`` should be staged.
+    together: a pass over the values counts the cells of every enclosure, first by octaves and then by ``accuracy``
+    even parts of its range, and each target goes on in the cell that holds it, until no enclosure holds more than
+    ``small`` values unless they are equal.  The last pass takes the values inside one by one.  Only cells leave the map
+    side, and nothing depends on the accuracy of a sketch.  ``by`` must not be empty; ``values`` should be staged.
     """
+    if accuracy < 2:
+        raise ValueError("accuracy must be at least 2")
     where = [*by, "_lo", "_hi"]
     at = stage(null_safe(targets, spans, by, "inner").withColumn("_base", F.lit(0.0)))
     first = True
@@ -39,7 +42,7 @@ def select_values(
             break
         x = F.col("_x")
         ratio = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        digit = _octave(x) if first else F.least(F.floor(ratio * _SPLIT), F.lit(_SPLIT - 1))
+        digit = _octave(x) if first else F.least(F.floor(ratio * accuracy), F.lit(accuracy - 1))
         first = False
         cells = _inside(values, wide, by).groupBy(*where, digit.alias("_d")).agg(
             F.count(F.lit(1)).alias("_n"), F.sum("_m").alias("_m"), F.min("_x").alias("_a"), F.max("_x").alias("_b")
@@ -82,13 +85,13 @@ def _reached(cells: DataFrame, at: DataFrame, by: list[str], order: str) -> Data
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: list[float], by: list[str] = (), also: dict[str, Column] | None = None,
-    small: int = 20_000,
+    small: int = 20_000, accuracy: int = _SPLIT,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as ``(by, n, q array)``.
 
     ``also`` holds further aggregates of the value (named ``_x``), taken in the first pass; with
     them, groups without any value are kept.  The values are staged once; the order statistics
-    come from ``select_values``.
+    come from ``select_values``; ``accuracy`` sets how fast its enclosures narrow, never the result.
     """
     by = list(by)
     keys = by + ["_whole"]
@@ -106,7 +109,7 @@ def exact_quantiles(
             goals.append(F.struct(F.lit(2 * i + side).alias("_t"), goal.cast("double").alias("_goal")))
     targets = held.select(*keys, F.explode(F.array(*goals)).alias("_g")).select(*keys, "_g.*")
     values = rows.where(F.col("_x").isNotNull()).withColumn("_m", F.lit(1.0))
-    chosen = select_values(values, targets, keys, held.select(*keys, "_lo", "_hi", "_size"), small)
+    chosen = select_values(values, targets, keys, held.select(*keys, "_lo", "_hi", "_size"), small, accuracy)
     wide = chosen.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_t") == t, F.col("_v"))).alias(f"_v{t}") for t in range(2 * len(probs))]
     )
