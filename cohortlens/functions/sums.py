@@ -6,30 +6,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def array_sums(
-    df: DataFrame, fn: Callable[[pd.DataFrame], dict[str, np.ndarray]]
+    df: DataFrame, fn: Callable[[pd.DataFrame | pa.RecordBatch], dict[str, np.ndarray]], arrow: bool = False
 ) -> dict[str, np.ndarray]:
     """Σ over Arrow batches of ``fn(batch)``, a dict of short vectors.
 
     Each task adds its batches up and emits one row per vector element; the vectors are a few
-    hundred numbers whatever the size of the table, so only they reach the driver.
+    hundred numbers whatever the size of the table, so only they reach the driver.  With ``arrow``
+    a batch arrives as it is, so binary columns are not copied.
     """
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pd.DataFrame | pa.RecordBatch]) -> Iterator[pd.DataFrame | pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            if len(batch):
+            if batch.num_rows if arrow else len(batch):
                 for key, value in fn(batch).items():
                     total[key] = total.get(key, 0.0) + value
         for key, value in total.items():
-            yield pd.DataFrame({"key": key, "pos": np.arange(len(value)), "value": value})
+            out = pd.DataFrame({"key": key, "pos": np.arange(len(value)), "value": value})
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False) if arrow else out
 
+    schema = "key string, pos long, value double"
     rows = (
-        df.mapInPandas(task, "key string, pos long, value double")
+        (df.mapInArrow(task, schema) if arrow else df.mapInPandas(task, schema))
         .groupBy("key", "pos").agg(F.sum("value").alias("value")).collect()
     )
     out: dict[str, dict[int, float]] = {}

@@ -25,7 +25,7 @@ from cohortlens.functions.staging import null_safe, stage
 from cohortlens.functions.sums import array_sums
 from cohortlens.functions.tails import Z95, norm_sf
 from cohortlens.operators.logistic import Model, Term, coding, design_columns, fit_models, patterns
-from cohortlens.operators.mixed_blocks import Search, Spec, fitted, joint_sums, one_pass, pack, search
+from cohortlens.operators.mixed_blocks import WIDE, Search, Spec, fitted, joint_sums, one_pass, pack, profiles, search
 
 
 @dataclass
@@ -171,11 +171,14 @@ def fit_mixed(
 def fit_mixed_models(
     df: DataFrame, models: list[tuple[str, str, list[Term]]], cluster: str, household: str | None = None,
     sd0: float = 0.5, max_steps: int = 80, tol: float = 1e-3, largest_cluster: int = 200_000,
+    few_values: int = 4_096,
 ) -> list[MixedModel]:
     """All (model id, outcome, terms) in the same passes; rows missing a used column of a model are left out of it.
 
     Patterns are packed by cluster, so that each pass is one map over the packed rows and sends p x p sums to the
-    driver.  Clusters of more than ``largest_cluster`` patterns do not fit a task; then every model is fitted by joins of
+    driver.  Where the covariates of a model take about ``few_values`` different rows at most and households have no
+    effect of their own, equal clusters are counted and fitted once: what a model adds up over a cluster depends on its
+    patterns and counts alone.  Clusters of more than ``largest_cluster`` patterns do not fit a task; then every model is fitted by joins of
     patterns and modes, which split a cluster over many tasks.  Both end at the same optimum.  A variance that the data
     drive to zero ends at a small bound; a fit that does not settle says so in ``converged``.
     """
@@ -189,21 +192,30 @@ def fit_mixed_models(
     most = collapsed.groupBy("_cluster").count().agg(F.max("count")).first()[0] or 0
     if most > largest_cluster:
         return [_fit_by_joins(df, m.outcome, m.terms, cluster, household, sd0, max_steps, tol, m.model_id) for m in fixed]
-    fit_models(collapsed, fixed, collapsed=True)
+    # the plain fit and the variance of its predictor do not need the clusters
+    overall = stage(collapsed.groupBy(*columns).agg(F.sum("_n").alias("_n")))
+    fit_models(overall, fixed, collapsed=True)
     outcomes = list(dict.fromkeys(m.outcome for m in fixed))
     design: dict[tuple, tuple[int, object]] = {}
     for m in fixed:
         for code, column in zip(m.coding, design_columns(m)):
             design.setdefault(code, (len(design), column))
-    blocks = pack(collapsed, [F.col(o) for o in outcomes], [c for _, c in design.values()])
-    searches = [
-        Search(Spec(m.model_id, outcomes.index(m.outcome), [design[code][0] for code in m.coding], m.beta.copy(),
-                    np.array([sd0, sd0 if household else 0.0])), bool(household))
-        for m in fixed
-    ]
-    search(blocks, searches, len(outcomes), len(design), max_steps, tol)
-    variance = _predictor_variance(collapsed, fixed, [s.spec.beta for s in searches])
-    scored = fitted(blocks, [s.spec for s in searches], len(outcomes), len(design))
+    places = [(outcomes.index(m.outcome), [design[code][0] for code in m.coding]) for m in fixed]
+    values = overall.agg(*[F.approx_count_distinct(F.xxhash64(*m.columns)).alias(f"d{i}") for i, m in enumerate(fixed)]).first()
+    own = {i: place for i, place in enumerate(places) if not household and values[i] <= few_values}
+    ys, xs = [F.col(o) for o in outcomes], [c for _, c in design.values()]
+    parts = [profiles(collapsed, ys, xs, own)] if own else []
+    if len(own) < len(fixed):
+        parts.append(pack(collapsed, ys, xs))
+    blocks = reduce(DataFrame.unionAll, parts)
+    searches = []
+    for i, (m, (outcome, at)) in enumerate(zip(fixed, places)):
+        start = m.beta.copy(), np.array([sd0, sd0 if household else 0.0])
+        spec = Spec(m.model_id, 0, list(range(len(at))), *start, i) if i in own else Spec(m.model_id, outcome, at, *start, WIDE)
+        searches.append(Search(spec, bool(household)))
+    search(blocks, searches, len(outcomes), max_steps, tol)
+    variance = _predictor_variance(overall, fixed, [s.spec.beta for s in searches])
+    scored = fitted(blocks, [s.spec for s in searches], len(outcomes))
     out = []
     for m, s in zip(fixed, searches):
         m.beta, m.information = s.spec.beta, s.information
@@ -231,7 +243,7 @@ def laplace(
     blocks = pack(collapsed, [F.col(outcome)], design)
     p = len(design)
     spec = Spec(outcome, 0, list(range(p)), np.array(beta, dtype=float), np.array(sd, dtype=float))
-    sums = one_pass(blocks, [spec], 1, p)[outcome]
+    sums = one_pass(blocks, [spec], 1)[outcome]
     rows = [("loglik", sums[0]), ("clusters", sums[1]), ("sd(cluster)", sums[2])]
     rows += [("sd(household)", sums[3])] if household else []
     rows += list(zip(fixed.names, sums[6 : 6 + p]))
