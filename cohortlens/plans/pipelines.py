@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.staging import stage
 from cohortlens.operators import filters as flt
 from cohortlens.operators import groups as G
 from cohortlens.operators import recode as P
@@ -46,15 +47,40 @@ def model_persons(df: DataFrame) -> DataFrame:
     return out.withColumn("clustered", F.when(draw < chance, 1).otherwise(0))
 
 
+ANTIGEN_POS = ["hrp2_pos", "paldo_pos", "pldh_pos", "pvldh_pos"]
+
+
+def flagged_persons(persons: DataFrame) -> DataFrame:
+    return P.antigen_flags(persons.withColumnRenamed("hrp2_1", "hrp2_a"))
+
+
+def _all_negative() -> Column:
+    negative = F.lit(True)
+    for flag in ANTIGEN_POS:
+        negative = negative & (F.col(flag) == 0)
+    return negative
+
+
 def infection_case_set(persons: DataFrame, lab: DataFrame, outcome: str) -> DataFrame:
     """Infected persons and persons negative on all four antigens, one row each.
 
     A person in both groups counts as a case; a reference person without a laboratory result
     counts as not infected.
     """
-    flagged = P.antigen_flags(persons.withColumnRenamed("hrp2_1", "hrp2_a"))
-    joined = G.left_join(flagged, P.species_flags(lab).select("ptid", outcome), "ptid")
-    negative = F.lit(True)
-    for flag in ("hrp2_pos", "paldo_pos", "pldh_pos", "pvldh_pos"):
-        negative = negative & (F.col(flag) == 0)
-    return G.case_reference_set(joined, outcome, negative)
+    joined = G.left_join(flagged_persons(persons), P.species_flags(lab).select("ptid", outcome), "ptid")
+    return G.case_reference_set(joined, outcome, _all_negative())
+
+
+def infection_case_sets(
+    flagged: DataFrame, lab: DataFrame, outcomes: list[str], columns: list[str]
+) -> dict[str, DataFrame]:
+    """``infection_case_set`` of every outcome with ``columns`` only, from one staged join of persons and samples.
+
+    ``flagged`` has the antigen flags.  Of a person's rows the first is kept by all columns there are, so ``columns``
+    must tell rows of a person apart in their order.
+    """
+    persons = flagged.select("ptid", *columns, *ANTIGEN_POS)
+    joined = stage(G.left_join(persons, P.species_flags(lab).select("ptid", *outcomes), "ptid"))
+    return {
+        o: G.case_reference_set(joined.drop(*[x for x in outcomes if x != o]), o, _all_negative()) for o in outcomes
+    }

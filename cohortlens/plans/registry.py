@@ -29,7 +29,9 @@ from cohortlens.operators import tables as T
 from cohortlens.plans import survey_view as view
 from cohortlens.plans.pipelines import (
     clean_persons,
+    flagged_persons,
     infection_case_set,
+    infection_case_sets,
     lab_with_covariates,
     model_persons,
 )
@@ -841,13 +843,18 @@ def model_sweep(spark, sf_dir):
     return M.odds_ratios(df, M.model_sweep(df, AREA_FLAGS, _terms()))
 
 
+#: Covariates of the case models after what tells two rows of a person apart, in the order of the person table.
+CASE_COLUMNS = [
+    "varstrat", "varunit", "hhwgt", "gender", "wealthquintile", "urban", "netcover_avg", "netcover_ind", "agegrp",
+]
+
+
 @query
 def infection_sweep(spark, sf_dir):
-    persons = model_persons(view.persons(spark, sf_dir))
-    sweeps = []
-    for outcome in ("pcr_pm", "pcr_po"):
-        df = infection_case_set(persons, view.lab_samples(spark, sf_dir), outcome)
-        sweeps.append(M.odds_ratios(df, M.model_sweep(df, [outcome], _terms())))
+    # flags before the covariates, so that no shuffle but the one by person carries signals
+    persons = model_persons(flagged_persons(view.persons(spark, sf_dir)))
+    sets = infection_case_sets(persons, view.lab_samples(spark, sf_dir), ["pcr_pm", "pcr_po"], CASE_COLUMNS)
+    sweeps = [M.odds_ratios(df, M.model_sweep(df, [outcome], _terms())) for outcome, df in sets.items()]
     return sweeps[0].unionByName(sweeps[1])
 
 
