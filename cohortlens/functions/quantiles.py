@@ -129,7 +129,7 @@ def exact_quantiles(
 def running_totals(
     df: DataFrame, value: str, sums: dict[str, Column], by: list[str] = ()
 ) -> DataFrame:
-    """Per distinct value: the sums, and the totals over all smaller values (``<name>_before``).
+    """Per distinct value: the sums, the totals over all smaller values (``<name>_before``) and over all (``<name>_all``).
 
     Distinct values are range-partitioned, so a partition holds a slice of the order, ties stay
     together and a large group spreads over many tasks; offsets of the slices are added after.
@@ -151,6 +151,7 @@ def running_totals(
         .select(
             *by, "_slice",
             *[F.coalesce(F.sum(f"_o_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+            *[F.sum(f"_o_{n}").over(Window.partitionBy(*by, F.lit(0))).alias(f"{n}_all") for n in sums],
         )
     )
     within = (
@@ -165,4 +166,5 @@ def running_totals(
             (F.col(f"_o_{n}") + F.coalesce(F.sum(n).over(within), F.lit(0))).alias(f"{n}_before")
             for n in sums
         ],
+        *[f"{n}_all" for n in sums],
     )

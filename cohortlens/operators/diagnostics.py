@@ -82,21 +82,23 @@ def binned_residuals(
     ``goodness_of_fit``.
     """
     keys = [*by, "_whole"]
-    r = F.col(y).cast("double") - F.col(p)
+    yc = F.col(y).cast("double")
     rows = df.select(
-        *by, F.lit(0).alias("_whole"), F.col(p).alias("_p"), r.alias("_r"), _weight(n).alias("_n")
-    ).where(F.col("_r").isNotNull())
-    curve = stage(running_totals(
+        *by, F.lit(0).alias("_whole"), F.col(p).alias("_p"), yc.alias("_y"), _weight(n).alias("_n")
+    ).where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
+    # counts and outcomes pack better than residuals, which follow from them at an equal probability
+    placed = running_totals(
         rows, "_p",
-        {"n": F.sum("_n"), "r1": F.sum(F.col("_n") * F.col("_r")), "r2": F.sum(F.col("_n") * F.col("_r") ** 2)}, keys,
-    ))
-    total = curve.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    k = F.lit(bins) if bins else F.greatest(F.floor(F.sqrt("_total")), F.lit(1))
-    placed = null_safe(curve, total, keys, "inner").withColumn("_k", k.cast("long"))
-    label = F.least(
-        F.col("_k") - 1, F.ceil((F.col("n_before") + 1) * F.col("_k") / F.col("_total").cast("double")).cast("long") - 1
+        {"n": F.sum("_n"), "s": F.sum(F.col("_n") * F.col("_y")), "q": F.sum(F.col("_n") * F.col("_y") ** 2)}, keys,
     )
-    per = placed.groupBy(*by, label.alias("bin")).agg(
+    k = (F.lit(bins) if bins else F.greatest(F.floor(F.sqrt("n_all")), F.lit(1))).cast("long")
+    label = F.least(k - 1, F.ceil((F.col("n_before") + 1) * k / F.col("n_all").cast("double")).cast("long") - 1)
+    apart = F.col("s") / F.col("n") - F.col("_p")
+    placed = placed.select(
+        *by, label.alias("bin"), "_p", "n", (F.col("n") * apart).alias("r1"),
+        (F.col("n") * apart * apart + F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))).alias("r2"),
+    )
+    per = placed.groupBy(*by, "bin").agg(
         F.sum("n").alias("_m"), (F.sum(F.col("_p") * F.col("n")) / F.sum("n")).alias("mean_p"),
         (F.sum("r1") / F.sum("n")).alias("mean_resid"),
         F.try_divide(F.sum("r2") - F.sum("r1") ** 2 / F.sum("n"), F.sum("n") - 1).alias("var"),

@@ -37,26 +37,30 @@ BOUNDED = {
     "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
     "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
 }
+#: How a column of small whole numbers holds a missing value.
+GAP = -128
 #: Smallest deviation of a random effect; one that the data drive below it rests there.
 SD_FLOOR = 1e-3
 
 
-def _kind(values: np.ndarray) -> str:
-    """The smallest type that holds all ``values`` exactly, missing ones as NaN."""
-    with np.errstate(all="ignore"):
-        for kind in ("i1", "f2", "f4"):
-            if np.array_equal(values.astype(kind).astype(float), values, equal_nan=True):
-                return kind
-    return "f8"
+def _narrowed(values: np.ndarray) -> np.ndarray:
+    """``values`` in the smallest type that holds them exactly: whole numbers of a byte with gaps as ``GAP``, or floats."""
+    gap = np.isnan(values)
+    small = np.where(gap, GAP, values)
+    if np.abs(small[~gap]).max(initial=0) < -GAP and np.array_equal(small, np.rint(small)):
+        return small.astype("i1")
+    with np.errstate(over="ignore"):
+        single = values.astype("<f4")
+    return single if np.array_equal(single.astype(float), values, equal_nan=True) else values.astype("<f8")
 
 
 def _block(model: int, clusters: np.ndarray, houses: np.ndarray, times: np.ndarray, columns: list[np.ndarray]) -> dict:
     """``clusters``: of each household; ``houses``: of each pattern; ``times``: of each cluster; then n, outcomes, design."""
-    kinds = [_kind(c) for c in columns]
+    narrow = [_narrowed(c) for c in columns]
     return {
         "model": model, "clusters": clusters.astype("<i4").tobytes(), "houses": houses.astype("<i4").tobytes(),
-        "times": times.astype("<i8").tobytes(), "kinds": "".join(kinds),
-        "data": b"".join(c.astype(f"<{k}").tobytes() for c, k in zip(columns, kinds)),
+        "times": times.astype("<i8").tobytes(), "kinds": "".join(c.dtype.str[1:] for c in narrow),
+        "data": b"".join(c.tobytes() for c in narrow),
     }
 
 
@@ -141,13 +145,13 @@ def block_profiles(
         cells, cell = np.unique(((cluster * len(first) + code) * len(levels) + level)[used], return_inverse=True)
         which = first[cells // len(levels) % len(first)]
         values = [np.bincount(cell, n[used]), levels[cells % len(levels)], *[xs[j][which] for j in columns]]
-        kinds = [_kind(v) for v in values]
-        records = np.empty(len(cells), dtype=[(str(i), f"<{k}") for i, k in enumerate(kinds)])
+        values = [_narrowed(v) for v in values]
+        records = np.empty(len(cells), dtype=[(str(i), v.dtype) for i, v in enumerate(values)])
         for i, v in enumerate(values):
             records[str(i)] = v
         owner = cells // (len(levels) * len(first))
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) * records.itemsize
-        raw, name = records.tobytes(), "".join(kinds)
+        raw, name = records.tobytes(), "".join(v.dtype.str[1:] for v in values)
         bounds = starts.tolist()
         for a, b in zip(bounds, bounds[1:]):
             yield model, name, raw[a:b]
@@ -239,10 +243,14 @@ def _by(code: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
 
 
 def _modes(fixed, n, y, house, cluster, b, c) -> tuple[np.ndarray, np.ndarray]:
-    """Conditional modes (v per cluster, u per household) by joint Newton steps."""
+    """Conditional modes (v per cluster, u per household) by joint Newton steps.
+
+    A cluster rests when it has settled, so its modes do not depend on its neighbours in the block to the last digit.
+    """
     n_clusters, n_houses = int(cluster[-1]) + 1, len(cluster)
     v, u = np.zeros(n_clusters), np.zeros(n_houses)
     total = _by(house, n_houses, n * y)
+    moving = np.ones(n_clusters, dtype=bool)
     for _ in range(60):
         eta = fixed + (b * v[cluster] + c * u)[house]
         mu = 1 / (1 + np.exp(-eta))
@@ -255,9 +263,10 @@ def _modes(fixed, n, y, house, cluster, b, c) -> tuple[np.ndarray, np.ndarray]:
         dv = (b * cg - v - b * c * cwr) / (1 + b * b * a)
         du = (ru - c * b * w * dv[cluster]) / d
         # far from the mode the curvature says little, so the predictor moves by two at most
-        v += np.clip(dv, -2 / max(b, 1e-9), 2 / max(b, 1e-9))
-        u += np.clip(du, -2 / max(c, 1e-9), 2 / max(c, 1e-9))
-        if max(np.abs(dv).max(), np.abs(du).max()) < 1e-9:
+        v += np.where(moving, np.clip(dv, -2 / max(b, 1e-9), 2 / max(b, 1e-9)), 0.0)
+        u += np.where(moving[cluster], np.clip(du, -2 / max(c, 1e-9), 2 / max(c, 1e-9)), 0.0)
+        moving &= (np.abs(dv) >= 1e-9) | (_by(cluster, n_clusters, np.abs(du) >= 1e-9) > 0)
+        if not moving.any():
             break
     return v, u
 
@@ -267,10 +276,12 @@ def joint_sums(h: dict[str, np.ndarray], b: float, c: float, times: np.ndarray |
 
     The log determinant of a cluster is L = Σ log D_h + log(1 + b² A) with D_h = 1 + c² W_h and
     A = Σ W_h / D_h; q_h below is its derivative in W_h.  Derivatives of the modes follow from
-    differentiating their estimating equations.
+    differentiating their estimating equations.  Of the rows' residuals and curvatures times x only Σ (r - q_h dq / 2) is
+    needed: ``direct`` gives it for given q_h, or else the household sums ``r`` and ``q`` do.
     """
     w, g, t, u, v = (h[k] for k in ("w", "g", "t", "u", "v"))
-    s, dq, r, big_s, a = (h[k] for k in ("s", "q", "r", "cs", "ca"))
+    s, big_s, a = (h[k] for k in ("s", "cs", "ca"))
+    weight = np.broadcast_to(np.asarray(times, dtype=float), w.shape)
     d, e = 1 + c * c * w, 1 + b * b * a
     one = 1.0 / h["ch"]  # share of the cluster carried by this household
     q = c * c / d + b * b / e / d**2
@@ -279,8 +290,9 @@ def joint_sums(h: dict[str, np.ndarray], b: float, c: float, times: np.ndarray |
     # modes in beta: dv = -b S / e, du = -(c s + b c W dv) / D
     dv = -b * big_s / e[:, None]
     du = -(c * s + b * c * w[:, None] * dv) / d[:, None]
-    slope = dq + t[:, None] * (b * dv + c * du)
-    grad = r - 0.5 * q[:, None] * slope
+    # through the rows at fixed modes, then through the modes
+    direct = h["direct"](q) if "direct" in h else weight @ h["r"] - 0.5 * (weight * q) @ h["q"]
+    grad = direct - 0.5 * ((weight * q * t) @ (b * dv + c * du))
     schur = -(s * (times * c * c / d)[:, None]).T @ s - (big_s * (times * one * b * b / e)[:, None]).T @ big_s
     back = s * (c * ru / d)[:, None] + big_s * (one * b * rv / e)[:, None]
     # modes in b: direct change v of the predictor, plus Σ g in the equation of v
@@ -300,11 +312,10 @@ def joint_sums(h: dict[str, np.ndarray], b: float, c: float, times: np.ndarray |
     ll = ll - 0.5 * np.log(d) - 0.5 * one * np.log(e)
     # expected information about the log variances
     ib, ic = 0.5 * one * (b * b * a / e) ** 2, 0.5 * (c * c * w / d) ** 2
-    weight = np.broadcast_to(np.asarray(times, dtype=float), w.shape)
     return {
-        "ll": np.array([np.sum(times * x) for x in (ll, one, gb, gc, ib, ic)]), "grad": weight @ grad,
+        "ll": np.array([weight @ x for x in (ll, one, gb, gc, ib, ic)]), "grad": grad,
         "back": weight @ back, "schur": schur.ravel(),
-        "mode": np.array([np.sum(times * (ru * ru + one * rv * rv))]),
+        "mode": np.array([weight @ (ru * ru + one * rv * rv)]),
     }
 
 
@@ -323,7 +334,13 @@ class _Block:
         rows = len(self.houses)
         kinds = [np.dtype(f"<{self.kinds[i : i + 2]}") for i in range(0, len(self.kinds), 2)]
         at = np.r_[0, np.cumsum([rows * k.itemsize for k in kinds])]
-        return [np.frombuffer(self.data, kinds[i], rows, int(at[i])).astype(float) for i in positions]
+        out = []
+        for i in positions:
+            held = np.frombuffer(self.data, kinds[i], rows, int(at[i]))
+            out.append(held.astype(float))
+            if held.dtype.itemsize == 1 and held.min() == GAP:
+                out[-1][held == GAP] = np.nan
+        return out
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
@@ -336,7 +353,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
 
 @dataclass
 class _Solved:
-    """The rows of a block that a model uses, at the conditional modes."""
+    """The rows of a block that a model uses, at the conditional modes; ``x`` has a row for each coefficient."""
 
     x: np.ndarray
     y: np.ndarray
@@ -352,19 +369,24 @@ class _Solved:
 def _solved(block: _Block, spec: Spec, n_outcomes: int) -> _Solved | None:
     first = 1 + (n_outcomes if block.model == WIDE else 1)
     n, y, *columns = block.columns([0, 1 + spec.outcome, *[first + i for i in spec.columns]])
-    x, houses = np.column_stack(columns), block.houses
-    used = ~(np.isnan(y) | np.isnan(x).any(axis=1))
-    if not used.any():
-        return None
-    if not used.all():
-        n, y, x, houses = n[used], y[used], x[used], houses[used]
+    x, houses = np.stack(columns), block.houses
+    # a maximum is missing where one value is
+    gaps = [np.isnan(c) for c in (y, *x) if np.isnan(c.max())]
+    if gaps:
+        used = ~np.logical_or.reduce(gaps)
+        if not used.any():
+            return None
+        n, y, x, houses = n[used], y[used], x[:, used], houses[used]
     # households and clusters are in order, so their numbers change where the next one begins
     new = np.r_[True, houses[1:] != houses[:-1]]
     house, clusters = np.cumsum(new) - 1, block.clusters[houses[new]]
     begins = np.r_[True, clusters[1:] != clusters[:-1]]
     cluster, times = np.cumsum(begins) - 1, block.times[clusters[begins]].astype(float)
     b, c = (float(s) for s in spec.sd)
-    fixed = x @ spec.beta
+    # term by term: equal rows have an equal predictor, wherever they stand
+    fixed = np.zeros(len(y))
+    for coefficient, column in zip(spec.beta, x):
+        fixed += coefficient * column
     v, u = _modes(fixed, n, y, house, cluster, b, c)
     return _Solved(x, y, n, house, cluster, times, v, u, fixed + (b * v[cluster] + c * u)[house])
 
@@ -380,21 +402,26 @@ def block_sums(block: _Block, spec: Spec, n_outcomes: int) -> np.ndarray:
     mu = 1 / (1 + np.exp(-eta))
     row_w, row_g = n * mu * (1 - mu), n * (y - mu)
     row_t = row_w * (1 - 2 * mu)
+    # log(1 + exp(eta)), from whichever probability is not small
+    soft = np.maximum(eta, 0) - np.log(np.maximum(mu, 1 - mu))
     size, clusters = len(cluster), int(cluster[-1]) + 1
     w, g = _by(house, size, row_w), _by(house, size, row_g)
     d = 1 + c * c * w
-    s = _by(house, size, x * row_w[:, None])
+    weighted = x * row_w
+    s = np.column_stack([np.bincount(house, row, size) for row in weighted])
     spread = lambda values: _by(cluster, clusters, values)[cluster]
+    times = got.times[cluster]
     h = {
         "w": w, "g": g, "t": _by(house, size, row_t), "u": u, "v": v[cluster], "s": s,
-        "q": _by(house, size, x * row_t[:, None]), "r": _by(house, size, x * row_g[:, None]),
-        "l": _by(house, size, n * (y * eta - np.logaddexp(0, eta))), "ch": spread(np.ones(size)),
+        "l": _by(house, size, n * (y * eta - soft)), "ch": spread(np.ones(size)),
         "cg": spread(g), "ca": spread(w / d), "cwr": spread(w * (c * g - u) / d), "cwu": spread(w * u / d),
         "cwgd": spread(w * g / d), "cs": spread(s / d[:, None]),
+        "direct": lambda q: x @ (times[house] * row_g - 0.5 * (times * q)[house] * row_t),
     }
-    times = got.times[cluster]
     sums = joint_sums(h, b, c, times)
-    xwx = (x * (times[house] * row_w)[:, None]).T @ x
+    if np.any(got.times != 1):
+        weighted *= times[house]
+    xwx = weighted @ x.T
     return np.concatenate([sums["ll"], sums["grad"], sums["schur"], xwx.ravel()])
 
 

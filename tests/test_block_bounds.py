@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.functions.quantiles import running_totals
+from cohortlens.operators import diagnostics as D
 from cohortlens.operators import logistic as M
 from cohortlens.operators import mixed as X
 from cohortlens.operators import mixed_blocks as B
@@ -80,3 +82,50 @@ def test_profiles_fit_like_whole_clusters(spark, few):
     a, b = sums(once), sums(whole)
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-8) for k in a)
     assert X.fitted_rows(once).where("model_id = 'd'").count() < 0.2 * X.fitted_rows(whole).where("model_id = 'd'").count()
+
+
+def test_equal_rows_of_equal_clusters_share_a_probability(spark, few):
+    """Ties survive whatever else a block holds: the mode follows from a cluster's covariates and its number of events."""
+    rows, df = few
+    kept = df.where("x IS NOT NULL").select("c", "x", "w").toPandas()
+    cells = {(x, tuple(sorted(g.x)), g.w.sum()) for _, g in kept.groupby("c") for x in set(g.x)}
+    for few_values in (100, 0):
+        models = X.fit_mixed_models(df.repartition(7), [("d", "w", ["x"]), ("c", "w", ["x", "z"])], "c", few_values=few_values)
+        found = X.fitted_rows(models[:1]).where("model_id = 'd'").select("p_hat").distinct().toPandas().p_hat
+        # equal clusters have equal digits; the same sums from other patterns may differ in the last one
+        assert found.round(12).nunique() == len(cells) and len(found) <= len({(x, tuple(sorted(zip(g.x, g.w)))) for _, g in kept.groupby("c") for x in set(g.x)})
+        # the mode of a cluster alone is that among others
+        spec = B.Spec("d", 0, [0, 1], models[0].fixed.beta, models[0].sd)
+        one = kept[kept.c == kept.c.iloc[0]]
+        parts = [_open(one), _open(kept)]
+        got = [B._solved(b, spec, 1).eta[: len(one)] for b in parts]
+        assert (got[0] == got[1]).all()
+
+
+def _open(kept):
+    codes = pd.factorize(kept.c)[0]
+    block = B._block(B.WIDE, np.arange(codes[-1] + 1), codes, np.ones(codes[-1] + 1), [np.ones(len(kept)), *kept[["w"]].to_numpy(float).T, np.ones(len(kept)), kept.x.to_numpy(float)])
+    arrays = [np.frombuffer(block[k], t) for k, t in (("clusters", "<i4"), ("houses", "<i4"), ("times", "<i8"))]
+    return B._Block(B.WIDE, *arrays, block["kinds"], memoryview(block["data"]))
+
+
+def test_bins_store_counts_not_residuals(spark):
+    """Bins from counts and outcomes equal those from residuals, and a pass over all values is not written out."""
+    rng = np.random.default_rng(6)
+    p = np.round(rng.random(4_000), 3).clip(0.001, 0.999)
+    rows = pd.DataFrame({"y": (rng.random(4_000) < p).astype(float), "p": p, "n": rng.integers(1, 5, 4_000).astype(float)})
+    got = D.binned_residuals(spark.createDataFrame(rows), "y", "p", n="n").orderBy("bin").toPandas()
+    # whole rows by plain numpy, bins by the rank of the smallest row with the same probability
+    whole = rows.loc[rows.index.repeat(rows.n.astype(int))].sort_values("p")
+    total, k = len(whole), int(np.sqrt(len(whole)))
+    before = np.searchsorted(whole.p.to_numpy(), whole.p.to_numpy(), side="left")
+    whole["bin"] = np.minimum(k - 1, np.ceil((before + 1) * k / total).astype(int) - 1)
+    want = whole.assign(r=whole.y - whole.p).groupby("bin").agg(n=("r", "size"), mean_p=("p", "mean"), mean_resid=("r", "mean"), sd=("r", "std"))
+    assert got.bin.tolist() == want.index.tolist() and got.n.tolist() == want.n.tolist()
+    for name in ("mean_p", "mean_resid"):
+        assert got[name].to_numpy() == pytest.approx(want[name].to_numpy(), abs=1e-12)
+    assert got.bound.to_numpy() == pytest.approx((2 * want.sd / np.sqrt(want.n)).to_numpy(), abs=1e-9)
+    files = running_totals(
+        spark.createDataFrame(rows), "p", {"n": F.sum("n")}
+    ).select("p", "n", "n_before", "n_all")
+    assert files.select("n_all").distinct().count() == 1 and files.first()["n_all"] == rows.n.sum()
